@@ -1,0 +1,18 @@
+"""Join helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+MAX_BROADCAST_ROWS = 10_000
+
+
+def broadcast_if_small(dimension: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only when a bounded count proves the side is small.
+
+    The probe stops after ``max_rows + 1`` rows. A larger side gets no hint, and
+    Spark then picks a shuffled join with its own skew handling.
+    """
+    if dimension.limit(max_rows + 1).count() > max_rows:
+        return dimension
+    return F.broadcast(dimension)

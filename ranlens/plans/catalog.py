@@ -1,0 +1,161 @@
+"""Every query by name, over an event log in ``<dir>/events.parquet``."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from ranlens.functions.sla import limits_table
+from ranlens.functions.sql import register_functions
+from ranlens.operators.silver import bronze_to_silver
+from ranlens.operators.violations import sla_violations, with_table_breach
+from ranlens.operators.windows import cell_kpis, slice_kpis
+from ranlens.plans import dashboard, network, quality
+from ranlens.plans.layers import Layers
+from ranlens.session import shared_folder
+from ranlens.sources.event_log import bronze_from_log
+from ranlens.sources.payloads import parse_payload
+from ranlens.streaming.pipelines import start_append
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def layers_from_log(spark: SparkSession, folder: str) -> Layers:
+    """The layers derived from the whole log; a violation is detected when its event happens."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    log = spark.read.parquet(f"{folder}/events.parquet")
+    return Layers.from_bronze(bronze_from_log(log), detected_at=F.col("event_timestamp"))
+
+
+def newest_event(layers: Layers) -> Column:
+    """The newest event time as a scalar subquery, evaluated once per query."""
+    return layers.silver.agg(F.max("event_timestamp")).scalar()
+
+
+def comparable(df: DataFrame) -> DataFrame:
+    """Instants as zone-free timestamps, as the SQL side has them."""
+    instants = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampType)]
+    return df.withColumns({name: F.col(name).cast("timestamp_ntz") for name in instants}) if instants else df
+
+
+def gold_comparable(df: DataFrame) -> DataFrame:
+    """Averages at nine digits: the order of additions differs between engines."""
+    return df.withColumns({name: F.round(name, 9) for name in df.columns if name.startswith("avg_")})
+
+
+def without_stamps(df: DataFrame) -> DataFrame:
+    """Without the columns that hold the time of the run."""
+    return df.drop("ingested_at", "detected_at")
+
+
+def _over_layers(report: Callable[[Layers], DataFrame]) -> Query:
+    return lambda spark, folder: comparable(report(layers_from_log(spark, folder)))
+
+
+def _looking_back(report: Callable[..., DataFrame]) -> Query:
+    return _over_layers(lambda layers: report(layers, newest_event(layers)))
+
+
+def _by_table(spark: SparkSession, folder: str) -> DataFrame:
+    events = layers_from_log(spark, folder).silver.drop("sla_breach")
+    return with_table_breach(events, limits_table(spark)).select("event_id", "slice_type", "sla_breach")
+
+
+def _by_sql_functions(spark: SparkSession, folder: str) -> DataFrame:
+    layers_from_log(spark, folder).register(spark)
+    register_functions(spark)
+    return spark.sql(
+        """SELECT event_id, signal_quality(rsrp_dbm) AS signal_quality_class,
+        breaches_sla(slice_type, dl_throughput_mbps, ul_throughput_mbps, latency_ms, packet_loss_pct, jitter_ms)
+          AS sla_breach FROM silver_events"""
+    )
+
+
+def _by_payload(spark: SparkSession, folder: str) -> DataFrame:
+    bronze = layers_from_log(spark, folder).bronze
+    messages = bronze.select(F.to_json(F.struct("*")).cast("binary").alias("value"))
+    return comparable(without_stamps(bronze_to_silver(parse_payload(messages))))
+
+
+def _streamed(derive: Callable[[DataFrame], DataFrame]) -> Query:
+    """Run the log through a stream into a table of the shared folder, and read that table.
+
+    Only a session without a shared folder (a local test) uses a temporary one.
+    """
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        local_test = not spark.conf.get("spark.checkpoint.dir", None)
+        root = tempfile.mkdtemp(prefix="ranlens-") if local_test else shared_folder(spark)
+        target = f"{root}/runs/{uuid.uuid4().hex}"
+        schema = spark.read.parquet(f"{folder}/events.parquet").schema
+        log = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+        result = derive(bronze_to_silver(bronze_from_log(log)))
+        query = start_append(result, f"{target}/table", uuid.uuid4().hex, f"{target}/checkpoint", trigger=None)
+        query.awaitTermination()
+        return comparable(without_stamps(spark.read.schema(result.schema).parquet(f"{target}/table")))
+
+    return run
+
+
+def catalog() -> dict[str, Query]:
+    """Query name to callable of (session, folder)."""
+    named: dict[str, Query] = {
+        "silver_events": _over_layers(lambda layers: without_stamps(layers.silver)),
+        "sla_breach_flag": _over_layers(lambda layers: layers.silver.select("event_id", "slice_type", "sla_breach")),
+        "cell_kpis": _over_layers(lambda layers: gold_comparable(layers.cell_kpis)),
+        "slice_kpis": _over_layers(lambda layers: gold_comparable(layers.slice_kpis)),
+        "sla_violations": _over_layers(lambda layers: without_stamps(layers.violations)),
+        "sla_breach_by_table": _by_table,
+        "sql_function_flags": _by_sql_functions,
+        "json_payload_silver": _by_payload,
+        "stream_silver_events": _streamed(lambda silver: silver),
+        "stream_cell_kpis": _streamed(lambda silver: gold_comparable(cell_kpis(silver))),
+        "stream_slice_kpis": _streamed(lambda silver: gold_comparable(slice_kpis(silver))),
+        "stream_sla_violations": _streamed(sla_violations),
+        "total_events": _over_layers(dashboard.total_events),
+    }
+    for report in (
+        network.network_overview,
+        network.events_per_minute,
+        network.signal_class_distribution,
+        network.signal_percentiles,
+        network.throughput_by_slice,
+        network.throughput_trend,
+        network.latency_by_slice,
+        network.latency_trend_top,
+        network.latest_cell_kpis,
+        network.sla_compliance,
+        network.sla_compliance_trend,
+        network.violation_breakdown,
+        network.violations_per_minute,
+        network.worst_cells,
+        network.anomaly_trend,
+        network.anomaly_proxy_breakdown,
+        quality.latest_events,
+        quality.bronze_anomaly_breakdown,
+        quality.ingest_audit,
+        quality.kpi_band_counts,
+        quality.alert_counts,
+        quality.range_expectations,
+        quality.coverage_summary,
+        quality.parse_failures,
+    ):
+        named[report.__name__] = _over_layers(report)
+    for report in (
+        dashboard.event_rate_recent,
+        dashboard.sla_scorecard,
+        dashboard.throughput_recent,
+        dashboard.latency_recent,
+        dashboard.cell_signal_quality,
+        dashboard.top_violations,
+        dashboard.anomaly_rate_recent,
+        dashboard.rb_utilisation,
+        dashboard.breach_leaderboard,
+        dashboard.urllc_latency_gauge,
+    ):
+        named[report.__name__] = _looking_back(report)
+    return named
