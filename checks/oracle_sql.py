@@ -7,6 +7,8 @@ newest event time, and a violation counts as detected when its event happened.
 
 from __future__ import annotations
 
+import re
+
 BASE = """
 log AS (
   SELECT event_id AS e, user_id AS u, event_type AS kind,
@@ -162,19 +164,20 @@ slices AS (
   FROM windowed GROUP BY ALL
 )"""
 
-# Averages of a window are compared at nine digits, as engines add in different orders.
+# Averages of a window are compared at six digits. Engines add in different orders; the
+# inner rounding removes that noise, so that a tie is the same tie on both sides.
 CELL_COLUMNS = """window_start, window_end, cell_id, gnb_id,
-  round(avg_rsrp_dbm, 9) AS avg_rsrp_dbm, round(avg_rsrq_db, 9) AS avg_rsrq_db, round(avg_sinr_db, 9) AS avg_sinr_db,
-  round(avg_cqi, 9) AS avg_cqi, round(avg_dl_throughput_mbps, 9) AS avg_dl_throughput_mbps,
-  round(avg_ul_throughput_mbps, 9) AS avg_ul_throughput_mbps, p95_dl_throughput_mbps,
-  round(avg_latency_ms, 9) AS avg_latency_ms, p95_latency_ms, round(avg_jitter_ms, 9) AS avg_jitter_ms,
-  round(avg_packet_loss_pct, 9) AS avg_packet_loss_pct, round(avg_bler_pct, 9) AS avg_bler_pct,
-  round(avg_rb_utilization_pct, 9) AS avg_rb_utilization_pct, event_count, unique_ues, sla_breach_count, anomaly_count"""
+  round(round(avg_rsrp_dbm, 11), 6) AS avg_rsrp_dbm, round(round(avg_rsrq_db, 11), 6) AS avg_rsrq_db, round(round(avg_sinr_db, 11), 6) AS avg_sinr_db,
+  round(round(avg_cqi, 11), 6) AS avg_cqi, round(round(avg_dl_throughput_mbps, 11), 6) AS avg_dl_throughput_mbps,
+  round(round(avg_ul_throughput_mbps, 11), 6) AS avg_ul_throughput_mbps, p95_dl_throughput_mbps,
+  round(round(avg_latency_ms, 11), 6) AS avg_latency_ms, p95_latency_ms, round(round(avg_jitter_ms, 11), 6) AS avg_jitter_ms,
+  round(round(avg_packet_loss_pct, 11), 6) AS avg_packet_loss_pct, round(round(avg_bler_pct, 11), 6) AS avg_bler_pct,
+  round(round(avg_rb_utilization_pct, 11), 6) AS avg_rb_utilization_pct, event_count, unique_ues, sla_breach_count, anomaly_count"""
 
 SLICE_COLUMNS = """window_start, window_end, slice_id, slice_type,
-  round(avg_dl_throughput_mbps, 9) AS avg_dl_throughput_mbps, round(avg_ul_throughput_mbps, 9) AS avg_ul_throughput_mbps,
-  round(avg_latency_ms, 9) AS avg_latency_ms, p99_latency_ms, round(avg_packet_loss_pct, 9) AS avg_packet_loss_pct,
-  round(avg_jitter_ms, 9) AS avg_jitter_ms, event_count, unique_ues, sla_breach_count, sla_compliance_pct"""
+  round(round(avg_dl_throughput_mbps, 11), 6) AS avg_dl_throughput_mbps, round(round(avg_ul_throughput_mbps, 11), 6) AS avg_ul_throughput_mbps,
+  round(round(avg_latency_ms, 11), 6) AS avg_latency_ms, p99_latency_ms, round(round(avg_packet_loss_pct, 11), 6) AS avg_packet_loss_pct,
+  round(round(avg_jitter_ms, 11), 6) AS avg_jitter_ms, event_count, unique_ues, sla_breach_count, sla_compliance_pct"""
 
 CLOSED = "window_end <= (SELECT max(event_timestamp) FROM silver) - INTERVAL 30 SECOND"
 
@@ -201,6 +204,23 @@ def half_up(sql: str) -> str:
     return f"{sql[:start]}CAST({places} AS DOUBLE){half_up(sql[end + 1:])}"
 
 
+def interpolated(sql: str) -> str:
+    """Write ``quantile_cont`` as the weighted mean of the two neighbouring values.
+
+    The weights are applied as the reports define them; another order of the same
+    operations may differ in the last bit, and on a value near a tie in the report.
+    """
+
+    def weighted(match: re.Match) -> str:
+        x, p = match.groups()
+        at = f"({p}::DOUBLE * (count({x}) - 1))"
+        low, high = (f"list({x} ORDER BY {x})[CAST({side}({at}) AS BIGINT) + 1]" for side in ("floor", "ceil"))
+        between = f"(ceil({at}) - {at}) * {low} + ({at} - floor({at})) * {high}"
+        return f"CASE WHEN {low} = {high} THEN {low} ELSE {between} END"
+
+    return re.sub(r"quantile_cont\((\w+), ([\d.]+)\)", weighted, sql)
+
+
 def _since(interval: str, column: str = "event_timestamp") -> str:
     return f"{column} >= (SELECT max(event_timestamp) FROM silver) - INTERVAL {interval}"
 
@@ -416,4 +436,4 @@ def statements() -> dict[str, str]:
         "stream_slice_kpis": (SLICES, f"{slices} WHERE {CLOSED}"),
         "stream_sla_violations": (VIOLATIONS, "SELECT * FROM violations"),
     }
-    return {name: half_up(f"WITH {tables.strip()}\n{select}") for name, (tables, select) in body.items()}
+    return {name: half_up(interpolated(f"WITH {tables.strip()}\n{select}")) for name, (tables, select) in body.items()}
