@@ -1,8 +1,10 @@
-"""Time the headline queries and streams; prints one JSON line.
+"""Time the jobs and reports on stored tables; prints one JSON line.
 
 Environment: BENCH_SF_DIR (folder with events.parquet), BENCH_CPUS, BENCH_RUNS.
-Each query runs once to warm up, then BENCH_RUNS times into a sink that computes
-every row and column; the median counts.
+The set-up maps the event log to a bronze table and derives the other tables from
+it. Each job or report then reads its tables from disk: one run to warm up, then
+BENCH_RUNS runs into a sink that computes every row and column; the median counts.
+A stream is timed from start to end over everything that its table holds.
 """
 
 from __future__ import annotations
@@ -13,18 +15,45 @@ import statistics
 import sys
 import tempfile
 import time
+from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from ranlens.plans.catalog import catalog  # noqa: E402
+from pyspark.sql import DataFrame, functions as F  # noqa: E402
+
+from ranlens.operators.silver import bronze_to_silver  # noqa: E402
+from ranlens.operators.violations import sla_violations  # noqa: E402
+from ranlens.operators.windows import cell_kpis, slice_kpis  # noqa: E402
+from ranlens.plans import dashboard, network, quality  # noqa: E402
+from ranlens.plans.layers import Layers  # noqa: E402
 from ranlens.session import build_session  # noqa: E402
+from ranlens.sources.event_log import bronze_from_log  # noqa: E402
+from ranlens.sources.tables import TABLES, append  # noqa: E402
+from ranlens.streaming.pipelines import GOLD, Medallion  # noqa: E402
+
 
-HEADLINES = (
-    "silver_events", "cell_kpis", "slice_kpis", "sla_violations", "worst_cells", "latency_by_slice",
-    "network_overview", "signal_percentiles", "throughput_by_slice", "violation_breakdown", "latest_cell_kpis",
-    "sla_compliance", "anomaly_trend", "urllc_latency_gauge", "kpi_band_counts", "ingest_audit",
-)
-STREAMS = ("stream_silver_events", "stream_cell_kpis", "stream_slice_kpis", "stream_sla_violations")
+def jobs(layers: Layers) -> dict[str, Callable[[], DataFrame]]:
+    newest = layers.silver.agg(F.max("event_timestamp")).first()[0]
+    reports = {
+        report.__name__: lambda report=report: report(layers)
+        for report in (
+            network.worst_cells, network.latency_by_slice, network.network_overview, network.signal_percentiles,
+            network.throughput_by_slice, network.signal_class_distribution, network.latest_cell_kpis,
+            network.violation_breakdown, network.sla_compliance, network.anomaly_trend,
+            network.anomaly_proxy_breakdown, quality.kpi_band_counts, quality.ingest_audit,
+            quality.range_expectations, quality.parse_failures,
+        )
+    }
+    recent = {
+        report.__name__: lambda report=report: report(layers, newest)
+        for report in (dashboard.sla_scorecard, dashboard.latency_recent, dashboard.urllc_latency_gauge)
+    }
+    return {
+        "silver_events": lambda: bronze_to_silver(layers.bronze),
+        "cell_kpis": lambda: cell_kpis(layers.silver),
+        "slice_kpis": lambda: slice_kpis(layers.silver),
+        "sla_violations": lambda: sla_violations(layers.silver),
+    } | reports | recent
 
 
 def main() -> None:
@@ -34,23 +63,41 @@ def main() -> None:
     spark = build_session(
         "bench",
         f"local[{cpus}]",
-        **{
-            "spark.sql.shuffle.partitions": cpus,
-            "spark.ui.enabled": "false",
-            "spark.driver.memory": "8g",
-            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-"),
-        },
+        **{"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "8g"},
     )
     spark.sparkContext.setLogLevel("ERROR")
-    events = spark.read.parquet(f"{folder}/events.parquet").count()
-    queries, seconds = catalog(), {}
-    for name in (*HEADLINES, *STREAMS):
+
+    started = time.perf_counter()
+    base = tempfile.mkdtemp(prefix="bench-")
+    source = Medallion(spark, f"{base}/tables", f"{base}/checkpoints")
+    source.create_tables()
+    log = spark.read.parquet(f"{folder}/events.parquet").repartition(int(cpus))
+    append(bronze_from_log(log), source.path("bronze"), TABLES["bronze"])
+    source.run_available()
+    setup = time.perf_counter() - started
+
+    layers = Layers.from_tables(spark, source.base)
+    events = layers.bronze.count()
+    seconds = {}
+    for name, job in jobs(layers).items():
         samples = []
         for _ in range(runs + 1):
             started = time.perf_counter()
-            queries[name](spark, folder).write.format("noop").mode("overwrite").save()
+            job().write.format("noop").mode("overwrite").save()
             samples.append(time.perf_counter() - started)
         seconds[name] = round(statistics.median(samples[1:]), 3)
+
+    for table in ("silver", *GOLD):
+        samples = []
+        for _ in range(runs):
+            stream = source.stream("bronze" if table == "silver" else "silver")
+            derive = bronze_to_silver if table == "silver" else GOLD[table]
+            target = Medallion(spark, tempfile.mkdtemp(prefix="out-", dir=base), tempfile.mkdtemp(prefix="ck-", dir=base))
+            started = time.perf_counter()
+            target.start(table, derive(stream), trigger=None).awaitTermination()
+            samples.append(time.perf_counter() - started)
+        seconds[f"stream_{table}"] = round(statistics.median(samples), 3)
+
     print(
         json.dumps(
             {
@@ -58,7 +105,12 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
-                "stream_rows_per_sec": {name: round(events / seconds[name]) for name in STREAMS},
+                "rows_per_sec": {
+                    name: round(events / seconds[name])
+                    for name in ("silver_events", "cell_kpis", "slice_kpis", "sla_violations",
+                                 *(f"stream_{table}" for table in ("silver", *GOLD)))
+                },
+                "setup_sec": round(setup, 3),
                 "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
                 "events": events,
                 "cpus": int(cpus),

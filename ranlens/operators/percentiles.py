@@ -3,26 +3,19 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-# Buckets per factor e: a bucket spans values within 0.05 % of each other.
-BUCKETS_PER_E = 2000
-# More than the logarithm of any double is away from zero, so no bucket number changes sign.
-LOG_RANGE = 800
+# Buckets per factor e: a bucket spans values within 0.05 % of each other. The offset
+# exceeds the logarithm of any double, so that no bucket number changes its sign.
+BUCKET = """CASE WHEN isnan(value) THEN 3200000L WHEN value = 0 THEN 0L
+    ELSE cast(signum(value) * floor((ln(least(abs(value), 1.7e308)) + 800) * 2000) AS bigint) END"""
 
 
-def value_bucket(value: Column) -> Column:
-    """A bucket number that never falls when the value rises (NaN is the highest).
-
-    Buckets are logarithmic, so their number is bounded for any input and each is
-    narrow relative to its values.
-    """
-    size = F.ln(F.least(F.abs(value), F.lit(1.7e308)))
-    steps = F.floor((size + LOG_RANGE) * BUCKETS_PER_E)
-    signed = F.when(value == 0, F.lit(0)).otherwise(F.signum(value) * steps).cast("long")
-    return F.when(F.isnan(value), F.lit(2 * LOG_RANGE * BUCKETS_PER_E).cast("long")).otherwise(signed)
+def _position(fraction: float) -> str:
+    """Position of a percentile among the sorted values of its group, counted from 0."""
+    return f"({fraction}D * (total - 1))"
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
@@ -37,76 +30,69 @@ def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[st
     counts are summed per value bucket, and a running sum over the bounded set of
     buckets finds those that hold a wanted rank; (3) only the values of those
     buckets are sorted and numbered; (4) the two neighbours of each rank are
-    interpolated. The table is scanned once, as step 1 feeds both 2 and 3.
+    interpolated. The table is scanned once, as the shuffled counts of step 1 feed
+    both 2 and 3.
+
+    Buckets are logarithmic, so their number is bounded for any input; a bucket
+    number never falls when the value rises, and NaN is the highest.
     """
     columns = list(dict.fromkeys(column for column, _ in wanted.values()))
-    samples = [F.struct(F.lit(i).alias("metric"), F.col(c).cast("double").alias("value"))
-               for i, c in enumerate(columns)]
+    samples = ", ".join(f"struct({i} AS metric, cast(`{c}` AS double) AS value)" for i, c in enumerate(columns))
+    group, bucket = [*keys, "metric"], [*keys, "metric", "bucket"]
     counts = (
-        df.select(*keys, F.inline(F.array(*samples)))
+        df.selectExpr(*keys, f"inline(array({samples}))")
         .filter("value IS NOT NULL")
-        .withColumn("bucket", value_bucket(F.col("value")))
-        .groupBy(*keys, "metric", "bucket", "value")
+        .selectExpr(*group, f"{BUCKET} AS bucket", "value")
+        .groupBy(*bucket, "value")
         .agg(F.count("*").alias("copies"))
     )
 
-    group = Window.partitionBy(*keys, "metric")
-    ordered = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = (
-        counts.groupBy(*keys, "metric", "bucket")
+    # The fractions of a metric are looked up by its number: a plain test of the
+    # number would be pushed below step 1 and keep its shuffle from being shared.
+    of_metric = [[p for column, p in wanted.values() if column == c] for c in columns]
+    lookup = ", ".join(f"array({', '.join(f'{p}D' for p in fractions)})" for fractions in of_metric)
+    at = "(p * (total - 1))"
+    holds = " OR ".join(f"{side}({at}) BETWEEN before AND before + inside - 1" for side in ("floor", "ceil"))
+    running = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    targets = (
+        counts.groupBy(*bucket)
         .agg(F.sum("copies").alias("inside"))
-        .withColumn("upto", F.sum("inside").over(ordered))
-        .withColumn("total", F.sum("inside").over(group))
-        .withColumn("before", F.col("upto") - F.col("inside"))
-    )
-
-    def position(fraction: float) -> Column:
-        return F.lit(fraction) * (F.col("total") - 1)
-
-    def holds(rank: Column, first: str, end: Column) -> Column:
-        return (F.col(first) <= rank) & (rank < end)
-
-    def metric_is(column: str) -> Column:
-        return F.col("metric") == columns.index(column)
-
-    needed = [
-        metric_is(column) & (holds(F.floor(position(p)), "before", F.col("upto"))
-                             | holds(F.ceil(position(p)), "before", F.col("upto")))
-        for column, p in wanted.values()
-    ]
-    on_keys = [*keys, "metric", "bucket"]
-    targets = buckets.filter(reduce(or_, needed)).select(
-        *(F.col(k).alias(f"target_{k}") for k in on_keys), "before", "total"
+        .withColumns(
+            {
+                "before": F.sum("inside").over(running) - F.col("inside"),
+                "total": F.sum("inside").over(Window.partitionBy(*group)),
+            }
+        )
+        .filter(f"exists(array({lookup})[metric], p -> {holds})")
+        .selectExpr(*(f"`{k}` AS target_{k}" for k in bucket), "before", "total")
     )
-    match = reduce(and_, [F.col(k).eqNullSafe(F.col(f"target_{k}")) for k in on_keys])
 
-    inside = Window.partitionBy(*on_keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = (
-        counts.join(targets, match)
-        .withColumn("end", F.col("before") + F.sum("copies").over(inside))
-        .withColumn("start", F.col("end") - F.col("copies"))
-    )
+    match = reduce(and_, [F.col(k).eqNullSafe(F.col(f"target_{k}")) for k in bucket])
+    inside = Window.partitionBy(*bucket).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = counts.join(targets, match).withColumn("end", F.col("before") + F.sum("copies").over(inside))
 
-    picks = []
+    picks, outputs = [], []
     for name, (column, p) in wanted.items():
-        for side, rank in (("low", F.floor(position(p))), ("high", F.ceil(position(p)))):
-            at = metric_is(column) & holds(rank, "start", F.col("end"))
-            picks.append(F.max(F.when(at, F.col("value"))).alias(f"{name}_{side}"))
-        picks.append(F.max(F.when(metric_is(column), position(p))).alias(f"{name}_at"))
-    found = numbered.groupBy(*keys).agg(*picks)
-
-    def interpolated(name: str) -> Column:
-        low, high, at = F.col(f"{name}_low"), F.col(f"{name}_high"), F.col(f"{name}_at")
-        between = (F.ceil(at) - at) * low + (at - F.floor(at)) * high
-        return F.when(low == high, low).otherwise(between).alias(name)
-
-    return found.select(*keys, *(interpolated(name) for name in wanted))
-
-
-def with_percentiles(summary: DataFrame, df: DataFrame, keys: list[str],
-                     wanted: dict[str, tuple[str, float]]) -> DataFrame:
-    """A per-group summary with exact percentiles of ``df`` added to its rows."""
-    found = exact_percentiles(df, keys, wanted)
-    renamed = found.select(*(F.col(k).alias(f"group_{k}") for k in keys), *wanted)
-    match = reduce(and_, [F.col(k).eqNullSafe(F.col(f"group_{k}")) for k in keys])
-    return summary.join(renamed, match, "left").drop(*(f"group_{k}" for k in keys))
+        metric = columns.index(column)
+        for side in ("floor", "ceil"):
+            here = f"metric = {metric} AND {side}({_position(p)}) BETWEEN end - copies AND end - 1"
+            picks.append(F.expr(f"max(CASE WHEN {here} THEN value END) AS {name}_{side}"))
+        picks.append(F.expr(f"max(CASE WHEN metric = {metric} THEN {_position(p)} END) AS {name}_at"))
+        low, high, at = f"{name}_floor", f"{name}_ceil", f"{name}_at"
+        outputs.append(
+            f"CASE WHEN {low} = {high} THEN {low} "
+            f"ELSE (ceil({at}) - {at}) * {low} + ({at} - floor({at})) * {high} END AS {name}"
+        )
+    return numbered.groupBy(*keys).agg(*picks).selectExpr(*keys, *outputs)
+
+
+def with_percentiles(
+    summary: DataFrame, df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]
+) -> DataFrame:
+    """A summary with one row per group of ``df``, and exact percentiles added to its rows.
+
+    The two are put together by grouping, as a key may be NULL; without keys the
+    result is one row, also for an empty ``df``.
+    """
+    both = summary.unionByName(exact_percentiles(df, keys, wanted), allowMissingColumns=True)
+    return both.groupBy(*keys).agg(*(F.max(c).alias(c) for c in both.columns if c not in keys))

@@ -28,17 +28,19 @@ def _violation(rule: SlaRule, limit: Column) -> Column:
 def sla_violations(silver: DataFrame, detected_at: Column | datetime | None = None) -> DataFrame:
     """One row per breaching event and KPI beyond its slice's limit.
 
-    A single pass: each event builds at most five structs and inlines those that
-    apply, so the table is scanned once and nothing is shuffled. Works on streams.
+    A single pass: each event is expanded to its five KPIs and the fine ones are
+    dropped at once, inside generated code. The table is scanned once and nothing
+    is shuffled. Works on streams.
     """
     if detected_at is None:
         detected_at = F.current_timestamp()
     elif isinstance(detected_at, datetime):
         detected_at = F.lit(detected_at)
-    found = F.array_compact(F.array(*(_violation(rule, sla_limit(rule)) for rule in SLA_RULES)))
+    checked = F.array(*(_violation(rule, sla_limit(rule)) for rule in SLA_RULES))
     return (
         silver.filter("sla_breach")
-        .select(*EVENT_KEYS, detected_at.alias("detected_at"), F.inline(found))
+        .select(*EVENT_KEYS, detected_at.alias("detected_at"), F.inline(checked))
+        .filter("kpi_name IS NOT NULL")
         .select(*SLA_VIOLATIONS.names)
     )
 

@@ -15,7 +15,7 @@ from ranlens.operators.violations import sla_violations, with_table_breach
 from ranlens.operators.windows import cell_kpis, slice_kpis
 from ranlens.plans import dashboard, network, quality
 from ranlens.plans.layers import Layers
-from ranlens.session import shared_folder
+from ranlens.session import shared_folder, use_settings
 from ranlens.sources.event_log import bronze_from_log
 from ranlens.sources.payloads import parse_payload
 from ranlens.streaming.pipelines import start_append
@@ -25,7 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def layers_from_log(spark: SparkSession, folder: str) -> Layers:
     """The layers derived from the whole log; a violation is detected when its event happens."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    use_settings(spark)
     log = spark.read.parquet(f"{folder}/events.parquet")
     return Layers.from_bronze(bronze_from_log(log), detected_at=F.col("event_timestamp"))
 
@@ -92,7 +92,7 @@ def _streamed(derive: Callable[[DataFrame], DataFrame]) -> Query:
     """
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        use_settings(spark)
         local_test = not spark.conf.get("spark.checkpoint.dir", None)
         root = tempfile.mkdtemp(prefix="ranlens-") if local_test else shared_folder(spark)
         target = f"{root}/runs/{uuid.uuid4().hex}"

@@ -138,17 +138,17 @@ def breach_leaderboard(layers: Layers, as_of: AsOf = None, rows: int = 10) -> Da
 def urllc_latency_gauge(layers: Layers, as_of: AsOf = None) -> DataFrame:
     """One row, also when no event is recent."""
     target = SLA_LIMITS["URLLC"]["latency_ms"]
-    events = (
-        _recent_events(layers, "5 minutes", as_of)
-        .filter("slice_type = 'URLLC' AND latency_ms IS NOT NULL")
-        .withColumn("slice", F.lit("URLLC"))
-    )
+    events = _recent_events(layers, "5 minutes", as_of).filter("slice_type = 'URLLC' AND latency_ms IS NOT NULL")
     gauge = events.agg(
         F.avg("latency_ms").alias("avg_latency_ms"),
         flag_share_pct(F.col("latency_ms") > target).alias("pct_exceeding_sla"),
-    ).select(F.lit("URLLC").alias("slice"), F.lit(target).alias("sla_target_ms"), "*")
+    )
     wanted = {"p99_latency_ms": ("latency_ms", 0.99), "p95_latency_ms": ("latency_ms", 0.95)}
-    report = with_percentiles(gauge, events, ["slice"], wanted).select(
-        "slice", "p99_latency_ms", "p95_latency_ms", "avg_latency_ms", "sla_target_ms", "pct_exceeding_sla"
+    report = with_percentiles(gauge, events, [], wanted).select(
+        F.lit("URLLC").alias("slice"),
+        *wanted,
+        "avg_latency_ms",
+        F.lit(target).alias("sla_target_ms"),
+        "pct_exceeding_sla",
     )
     return rounded(report, dict.fromkeys([*wanted, "avg_latency_ms"], 3))

@@ -10,6 +10,11 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # The virtual machine never compiles a method above 8000 bytes of bytecode, and a wide
+    # projection fused with its neighbours exceeds that; split code is then the faster one.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Recording the call site of every column expression slows the building of wide plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Window state lives off the heap, so that many open keys do not press on memory.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -27,6 +32,12 @@ def build_session(app_name: str = "ranlens", master: str | None = None, **extra:
     return builder.getOrCreate()
 
 
+def use_settings(spark: SparkSession) -> None:
+    """Give a session that was built elsewhere the settings that fix results and generated code."""
+    for key in ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit"):
+        spark.conf.set(key, SETTINGS[key])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
