@@ -1,0 +1,75 @@
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from ranlens import schemas
+from ranlens.operators.silver import bronze_to_silver, conform
+from tests.conftest import plan_of
+
+GOOD = {
+    "event_id": "1", "event_timestamp": "2024-06-01T12:00:00.123456Z", "gnb_id": "GNB-LON-001",
+    "cell_id": "CELL-LON-000", "ue_id": "UE-00042", "slice_id": "S1", "slice_type": "eMBB", "rsrp_dbm": "-75.5",
+    "rsrq_db": "-9.0", "sinr_db": "12.0", "cqi": "11", "dl_throughput_mbps": "200", "ul_throughput_mbps": "25",
+    "latency_ms": "8", "jitter_ms": "3", "packet_loss_pct": "5.0E-2", "mcs_index": "20", "bler_pct": "1.5",
+    "rb_utilization_pct": "40", "latitude": "51.5", "longitude": "-0.1", "handover_count": "1", "is_anomaly": "false",
+}
+
+
+def bronze(spark, *changes):
+    data = [tuple((GOOD | change)[name] for name in schemas.BRONZE.names) for change in changes]
+    return spark.createDataFrame(data, ", ".join(f"{name} string" for name in schemas.BRONZE.names))
+
+
+def test_types_and_values(spark):
+    now = datetime.datetime(2024, 6, 1, 13)
+    silver = bronze_to_silver(bronze(spark, {}), now)
+    assert [(f.name, f.dataType) for f in silver.schema] == [(f.name, f.dataType) for f in schemas.SILVER]
+    row = silver.withColumn("micros", F.unix_micros("event_timestamp")).first()
+    assert row.micros == 1717243200123456
+    assert (row.packet_loss_pct, row.cqi, row.is_anomaly) == (0.05, 11, False)
+    assert (row.signal_quality_class, row.sla_breach) == ("Excellent", False)
+    assert row.ingested_at == now
+
+
+def test_bad_values_become_null_and_rows_survive(spark):
+    bad = {"rsrp_dbm": "n/a", "latency_ms": "fast", "cqi": "10.7", "is_anomaly": "perhaps", "latitude": ""}
+    row = bronze_to_silver(bronze(spark, bad)).first()
+    assert [row[name] for name in bad] == [None] * len(bad)
+    assert row.signal_quality_class == "Unknown"
+
+
+def test_nan_text_is_poor_and_no_breach(spark):
+    row = bronze_to_silver(bronze(spark, {"rsrp_dbm": "NaN", "latency_ms": "NaN"})).first()
+    assert (row.signal_quality_class, row.sla_breach) == ("Poor", False)
+
+
+@pytest.mark.parametrize("key", ["event_id", "cell_id", "ue_id", "event_timestamp"])
+def test_missing_key_drops_the_row(spark, key):
+    assert bronze_to_silver(bronze(spark, {key: None})).count() == 0
+
+
+def test_bad_timestamp_drops_the_row(spark):
+    assert bronze_to_silver(bronze(spark, {"event_timestamp": "bad"})).count() == 0
+
+
+def test_missing_base_station_is_kept(spark):
+    assert bronze_to_silver(bronze(spark, {"gnb_id": None})).count() == 1
+
+
+def test_plan_is_one_stage_without_python(spark):
+    plan = plan_of(bronze_to_silver(bronze(spark, {})))
+    assert "Exchange" not in plan and "EvalPython" not in plan
+
+
+def test_conform_drops_adds_and_orders(spark):
+    extra = bronze(spark, {}).drop("latitude").withColumn("anomaly_kind", F.lit("x")).select("anomaly_kind", *reversed(
+        [name for name in schemas.BRONZE.names if name != "latitude"]))
+    fitted = conform(extra, schemas.BRONZE)
+    assert fitted.columns == schemas.BRONZE.names
+    assert fitted.first().latitude is None
+
+
+def test_conform_rejects_a_missing_key(spark):
+    with pytest.raises(ValueError, match="ue_id"):
+        conform(bronze(spark, {}).drop("ue_id"), schemas.BRONZE)
