@@ -64,7 +64,9 @@ class Medallion:
     """The four streams between the tables under ``base``.
 
     Silver feeds the gold streams, each with its own progress, so a slow one does
-    not hold up the others.
+    not hold up the others. ``max_files_per_trigger`` limits the bronze stream only:
+    a silver batch is several files of the same period, and reading them in turns
+    would let the first one advance the watermark past the rows of the others.
     """
 
     spark: SparkSession
@@ -83,9 +85,8 @@ class Medallion:
             ensure_table(self.spark, self.path(table), spec, f"{database}.{table}" if database else None, self.fmt)
 
     def stream(self, table: str) -> DataFrame:
-        return stream_table(
-            self.spark, self.path(table), self.tables[table].schema, self.fmt, self.max_files_per_trigger
-        )
+        limit = self.max_files_per_trigger if table == "bronze" else None
+        return stream_table(self.spark, self.path(table), self.tables[table].schema, self.fmt, limit)
 
     def start(self, table: str, df: DataFrame, trigger: str | None = TRIGGER_INTERVAL) -> StreamingQuery:
         checkpoint = f"{self.checkpoints}/{table}" if self.checkpoints else None
