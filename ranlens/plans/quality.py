@@ -41,9 +41,8 @@ def ingest_audit(layers: Layers) -> DataFrame:
         layers.bronze.groupBy(minute(typed("event_timestamp", T.TimestampType())).alias("minute"))
         .agg(F.count("*").alias("events"), F.count_if(F.col("is_anomaly") == "true").alias("anomalies"))
     )
-    start = per_minute.agg(F.min(F.unix_seconds("minute"))).scalar()
-    elapsed = F.unix_seconds("minute") - start + 60
-    audit = running_total(per_minute, "minute", "events", "total_events")
+    audit = running_total(per_minute, "minute", "events", "total_events", "first_minute")
+    elapsed = F.unix_seconds("minute") - F.unix_seconds("first_minute") + 60
     return audit.select(
         "minute", "events", "anomalies", "total_events", F.round(F.col("total_events") / elapsed, 2).alias("events_per_sec")
     ).orderBy("minute")

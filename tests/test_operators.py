@@ -180,7 +180,8 @@ def test_running_total_equals_one_window(spark):
     data = [(start + datetime.timedelta(minutes=17 * i), i) for i in range(200)] + [(None, 5)]
     series = spark.createDataFrame(data, "ts timestamp, n long")
     whole = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    assert rows(running_total(series, "ts", "n", "upto")) == rows(series.withColumn("upto", F.sum("n").over(whole)))
+    expected = series.withColumn("upto", F.sum("n").over(whole)).withColumn("first", F.lit(start))
+    assert rows(running_total(series, "ts", "n", "upto", "first").select("ts", "n", "upto", "first")) == rows(expected)
 
 
 def test_broadcast_only_within_the_bound(spark):
