@@ -7,6 +7,10 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+# Time columns and the day column that a table layout may have for them.
+DAY_COLUMNS = {"event_timestamp": "event_date", "window_end": "window_date", "detected_at": "detected_date"}
+
+
 def minute(ts: Column | str) -> Column:
     return F.date_trunc("minute", ts)
 
@@ -20,8 +24,8 @@ def recent(df: DataFrame, ts: str, interval: str, as_of: Column | datetime | Non
     """Rows with ``ts >= as_of - interval``; inclusive, with no upper bound.
 
     ``as_of`` defaults to the current time, which Spark folds to a literal and
-    pushes to the scan. A table laid out by ``event_date`` or ``window_date``
-    also gets the matching date filter, so older directories are not listed.
+    pushes to the scan. A table laid out by the day of ``ts`` also gets the matching
+    day filter, so older directories are not read.
     """
     if as_of is None:
         as_of = F.current_timestamp()
@@ -29,7 +33,7 @@ def recent(df: DataFrame, ts: str, interval: str, as_of: Column | datetime | Non
         as_of = F.lit(as_of)
     oldest = as_of - F.expr(f"INTERVAL {interval}")
     kept = df.filter(F.col(ts) >= oldest)
-    day = {"event_timestamp": "event_date", "window_end": "window_date"}.get(ts)
+    day = DAY_COLUMNS.get(ts)
     if day in df.columns:
         kept = kept.filter(F.col(day) >= utc_date(oldest))
     return kept

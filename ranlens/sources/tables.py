@@ -14,8 +14,8 @@ from ranlens.functions.timing import utc_date
 class TableSpec:
     """Schema, layout and description of a stored table.
 
-    ``partition_by`` may name a day column (``event_date`` or ``window_date``) that
-    is not in the schema; it is derived from ``day_of`` on write.
+    ``partition_by`` may name a day column that is not in the schema; it is derived
+    from ``day_of`` on write.
     """
 
     schema: T.StructType
@@ -39,7 +39,7 @@ TABLES = {
     "cell_kpis": TableSpec(schemas.CELL_KPIS, ("window_date",), "window_end", "Windowed KPIs per cell"),
     "slice_kpis": TableSpec(schemas.SLICE_KPIS, ("window_date",), "window_end", "Windowed KPIs per slice"),
     "sla_violations": TableSpec(
-        schemas.SLA_VIOLATIONS, ("event_date",), "event_timestamp", "One row per breached KPI"
+        schemas.SLA_VIOLATIONS, ("detected_date",), "detected_at", "One row per breached KPI"
     ),
 }
 

@@ -8,26 +8,28 @@ from tests.conftest import rows
 
 LATER = datetime.datetime(2030, 1, 1)
 
-# The SQL that users of the views write, against the report of the same name.
+# SQL text over the views, with the built-in aggregates, against the report of the same name.
 SQL = {
-    network.network_overview: """SELECT slice_type, COUNT(*) AS total_events,
-        ROUND(AVG(CAST(is_anomaly AS INT)) * 100, 2) AS anomaly_rate_pct, COUNT(DISTINCT cell_id) AS unique_cells,
-        COUNT(DISTINCT ue_id) AS unique_ues, MIN(event_timestamp) AS earliest_event, MAX(event_timestamp) AS latest_event
-        FROM silver_events GROUP BY slice_type""",
-    network.latency_by_slice: """SELECT slice_type, ROUND(PERCENTILE(latency_ms, 0.5), 3), ROUND(PERCENTILE(latency_ms, 0.95), 3),
-        ROUND(PERCENTILE(latency_ms, 0.99), 3), ROUND(MAX(latency_ms), 3), ROUND(AVG(jitter_ms), 3), ROUND(AVG(packet_loss_pct), 5)
-        FROM silver_events WHERE latency_ms IS NOT NULL GROUP BY slice_type""",
-    network.signal_percentiles: """SELECT slice_type, ROUND(MIN(rsrp_dbm), 1), ROUND(PERCENTILE(rsrp_dbm, 0.25), 1),
-        ROUND(PERCENTILE(rsrp_dbm, 0.5), 1), ROUND(PERCENTILE(rsrp_dbm, 0.75), 1), ROUND(MAX(rsrp_dbm), 1),
-        ROUND(PERCENTILE(sinr_db, 0.5), 1), ROUND(PERCENTILE(sinr_db, 0.05), 1)
-        FROM silver_events WHERE rsrp_dbm IS NOT NULL AND sinr_db IS NOT NULL GROUP BY slice_type""",
-    network.latest_cell_kpis: """WITH newest AS (SELECT cell_id, MAX(window_end) AS latest_end FROM cell_kpis GROUP BY cell_id)
-        SELECT c.cell_id, gnb_id, ROUND(avg_rsrp_dbm, 1), ROUND(avg_sinr_db, 1), ROUND(avg_dl_throughput_mbps, 1),
-        ROUND(avg_latency_ms, 2), ROUND(avg_rb_utilization_pct, 1), event_count, unique_ues, sla_breach_count, anomaly_count
-        FROM cell_kpis c JOIN newest n ON c.cell_id = n.cell_id AND c.window_end = n.latest_end""",
-    network.sla_compliance: """SELECT slice_type, COUNT(*), SUM(CAST(sla_breach AS INT)),
-        ROUND((1 - SUM(CAST(sla_breach AS INT)) / COUNT(*)) * 100, 2)
-        FROM silver_events WHERE slice_type IS NOT NULL GROUP BY slice_type""",
+    network.network_overview: """SELECT slice_type, count(1), round(100 * mean(int(is_anomaly)), 2),
+        size(collect_set(cell_id)), size(collect_set(ue_id)), min(event_timestamp), max(event_timestamp)
+        FROM silver_events GROUP BY ALL""",
+    network.latency_by_slice: """SELECT slice_type, round(p[0], 3), round(p[1], 3), round(p[2], 3), round(slowest, 3),
+        round(jitter, 3), round(loss, 5)
+        FROM (SELECT slice_type, percentile(latency_ms, array(0.5, 0.95, 0.99)) AS p, max(latency_ms) AS slowest,
+          mean(jitter_ms) AS jitter, mean(packet_loss_pct) AS loss FROM silver_events
+          WHERE latency_ms IS NOT NULL GROUP BY slice_type)""",
+    network.signal_percentiles: """SELECT slice_type, round(r[0], 1), round(r[1], 1), round(r[2], 1), round(r[3], 1),
+        round(r[4], 1), round(s[0], 1), round(s[1], 1)
+        FROM (SELECT slice_type, percentile(rsrp_dbm, array(0, 0.25, 0.5, 0.75, 1)) AS r,
+          percentile(sinr_db, array(0.5, 0.05)) AS s FROM silver_events
+          WHERE isnotnull(rsrp_dbm) AND isnotnull(sinr_db) GROUP BY slice_type)""",
+    network.latest_cell_kpis: """SELECT cell_id, gnb_id, round(avg_rsrp_dbm, 1), round(avg_sinr_db, 1),
+        round(avg_dl_throughput_mbps, 1), round(avg_latency_ms, 2), round(avg_rb_utilization_pct, 1),
+        event_count, unique_ues, sla_breach_count, anomaly_count
+        FROM cell_kpis WHERE (cell_id, window_end) IN (SELECT cell_id, max(window_end) FROM cell_kpis GROUP BY cell_id)""",
+    network.sla_compliance: """SELECT slice_type, n, bad, round((n - bad) / n * 100, 2)
+        FROM (SELECT slice_type, count(1) AS n, count_if(sla_breach) AS bad FROM silver_events GROUP BY slice_type)
+        WHERE isnotnull(slice_type)""",
 }
 
 
