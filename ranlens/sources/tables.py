@@ -117,7 +117,11 @@ def _quoted(text: str) -> str:
 
 
 def register_table(spark: SparkSession, name: str, path: str, spec: TableSpec, fmt: str = "parquet") -> None:
-    """Register an external table with an explicit schema, unless the name exists."""
+    """Register an external table with an explicit schema, unless the name exists.
+
+    A catalog that tracks partitions needs ``spark.catalog.recoverPartitions(name)``
+    after files were added; ``read_table`` always lists them.
+    """
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spec.stored_schema)
     layout = f"PARTITIONED BY ({', '.join(spec.partition_by)})" if spec.partition_by else ""
     spark.sql(

@@ -164,6 +164,16 @@ def test_all_four_streams_run_together(spark, layers, tmp_path):
     assert read_table(spark, medallion.path("sla_violations")).count() == sla_violations(layers.silver).count()
 
 
+def test_tables_are_registered_in_a_database(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS radio")
+    medallion = Medallion(spark, str(tmp_path / "tables"))
+    for _ in range(2):
+        medallion.create_tables("radio")
+    stored_tables = {t.name for t in spark.catalog.listTables("radio") if not t.isTemporary}
+    assert stored_tables == set(TABLES)
+    assert spark.table("radio.sla_violations").columns == [*schemas.SLA_VIOLATIONS.names, "detected_date"]
+
+
 def test_default_checkpoint_is_in_the_shared_folder(spark, layers, bronze_dir, tmp_path):
     stream = bronze_to_silver(stream_table(spark, str(bronze_dir), schemas.BRONZE))
     start_append(stream, str(tmp_path / "out"), "in_shared", trigger=None).awaitTermination()
