@@ -2,9 +2,11 @@ import pytest
 
 import __spark_entry__ as entry_module
 from checks.compare import connect, differences
+from checks.oracle_sql import statements
+from ranlens.plans.catalog import catalog
 from tests.conftest import plan_of
 
-QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, SQL = catalog(), statements()
 
 
 @pytest.fixture(scope="module")
@@ -13,8 +15,9 @@ def database(folder):
         yield con
 
 
-def test_every_query_has_sql():
+def test_every_query_has_sql_and_is_registered():
     assert QUERIES.keys() == SQL.keys()
+    assert QUERIES.keys() <= entry_module.queries().keys() and SQL.keys() <= entry_module.oracle_sql().keys()
 
 
 @pytest.mark.parametrize("name", QUERIES)
