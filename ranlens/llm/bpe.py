@@ -7,7 +7,7 @@ deletes that boundary, and looks up the two ranks beside it. Words too long for
 quadratic) take their smallest rank from a heap instead, with the same result.
 
 There is no shuffle: each row is encoded where it is read. Memory is bounded by the slice, the
-longest text and the worker's cache, which is emptied when full.
+longest text and the worker's caches: when the younger is full it becomes the older one, which goes.
 
 Nulls count as empty texts; an empty text has no ids and decodes to an empty text. Repeated rows give
 repeated rows; other columns are not read.
@@ -19,6 +19,7 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ from ranlens.llm.common import sha256, slices, tokenizer_path
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of a word that is merged in the rectangular arrays, and kept in the cache.
 SHORT_WORD = 64
-#: Words the cache of a worker holds at most.
-CACHE_WORDS = 200_000
+#: Words the two caches of a worker take up before one is dropped.
+CACHE_WORDS = 600_000
 NO_RANK = np.iinfo(np.int32).max
 
 
@@ -66,6 +67,7 @@ class Vocabulary:
         self.words = regex.compile(public_tokenizers.PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of adjacent ids; NO_RANK where no merge joins them."""
@@ -77,31 +79,36 @@ class Vocabulary:
         """The ids of words of similar length, merged in step: one row of the arrays a word."""
         width = max(map(len, words))
         parts = np.full((len(words), width + 1), -1, dtype=np.int32)
-        for row, word in enumerate(words):
-            parts[row, : len(word)] = self.byte_ids[np.frombuffer(word, dtype=np.uint8)]
+        filled = np.frombuffer(b"".join(word.ljust(width, b"\0") for word in words), dtype=np.uint8)
+        sizes = np.array([len(word) for word in words])
+        columns = np.arange(width)
+        parts[:, :width] = np.where(columns < sizes[:, None], self.byte_ids[filled].reshape(-1, width), -1)
         ranks = self.ranks(np.maximum(parts[:, :-1], 0), parts[:, 1:])
-        rows, columns = np.arange(len(words)), np.arange(width)
-        while len(rows):
-            at = ranks[rows].argmin(axis=1)
-            best = ranks[rows, at]
+        done, rows = parts.copy(), np.arange(len(words))
+        while True:
+            own = np.arange(len(rows))
+            at = ranks.argmin(axis=1)
+            best = ranks[own, at]
             found = best < NO_RANK
-            rows, at, best = rows[found], at[found], best[found]
+            if not found.all():  # words whose parts are final leave the arrays
+                done[rows[~found]] = parts[~found]
+                rows, parts, ranks, at, best = rows[found], parts[found], ranks[found], at[found], best[found]
+                own = own[: len(rows)]
             if not len(rows):
                 break
-            behind = columns[None, :] > at[:, None]
-            moved = np.minimum(columns[None, :] + behind, width)
-            parts[rows, at] = self.merged[best]
-            parts[rows[:, None], columns[None, :]] = np.take_along_axis(parts[rows], moved, axis=1)
-            held = np.take_along_axis(ranks[rows], np.minimum(moved, width - 1), axis=1)
-            held[:, -1] = NO_RANK
-            own = np.arange(len(rows))
-            held[own, at] = self.ranks(parts[rows, at], parts[rows, at + 1])
+            parts[own, at] = self.merged[best]
+            moved = columns + (columns > at[:, None])
+            parts[:, :width] = np.take_along_axis(parts, moved, axis=1)
+            ranks = np.take_along_axis(ranks, np.minimum(moved, width - 1), axis=1)
+            ranks[:, -1] = NO_RANK
             before = np.maximum(at - 1, 0)
-            held[own, before] = np.where(
-                at > 0, self.ranks(parts[rows, before], parts[rows, before + 1]), held[own, before]
-            )
-            ranks[rows] = held
-        return [row[row >= 0].astype("<u4").tobytes() for row in parts]
+            left = np.concatenate([parts[own, at], parts[own, before]])
+            fresh = self.ranks(left, np.concatenate([parts[own, at + 1], parts[own, before + 1]]))
+            ranks[own, before] = fresh[len(rows) :]
+            ranks[own, at] = fresh[: len(rows)]
+        ends = (done >= 0).sum(axis=1) * 4
+        data, step = done.astype("<u4").tobytes(), 4 * (width + 1)
+        return [data[k * step : k * step + end] for k, end in enumerate(ends.tolist())]
 
     def merge_long(self, word: bytes) -> bytes:
         """The ids of one long word, its smallest rank taken from a heap."""
@@ -141,20 +148,28 @@ class Vocabulary:
             done.update(zip((word for word, _ in group), self.merge_short([data for _, data in group])))
         return done
 
+    def ids_of(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of each word, from the caches or merged; what is met again stays in the caches longer."""
+        if len(self.cache) > CACHE_WORDS // 2:
+            self.older, self.cache = self.cache, {}
+        again = {w: self.older[w] for w in words - self.cache.keys() if w in self.older}
+        fresh = self.merge([w for w in words - self.cache.keys() if w not in again])
+        known = {w: self.cache[w] for w in words if w in self.cache} | again | fresh
+        room = max(0, CACHE_WORDS // 2 - len(again))
+        self.cache.update(again)
+        self.cache.update((w, fresh[w]) for w in islice((w for w in fresh if len(w) <= SHORT_WORD), room))
+        return known
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, as little-endian unsigned 32-bit integers."""
         cut = [self.cut.split(text) if self.cut else [text] for text in texts]
         words = [[p if p in self.special else self.words.findall(p) for p in parts] for parts in cut]
-        met = {w for parts in words for p in parts if type(p) is list for w in p}
-        missed = [w for w in met if w not in self.cache]
-        if len(self.cache) + len(missed) > CACHE_WORDS:
-            self.cache = {}
-            missed = list(met)
-        fresh = self.merge(missed)
-        kept = {w: ids for w, ids in fresh.items() if len(w) <= SHORT_WORD}
-        if len(self.cache) + len(kept) <= CACHE_WORDS:
-            self.cache.update(kept)
-        known = self.cache if fresh.keys() <= self.cache.keys() else self.cache | fresh
+        met = set()
+        for parts in words:
+            for p in parts:
+                if type(p) is list:
+                    met.update(p)
+        known = self.ids_of(met)
         special = {text: i.to_bytes(4, "little") for text, i in self.special.items()}
         return [
             b"".join(special[p] if type(p) is str else b"".join(map(known.__getitem__, p)) for p in parts)
