@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ranlens.llm import bpe, language, quality, secrets, token_counts
+from ranlens.llm import bpe, html_text, language, quality, secrets, token_counts, vectors
 from ranlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extracted(table(spark, folder, "pages"))
+
+
 def op2_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trips(table(spark, folder, "documents"))
 
@@ -28,6 +32,11 @@ def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.found_secrets(table(spark, folder, "documents"))
 
 
+def op7_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return vectors.top_k(rows, rows.where("vec_id % 100 = 0"))
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = language.predictions(docs, language.learned(docs))
@@ -35,7 +44,17 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op2_bpe_round_trip, op3_token_counts, op4_quality_rules, op6_secret_scan, op10_language_id)}
+    """Every query of this part but the pipeline, by name."""
+    named = (
+        op1_html_text,
+        op2_bpe_round_trip,
+        op3_token_counts,
+        op4_quality_rules,
+        op6_secret_scan,
+        op7_top_k,
+        op10_language_id,
+    )
+    return {query.__name__: query for query in named}
 
 
 def oracle_sql() -> dict[str, str]:
