@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ranlens.llm import bpe, html_text, language, quality, secrets, token_counts, vectors
+from ranlens.llm import bpe, html_text, language, mixing, quality, secrets, token_counts, vectors
 from ranlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op5_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.takings(table(spark, folder, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.found_secrets(table(spark, folder, "documents"))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Query]:
         op2_bpe_round_trip,
         op3_token_counts,
         op4_quality_rules,
+        op5_source_mix,
         op6_secret_scan,
         op7_top_k,
         op10_language_id,
