@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ranlens.llm import bpe, html_text, language, mixing, personal, quality, secrets, token_counts, vectors
+from ranlens.llm import bpe, html_text, language, mixing, personal, quality, secrets, similar, token_counts, vectors
 from ranlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op7_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.top_k(rows, rows.where("vec_id % 100 = 0"))
 
 
+def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return similar.joined(table(spark, folder, "documents"))
+
+
 def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return personal.personal_data(table(spark, folder, "documents"))
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Query]:
         op5_source_mix,
         op6_secret_scan,
         op7_top_k,
+        op8_jaccard_join,
         op9_personal_data,
         op10_language_id,
     )
