@@ -43,6 +43,8 @@ HASHES = BANDS * BAND_ROWS
 TOLERANCE, COMPARED = 1e-5, 8
 #: Sets of a block in a bucket; sets and shingles of a block in a component.
 BUCKET_BLOCK, COMPONENT_BLOCK, SHINGLE_BLOCK = 2_048, 1_024, 1_000_000
+#: Values of a hash by which rows are sorted out before a join: the list that is broadcast has as many integers at most.
+SIEVE = 1 << 20
 #: Columns of a dense block when intersections are counted by a product of matrices.
 COLUMNS = 4_096
 
@@ -227,6 +229,17 @@ def in_blocks(rows: DataFrame, blocks: Column) -> DataFrame:
     return rows.withColumn("pair", F.explode(others)).select("*", "pair.a", "pair.b").drop("pair")
 
 
+def sieved(docs: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` that may be among ``chosen`` (``how`` left_semi), or surely are not (left_anti), by ``doc`` of both.
+
+    So that few texts are shuffled when few are chosen. The broadcast side has SIEVE integers at most; where
+    they are all taken every row may be among the chosen, and the join after it decides alone.
+    """
+    slot = F.pmod(F.xxhash64("doc"), SIEVE).alias("slot")
+    slots = F.broadcast(chosen.select(slot).distinct())
+    return docs.join(slots, F.pmod(F.xxhash64(docs["doc"]), SIEVE) == slots["slot"], how)
+
+
 def likely_edges(sets: DataFrame) -> DataFrame:
     """Edges ``x``, ``y`` that connect the sets of likely pairs."""
     buckets = sets.select("set", F.explode("buckets").alias("bucket"))
@@ -263,11 +276,12 @@ def verified(docs: DataFrame, members: DataFrame, text: str, key: str) -> DataFr
     """
     totals = members.groupBy("label").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
     blocks = F.greatest(F.ceil(F.col("n") / COMPONENT_BLOCK), F.ceil(F.col("total") / SHINGLE_BLOCK))
-    chosen = members.join(totals.select("label", blocks.alias("blocks")), "label").select(
-        "set", "copies", "label", "blocks", F.col("doc.id").alias("_id"), F.col("doc.hash").alias("_hash")
+    chosen = written(
+        members.join(totals.select("label", blocks.alias("blocks")), "label").select("set", "copies", "label", "blocks", "doc"),
+        "members",
     )
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text)
-    found = texts.join(written(chosen, "members"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
+    texts = sieved(docs.select(document(text, key).alias("doc"), text), chosen, "left_semi")
+    found = texts.join(chosen, texts["doc"].eqNullSafe(chosen["doc"]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
@@ -375,8 +389,13 @@ def joined(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows without those of a class but its first; of rows alike in id and text one stays."""
     sketches, sets = classes(docs, text, key)
-    wordless = sketches.where("size = 0").select("doc")
-    kept = written(sets.select(F.col("first").alias("doc")).unionByName(wordless).distinct(), "kept")
-    rows = docs.withColumn("_doc", document(text, key))
-    same = F.col("_doc.id").eqNullSafe(F.col("doc.id")) & (F.col("_doc.hash") == F.col("doc.hash"))
-    return rows.join(kept, same).dropDuplicates(["_doc"]).select(*docs.columns)
+    judged = sketches.select("doc", "set", "size").join(sets.select("set", "first"), "set", "left")
+    stays = (F.col("size") == 0) | F.col("doc").eqNullSafe(F.col("first"))
+    counted = judged.groupBy("doc").agg(F.count("*").alias("n"), F.max(stays).alias("stays"))
+    affected = written(counted.where("n > 1 OR NOT stays").select(F.col("doc").alias("other"), "stays"), "affected")
+    rows = docs.select(F.struct("*").alias("row"), document(text, key).alias("doc"))
+    slots = affected.select(F.col("other").alias("doc"))
+    untouched = sieved(rows, slots, "left_anti").select("row.*")
+    doubtful = sieved(rows, slots, "left_semi")
+    left = doubtful.join(affected, F.col("doc").eqNullSafe(F.col("other")), "left").where("stays IS NULL OR stays")
+    return untouched.unionByName(left.dropDuplicates(["doc"]).select("row.*"))
