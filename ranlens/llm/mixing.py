@@ -148,6 +148,6 @@ def takings(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of the mix, whole and each as often as it is taken."""
     rows = written(keyed(docs.select("doc_id", "text", "source")).drop("text"), "keys")
-    taken = beside_limits(keyed(docs), limits(rows))
+    whole = keyed(docs.select(F.struct("*").alias("_row"), "doc_id", "text", "source")).drop("text")
     repeated = F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))
-    return taken.where("_copies > 0").withColumn("_copy", repeated).select(*docs.columns)
+    return beside_limits(whole, limits(rows)).where("_copies > 0").select("_row", repeated).select("_row.*")

@@ -45,7 +45,7 @@ TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame"
 CAPITALISED = r"\p{Lu}[\p{L}'-]{1,30}+"
 PATTERNS |= {
     "name": rf"(?<!\p{{L}})(?:{TITLES})\.?\x20{CAPITALISED}(?:\x20{CAPITALISED})?",
-    "id_number": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
+    "id_number": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![0-9./-])",
     "local_phone": r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
 }
@@ -268,7 +268,7 @@ def personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
 def masked(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with every finding in the text replaced by its kind in angle brackets; findings that meet become one."""
-    found = with_findings(docs, text)
+    found = with_findings(docs.select(F.struct("*").alias("_row"), text), text)
     names = F.array(*(F.lit(f"<{kind.upper()}>") for kind in KINDS))
     by_start = F.array_sort(
         F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
@@ -283,4 +283,5 @@ def masked(docs: DataFrame, text: str = "text") -> DataFrame:
 
     rest = lambda at: F.concat(at["out"], F.substr(F.col(text), at["at"] + 1, F.length(text)))
     rewritten = F.aggregate(by_start, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)
-    return found.withColumn(text, F.when(F.size("_spans") > 0, rewritten).otherwise(F.col(text))).select(*docs.columns)
+    masked_text = F.when(F.size("_spans") > 0, rewritten).otherwise(F.col(text)).alias(text)
+    return found.select(*(masked_text if name == text else F.col("_row")[name].alias(name) for name in docs.columns))
