@@ -407,7 +407,9 @@ def statements() -> dict[str, str]:
             round(quantile_cont(latency_ms, 0.95), 3) AS p95_latency_ms, round(avg(latency_ms), 3) AS avg_latency_ms,
             1.0::DOUBLE AS sla_target_ms, {_share('latency_ms > 1.0::DOUBLE')} AS pct_exceeding_sla
             FROM silver WHERE slice_type = 'URLLC' AND {_since('5 MINUTE')} AND latency_ms IS NOT NULL"""),
-        "latest_events": (BRONZE, "SELECT * FROM bronze ORDER BY event_timestamp DESC, event_id DESC LIMIT 20"),
+        "latest_events": (BRONZE, """SELECT * FROM bronze ORDER BY TRY_CAST(rtrim(event_timestamp, 'Z') AS TIMESTAMP) DESC NULLS LAST,
+            event_timestamp DESC, event_id DESC LIMIT 20"""),
+        "latest_events_by_text": (BRONZE, "SELECT * FROM bronze ORDER BY event_timestamp DESC, event_id DESC LIMIT 20"),
         "bronze_anomaly_breakdown": (BRONZE, """SELECT slice_type, is_anomaly, count(*) AS event_count FROM bronze
             GROUP BY ALL"""),
         "ingest_audit": (BRONZE, """SELECT minute, events, anomalies, total_events,
@@ -434,6 +436,7 @@ def statements() -> dict[str, str]:
         "stream_silver_events": (SILVER, "SELECT * FROM silver"),
         "stream_cell_kpis": (CELLS, f"{cells} WHERE {CLOSED}"),
         "stream_slice_kpis": (SLICES, f"{slices} WHERE {CLOSED}"),
+        "sla_violations_by_table": (VIOLATIONS, "SELECT * FROM violations"),
         "stream_sla_violations": (VIOLATIONS, "SELECT * FROM violations"),
     }
     return {name: half_up(interpolated(f"WITH {tables.strip()}\n{select}")) for name, (tables, select) in body.items()}

@@ -9,8 +9,8 @@ from pyspark.sql import Column, functions as F
 
 
 def choose(branches: Iterable[tuple[Column, Any]], otherwise: Any) -> Column:
-    """``CASE WHEN … THEN … ELSE otherwise END``; the first true branch wins."""
+    """``CASE WHEN … THEN … ELSE otherwise END``; the first true branch wins. Without branches, ``otherwise``."""
     case: Any = F
     for condition, value in branches:
         case = case.when(condition, value)
-    return case.otherwise(otherwise)
+    return case.otherwise(otherwise) if case is not F else F.lit(otherwise)

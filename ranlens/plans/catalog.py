@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -69,13 +68,18 @@ def _by_table(spark: SparkSession, folder: str) -> DataFrame:
     return with_table_breach(events, limits_table(spark)).select("event_id", "slice_type", "sla_breach")
 
 
+def _violations_by_table(spark: SparkSession, folder: str) -> DataFrame:
+    silver = layers_from_log(spark, folder).silver
+    return comparable(without_stamps(sla_violations(silver, F.col("event_timestamp"), limits_table(spark))))
+
+
 def _by_sql_functions(spark: SparkSession, folder: str) -> DataFrame:
-    layers_from_log(spark, folder).register(spark)
     register_functions(spark)
     return spark.sql(
         """SELECT event_id, signal_quality(rsrp_dbm) AS signal_quality_class,
         breaches_sla(slice_type, dl_throughput_mbps, ul_throughput_mbps, latency_ms, packet_loss_pct, jitter_ms)
-          AS sla_breach FROM silver_events"""
+          AS sla_breach FROM {silver}""",
+        silver=layers_from_log(spark, folder).silver,
     )
 
 
@@ -85,27 +89,39 @@ def _by_payload(spark: SparkSession, folder: str) -> DataFrame:
     return comparable(without_stamps(bronze_to_silver(parse_payload(messages))))
 
 
-def _streamed(derive: Callable[[DataFrame], DataFrame]) -> Query:
-    """Run the log through a stream into a table of the shared folder, and read that table.
+def _streamed(derive: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame] = lambda df: df) -> Query:
+    """Run the log through a stream into a table of the shared folder, and give back what the table holds.
 
-    Only a session without a shared folder (a local test) uses a temporary one.
+    The log may be one file or a folder of files. The rows are kept as a checkpoint, and the table and the
+    stream's own checkpoint are removed.
     """
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         use_settings(spark)
-        local_test = not spark.conf.get("spark.checkpoint.dir", None)
-        root = tempfile.mkdtemp(prefix="ranlens-") if local_test else shared_folder(spark)
-        target = f"{root}/runs/{uuid.uuid4().hex}"
+        target = f"{shared_folder(spark)}/runs/{uuid.uuid4().hex}"
         schema = spark.read.parquet(f"{folder}/events.parquet").schema
-        log = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+        # A pattern may stand for a file, where a streaming source takes a plain path for a folder.
+        log = spark.readStream.schema(schema).parquet(f"{folder}/events.parque[t]")
         result = derive(bronze_to_silver(bronze_from_log(log)))
         query = start_append(result, f"{target}/table", uuid.uuid4().hex, f"{target}/checkpoint", trigger=None)
         query.awaitTermination()
-        return comparable(without_stamps(spark.read.schema(result.schema).parquet(f"{target}/table")))
+        stored = spark.read.schema(result.schema).parquet(f"{target}/table").select(*result.columns)
+        kept = checkpointed(comparable(without_stamps(finish(stored))))
+        path = spark._jvm.org.apache.hadoop.fs.Path(target)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        return kept
 
     return run
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows in the folder all executors share, removed when they are no longer used."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def catalog() -> dict[str, Query]:
     """Query name to callable of (session, folder)."""
     named: dict[str, Query] = {
@@ -115,11 +131,12 @@ def catalog() -> dict[str, Query]:
         "slice_kpis": _over_layers(lambda layers: gold_comparable(layers.slice_kpis)),
         "sla_violations": _over_layers(lambda layers: without_stamps(layers.violations)),
         "sla_breach_by_table": _by_table,
+        "sla_violations_by_table": _violations_by_table,
         "sql_function_flags": _by_sql_functions,
         "json_payload_silver": _by_payload,
         "stream_silver_events": _streamed(lambda silver: silver),
-        "stream_cell_kpis": _streamed(lambda silver: gold_comparable(cell_kpis(silver))),
-        "stream_slice_kpis": _streamed(lambda silver: gold_comparable(slice_kpis(silver))),
+        "stream_cell_kpis": _streamed(cell_kpis, gold_comparable),
+        "stream_slice_kpis": _streamed(slice_kpis, gold_comparable),
         "stream_sla_violations": _streamed(sla_violations),
         "total_events": _over_layers(dashboard.total_events),
     }
@@ -141,6 +158,7 @@ def catalog() -> dict[str, Query]:
         network.anomaly_trend,
         network.anomaly_proxy_breakdown,
         quality.latest_events,
+        quality.latest_events_by_text,
         quality.bronze_anomaly_breakdown,
         quality.ingest_audit,
         quality.kpi_band_counts,

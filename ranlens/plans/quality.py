@@ -20,7 +20,13 @@ def _as_rows(summary: DataFrame, keep: list[str], rows: list[Column]) -> DataFra
 
 
 def latest_events(layers: Layers, rows: int = 20) -> DataFrame:
-    """The newest bronze events in the order of their timestamp text."""
+    """The newest bronze events by time; those whose timestamp does not parse come last."""
+    time = typed("event_timestamp", T.TimestampType())
+    return layers.bronze.orderBy(time.desc_nulls_last(), F.desc("event_timestamp"), F.desc("event_id")).limit(rows)
+
+
+def latest_events_by_text(layers: Layers, rows: int = 20) -> DataFrame:
+    """The bronze events with the greatest timestamp texts, broken ones included."""
     return layers.bronze.orderBy(F.desc("event_timestamp"), F.desc("event_id")).limit(rows)
 
 

@@ -13,6 +13,10 @@ SETTINGS = {
     # The virtual machine never compiles a method above 8000 bytes of bytecode, and a wide
     # projection fused with its neighbours exceeds that; split code is then the faster one.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Percentile sketches are objects, and beyond this number of groups a task sorts its whole input.
+    # The values that a task's sketches hold are at most those of its input, and a group costs about
+    # 1 KB more, so this many groups take some 64 MB; the default of 128 sorts always.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
     # Recording the call site of every column expression slows the building of wide plans.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Window state lives off the heap, so that many open keys do not press on memory.
@@ -34,7 +38,11 @@ def build_session(app_name: str = "ranlens", master: str | None = None, **extra:
 
 def use_settings(spark: SparkSession) -> None:
     """Give a session that was built elsewhere the settings that fix results and generated code."""
-    for key in ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit"):
+    for key in (
+        "spark.sql.session.timeZone",
+        "spark.sql.codegen.hugeMethodLimit",
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold",
+    ):
         spark.conf.set(key, SETTINGS[key])
 
 

@@ -1,21 +1,29 @@
-"""Batch and streaming tables: scan, append, create, register."""
+"""Batch and streaming tables: scan, append, create, register.
+
+Jobs and streams may write one table. Its last directory level names the write: ``appended`` for
+jobs, and the stream and its batch for streams, so a batch that runs again replaces what it wrote
+before and nothing else. No log of one writer decides what readers see.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F, types as T
 
 from ranlens import schemas
 from ranlens.functions.timing import utc_date
 
+#: The directory level that names the write, and its value for batch jobs.
+WRITE, APPENDED = "written_by", "appended"
+
 
 @dataclass(frozen=True)
 class TableSpec:
     """Schema, layout and description of a stored table.
 
     ``partition_by`` may name a day column that is not in the schema; it is derived
-    from ``day_of`` on write.
+    from ``day_of`` on write. ``directories`` adds the level that names the write.
     """
 
     schema: T.StructType
@@ -23,10 +31,21 @@ class TableSpec:
     day_of: str | None = None
     comment: str = ""
 
+    @property
+    def directories(self) -> tuple[str, ...]:
+        return (*self.partition_by, WRITE)
+
     @property
     def stored_schema(self) -> T.StructType:
         days = [T.StructField(c, T.DateType()) for c in self.partition_by if c not in self.schema.names]
-        return T.StructType([*self.schema.fields, *days])
+        return T.StructType([*self.schema.fields, *days, T.StructField(WRITE, T.StringType())])
+
+    @property
+    def scan_schema(self) -> T.StructType:
+        """The stored columns as a scan orders them, directories last: known before there is any directory."""
+        stored = {f.name: f for f in self.stored_schema}
+        data = [f for name, f in stored.items() if name not in self.directories]
+        return T.StructType([*data, *(stored[name] for name in self.directories)])
 
 
 # Tables that grow with the event rate get a day directory, so look-backs list
@@ -85,18 +104,39 @@ def with_layout(df: DataFrame, spec: TableSpec) -> DataFrame:
     return df
 
 
-def append(df: DataFrame, path: str, spec: TableSpec | None = None, fmt: str = "parquet") -> None:
-    """Batch append. A partitioned write is rebalanced first.
+def _writer(df: DataFrame, spec: TableSpec | None, fmt: str, write: str) -> DataFrameWriter:
+    """Rows laid out for the table and marked with the write.
 
-    The rebalance gathers each directory into a few files of the advisory size, and
-    adaptive execution splits a hot directory over several tasks.
+    A rebalance gathers each directory into a few files of the advisory size, and adaptive
+    execution splits a hot directory over several tasks.
     """
     partition_by: tuple[str, ...] = ()
     if spec:
         df, partition_by = with_layout(df, spec), spec.partition_by
     if partition_by:
         df = df.hint("rebalance", *partition_by)
-    df.write.format(fmt).mode("append").partitionBy(*partition_by).save(path)
+    return df.withColumn(WRITE, F.lit(write)).write.format(fmt).partitionBy(*partition_by, WRITE)
+
+
+def append(df: DataFrame, path: str, spec: TableSpec | None = None, fmt: str = "parquet", name: str | None = None) -> None:
+    """Batch append; the new directories are made known to the registered table ``name``, if one is given."""
+    _writer(df, spec, fmt, APPENDED).mode("append").save(path)
+    if name:
+        df.sparkSession.catalog.recoverPartitions(name)
+
+
+def write_batch(df: DataFrame, path: str, write: str, spec: TableSpec | None = None, fmt: str = "parquet") -> None:
+    """Write a stream's batch once: its own directories are replaced, and a batch that was completed is left as it is.
+
+    The mark of a completed batch keeps files that other streams have read from being replaced by their equals.
+    """
+    spark = df.sparkSession
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_batches/{write}")
+    files = mark.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(mark):
+        return
+    _writer(df, spec, fmt, write).mode("overwrite").option("partitionOverwriteMode", "dynamic").save(path)
+    files.create(mark, True).close()
 
 
 def ensure_table(
@@ -107,7 +147,7 @@ def ensure_table(
     The name is explicit: two layers may share the last part of their path.
     """
     empty = spark.createDataFrame([], spec.stored_schema)
-    empty.write.format(fmt).mode("ignore").partitionBy(*spec.partition_by).save(path)
+    empty.write.format(fmt).mode("ignore").partitionBy(*spec.directories).save(path)
     if name:
         register_table(spark, name, path, spec, fmt)
 
@@ -117,17 +157,17 @@ def _quoted(text: str) -> str:
 
 
 def register_table(spark: SparkSession, name: str, path: str, spec: TableSpec, fmt: str = "parquet") -> None:
-    """Register an external table with an explicit schema, unless the name exists.
+    """Register an external table with an explicit schema, unless the name exists, and the directories it has.
 
-    A catalog that tracks partitions needs ``spark.catalog.recoverPartitions(name)``
-    after files were added; ``read_table`` always lists them.
+    A catalog that tracks directories learns of later ones by ``append(..., name=...)`` or
+    ``spark.catalog.recoverPartitions(name)``; ``read_table`` always lists them.
     """
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spec.stored_schema)
-    layout = f"PARTITIONED BY ({', '.join(spec.partition_by)})" if spec.partition_by else ""
     spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING {fmt} {layout} "
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING {fmt} PARTITIONED BY ({', '.join(spec.directories)}) "
         f"LOCATION {_quoted(path)} COMMENT {_quoted(spec.comment)}"
     )
+    spark.catalog.recoverPartitions(name)
 
 
 def register_views(spark: SparkSession, views: dict[str, DataFrame]) -> None:

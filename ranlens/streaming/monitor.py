@@ -8,12 +8,25 @@ from pyspark.sql.streaming import StreamingQuery
 PROGRESS_SCHEMA = "query string, status string, input_rows_per_sec double, processed_rows long"
 
 
+def rows_read(progress: dict) -> int:
+    """Rows a batch has read: as counted in the query, else as its sources report them.
+
+    A source that a query uses twice reports its rows twice.
+    """
+    for metrics in (progress["observedMetrics"] or {}).values():
+        for name in ("rows", "events"):
+            if name in metrics.asDict():
+                return int(metrics[name])
+    return int(progress["numInputRows"] or 0)
+
+
 def _row(query: StreamingQuery) -> tuple[str, str, float, int]:
     name, progress = query.name or str(query.id), query.lastProgress
     if not progress:
         return name, "starting", 0.0, 0
-    rate = progress["inputRowsPerSecond"] or 0.0
-    return name, query.status["message"], float(rate), int(progress["numInputRows"] or 0)
+    reported, rows = int(progress["numInputRows"] or 0), rows_read(progress)
+    rate = float(progress["inputRowsPerSecond"] or 0.0) * (rows / reported if reported else 1.0)
+    return name, query.status["message"], rate, rows
 
 
 def progress_frame(spark: SparkSession) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,8 +14,8 @@ from ranlens.operators.silver import bronze_to_silver
 from ranlens.operators.violations import sla_violations
 from ranlens.operators.windows import cell_kpis, slice_kpis
 from ranlens.session import shared_folder
-from ranlens.settings import TRIGGER_INTERVAL
-from ranlens.sources.tables import TABLES, TableSpec, ensure_table, stream_table, with_layout
+from ranlens.settings import TRIGGER_INTERVAL, WINDOW_DURATION
+from ranlens.sources.tables import TABLES, TableSpec, append, ensure_table, read_table, stream_table, write_batch
 
 GOLD: dict[str, Callable[[DataFrame], DataFrame]] = {
     "cell_kpis": cell_kpis,
@@ -29,6 +31,11 @@ def observed_ingest(bronze: DataFrame, name: str = "ingest") -> DataFrame:
     )
 
 
+def observed_rows(df: DataFrame, name: str = "read") -> DataFrame:
+    """The same rows, counted in the query progress once, however often the query uses its source."""
+    return df.observe(name, F.count("*").alias("rows"))
+
+
 def start_append(
     df: DataFrame,
     path: str,
@@ -38,25 +45,23 @@ def start_append(
     trigger: str | None = TRIGGER_INTERVAL,
     fmt: str = "parquet",
 ) -> StreamingQuery:
-    """Append a stream to a table, exactly once across restarts.
+    """Append a stream to a table, exactly once across restarts, beside batch jobs and other streams.
 
+    Each batch is written by ``write_batch`` under the name of the query and its checkpoint.
     ``trigger`` is a processing-time interval; ``None`` reads what is there and
-    stops. Progress and state are kept in ``checkpoint``, one folder per query, by
+    stops. Progress and state are kept in ``checkpoint``, one folder per query and table, by
     default under the cluster's shared folder.
     """
-    checkpoint = checkpoint or f"{shared_folder(df.sparkSession)}/streams/{name}"
-    partition_by: tuple[str, ...] = ()
-    if spec:
-        df, partition_by = with_layout(df, spec), spec.partition_by
-    writer = (
-        df.writeStream.format(fmt)
-        .outputMode("append")
-        .queryName(name)
-        .option("checkpointLocation", checkpoint)
-        .partitionBy(*partition_by)
-    )
-    writer = writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)
-    return writer.start(path)
+    table = hashlib.sha256(path.encode()).hexdigest()[:12]
+    checkpoint = checkpoint or f"{shared_folder(df.sparkSession)}/streams/{name}-{table}"
+    writer = f"{name}-{hashlib.sha256(checkpoint.encode()).hexdigest()[:12]}"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch, path, f"{writer}-{batch_id}", spec, fmt)
+
+    stream = df.writeStream.outputMode("append").queryName(name).option("checkpointLocation", checkpoint).foreachBatch(write)
+    stream = stream.trigger(processingTime=trigger) if trigger else stream.trigger(availableNow=True)
+    return stream.start()
 
 
 @dataclass(frozen=True)
@@ -84,9 +89,11 @@ class Medallion:
         for table, spec in self.tables.items():
             ensure_table(self.spark, self.path(table), spec, f"{database}.{table}" if database else None, self.fmt)
 
-    def stream(self, table: str) -> DataFrame:
-        limit = self.max_files_per_trigger if table == "bronze" else None
-        return stream_table(self.spark, self.path(table), self.tables[table].schema, self.fmt, limit)
+    def stream(self, table: str, where: str | None = None) -> DataFrame:
+        """The rows a table gets; ``where`` may name its directories."""
+        limit, spec = self.max_files_per_trigger if table == "bronze" else None, self.tables[table]
+        rows = stream_table(self.spark, self.path(table), spec.scan_schema, self.fmt, limit)
+        return (rows.where(where) if where else rows).select(*spec.schema.names)
 
     def start(self, table: str, df: DataFrame, trigger: str | None = TRIGGER_INTERVAL) -> StreamingQuery:
         checkpoint = f"{self.checkpoints}/{table}" if self.checkpoints else None
@@ -97,8 +104,30 @@ class Medallion:
         source = self.stream("bronze") if bronze is None else bronze
         return self.start("silver", bronze_to_silver(observed_ingest(source)), trigger)
 
-    def start_gold(self, trigger: str | None = TRIGGER_INTERVAL) -> list[StreamingQuery]:
-        return [self.start(table, derive(self.stream("silver")), trigger) for table, derive in GOLD.items()]
+    def start_gold(
+        self, trigger: str | None = TRIGGER_INTERVAL, since: datetime | None = None
+    ) -> list[StreamingQuery]:
+        """The three gold streams. ``since`` leaves what happened before to ``backfill_gold`` with that moment.
+
+        Without it the first batch of each stream is all of silver, which suits a new table.
+        """
+        silver = self.stream("silver", self._days_from(since))
+        return [self.start(table, _after(table, observed_rows(silver), since), trigger) for table in GOLD]
+
+    def backfill_gold(self, before: datetime) -> None:
+        """Append to the gold tables, as a batch job, what events before a moment give: violations, and windows ended by then."""
+        schema = self.tables["silver"].schema
+        silver = read_table(self.spark, self.path("silver"), schema, self.fmt).where(F.col("event_timestamp") < F.lit(before))
+        for table, derive in GOLD.items():
+            rows = derive(silver)
+            if "window_end" in rows.columns:
+                rows = rows.where(F.col("window_end") <= F.lit(before))
+            append(rows, self.path(table), self.tables[table], self.fmt)
+
+    def _days_from(self, since: datetime | None) -> str | None:
+        """A test that skips the directories of older days, if silver has a directory a day."""
+        day = next((c for c in self.tables["silver"].partition_by if c not in self.tables["silver"].schema.names), None)
+        return f"{day} >= DATE '{(since - timedelta(days=1)).date()}'" if since and day else None
 
     def start_all(self, trigger: str = TRIGGER_INTERVAL) -> list[StreamingQuery]:
         """All four streams, running until stopped."""
@@ -109,3 +138,14 @@ class Medallion:
         self.start_silver(bronze, trigger=None).awaitTermination()
         for query in self.start_gold(trigger=None):
             query.awaitTermination()
+
+
+def _after(table: str, silver: DataFrame, since: datetime | None) -> DataFrame:
+    """A gold table's rows of what happened from a moment on; windows are whole, so those that end later are made of all their events."""
+    if since is None:
+        return GOLD[table](silver)
+    moment = F.lit(since)
+    if table == "sla_violations":
+        return GOLD[table](silver.where(F.col("event_timestamp") >= moment))
+    begins = F.col("event_timestamp") >= moment - F.expr(f"INTERVAL {WINDOW_DURATION}")
+    return GOLD[table](silver.where(begins)).where(F.col("window_end") > moment)

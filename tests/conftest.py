@@ -7,6 +7,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from ranlens.plans.catalog import layers_from_log  # noqa: E402
 from ranlens.session import build_session  # noqa: E402
+from ranlens.sources.tables import WRITE  # noqa: E402
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -43,5 +44,10 @@ def rows(df):
     return sorted(str(tuple(row)) for row in df.collect())
 
 
+def written(spark, path):
+    """The rows of a table without the column that names the write."""
+    return spark.read.parquet(str(path)).drop(WRITE)
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()

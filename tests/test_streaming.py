@@ -11,10 +11,11 @@ from ranlens.operators.violations import sla_violations, with_table_breach
 from ranlens.operators.windows import cell_kpis, slice_kpis
 from ranlens.session import shared_folder
 from ranlens.sources.payloads import parse_payload, stream_json_dir
-from ranlens.sources.tables import TABLES, append, read_table, stream_table
-from ranlens.streaming.monitor import progress_frame, stop_all
+from ranlens.sources.tables import TABLES, WRITE, append, read_table, stream_table, write_batch
+from ranlens.plans.catalog import catalog
+from ranlens.streaming.monitor import progress_frame, rows_read, stop_all
 from ranlens.streaming.pipelines import Medallion, observed_ingest, start_append
-from tests.conftest import rows
+from tests.conftest import rows, written
 
 NOON = datetime.datetime(2024, 1, 1, 12)
 
@@ -81,7 +82,7 @@ def test_many_batches_equal_the_closed_windows(spark, layers, bronze_dir, tmp_pa
     query = start_append(derive(stream), str(tmp_path / "out"), "batches", str(tmp_path / "checkpoint"), trigger=None)
     query.awaitTermination()
     assert len([p for p in query.recentProgress if p["numInputRows"]]) == 3
-    streamed = spark.read.parquet(str(tmp_path / "out"))
+    streamed = written(spark, tmp_path / "out")
     assert rows(smooth(streamed)) == rows(smooth(closed(derive(layers.silver), layers.silver)))
 
 
@@ -94,7 +95,7 @@ def test_nothing_is_read_twice_after_a_restart(spark, layers, tmp_path):
         kpis = slice_kpis(bronze_to_silver(stream))
         start_append(kpis, out, "restarted", checkpoint, trigger=None).awaitTermination()
         seen = bronze_to_silver(spark.read.schema(schemas.BRONZE).parquet(str(source)))
-        found = spark.read.parquet(out)
+        found = written(spark, out)
         assert rows(smooth(found)) == rows(smooth(closed(slice_kpis(seen), seen)))
 
 
@@ -114,7 +115,7 @@ def test_late_rows_use_the_watermark_of_the_batch_before(spark, layers, tmp_path
     stream = stream_table(spark, str(tmp_path / "in"), schemas.SILVER, max_files_per_trigger=1)
     query = start_append(cell_kpis(stream), str(tmp_path / "out"), "late", str(tmp_path / "checkpoint"), trigger=None)
     query.awaitTermination()
-    first = spark.read.parquet(str(tmp_path / "out")).filter(F.col("window_start") == F.lit(NOON)).first()
+    first = written(spark, tmp_path / "out").filter(F.col("window_start") == F.lit(NOON)).first()
     assert (first.event_count, first.unique_ues) == (1, 1)
     dropped = [op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"]]
     assert sum(dropped) > 0
@@ -128,14 +129,14 @@ def test_json_files_and_message_values(spark, layers, tmp_path):
     start_append(bronze_to_silver(parse_payload(lines)), str(tmp_path / "b"), "text", str(tmp_path / "cb"), trigger=None).awaitTermination()
     expected = rows(layers.silver.drop("ingested_at"))
     for name in ("a", "b"):
-        assert rows(spark.read.schema(schemas.SILVER).parquet(str(tmp_path / name)).drop("ingested_at")) == expected
+        assert rows(written(spark, tmp_path / name).drop("ingested_at")) == expected
 
 
 def test_a_stream_may_join_the_limits_table(spark, layers, bronze_dir, tmp_path):
     stream = bronze_to_silver(stream_table(spark, str(bronze_dir), schemas.BRONZE)).drop("sla_breach")
     judged = with_table_breach(stream, limits_table(spark)).select("event_id", "sla_breach")
     start_append(judged, str(tmp_path / "out"), "limits", str(tmp_path / "checkpoint"), trigger=None).awaitTermination()
-    assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(layers.silver.select("event_id", "sla_breach"))
+    assert rows(written(spark, tmp_path / "out")) == rows(layers.silver.select("event_id", "sla_breach"))
 
 
 def test_running_streams_report_progress_and_stop(spark, layers, bronze_dir, tmp_path):
@@ -171,10 +172,106 @@ def test_tables_are_registered_in_a_database(spark, tmp_path):
         medallion.create_tables("radio")
     stored_tables = {t.name for t in spark.catalog.listTables("radio") if not t.isTemporary}
     assert stored_tables == set(TABLES)
-    assert spark.table("radio.sla_violations").columns == [*schemas.SLA_VIOLATIONS.names, "detected_date"]
+    assert spark.table("radio.sla_violations").columns == [*schemas.SLA_VIOLATIONS.names, "detected_date", WRITE]
 
 
-def test_default_checkpoint_is_in_the_shared_folder(spark, layers, bronze_dir, tmp_path):
-    stream = bronze_to_silver(stream_table(spark, str(bronze_dir), schemas.BRONZE))
-    start_append(stream, str(tmp_path / "out"), "in_shared", trigger=None).awaitTermination()
-    assert os.path.isdir(f"{shared_folder(spark)}/streams/in_shared/offsets")
+def test_default_checkpoints_are_in_the_shared_folder_one_for_each_table(spark, layers, bronze_dir, tmp_path):
+    for name in ("one", "two"):  # two pipelines that name their queries alike
+        for _ in range(2):
+            stream = bronze_to_silver(stream_table(spark, str(bronze_dir), schemas.BRONZE))
+            start_append(stream, str(tmp_path / name), "in_shared", trigger=None).awaitTermination()
+    found = [p for p in os.listdir(f"{shared_folder(spark)}/streams") if p.startswith("in_shared-")]
+    assert len(found) == 2
+    for name in ("one", "two"):
+        assert written(spark, tmp_path / name).count() == layers.silver.count()
+
+
+def halves(layers):
+    late = F.col("event_timestamp") > "2024-01-01T00:30"
+    return layers.bronze.filter(~late), layers.bronze.filter(late)
+
+
+def silver_of(spark, medallion):
+    return stored(spark, medallion, "silver").drop("ingested_at")
+
+
+@pytest.mark.parametrize("stream_first", [True, False])
+def test_jobs_and_streams_share_a_table(spark, layers, tmp_path, stream_first):
+    medallion = Medallion(spark, str(tmp_path / "tables"))
+    medallion.create_tables()
+    early, late = halves(layers)
+    add_file(early, tmp_path / "in", 1)
+
+    def job():
+        append(bronze_to_silver(late), medallion.path("silver"), TABLES["silver"])
+
+    def stream():
+        medallion.start_silver(stream_table(spark, str(tmp_path / "in"), schemas.BRONZE), trigger=None).awaitTermination()
+
+    for write in (stream, job) if stream_first else (job, stream):
+        write()
+    assert rows(silver_of(spark, medallion)) == rows(layers.silver.drop("ingested_at"))
+
+
+def test_a_batch_that_runs_again_writes_once(spark, layers, tmp_path):
+    path, silver = str(tmp_path / "silver"), layers.silver
+    append(silver, path, TABLES["silver"])
+    write_batch(silver, path, "stream-0", TABLES["silver"])
+    files = set((tmp_path / "silver").rglob("*.parquet"))
+    write_batch(silver, path, "stream-0", TABLES["silver"])  # completed, but its commit was lost
+    assert set((tmp_path / "silver").rglob("*.parquet")) == files
+    os.remove(tmp_path / "silver" / "_batches" / "stream-0")  # stopped between its files and its mark
+    write_batch(silver, path, "stream-0", TABLES["silver"])
+    write_batch(silver.limit(0), path, "stream-1", TABLES["silver"])
+    assert read_table(spark, path).count() == 2 * silver.count()
+
+
+def test_a_crash_between_write_and_commit_loses_and_repeats_nothing(spark, layers, tmp_path):
+    early, late = halves(layers)
+    checkpoint = tmp_path / "checkpoint"
+
+    def run():
+        stream = stream_table(spark, str(tmp_path / "in"), schemas.BRONZE)
+        start_append(bronze_to_silver(stream), str(tmp_path / "out"), "crash", str(checkpoint), trigger=None).awaitTermination()
+
+    for age, part in enumerate((early, late)):
+        add_file(part, tmp_path / "in", age)
+        run()
+    for name in ("1", ".1.crc"):
+        os.remove(checkpoint / "commits" / name)
+    run()
+    assert rows(written(spark, tmp_path / "out").drop("ingested_at")) == rows(layers.silver.drop("ingested_at"))
+
+
+def test_gold_is_filled_by_a_job_and_continued_by_streams(spark, layers, tmp_path):
+    medallion = Medallion(spark, str(tmp_path / "tables"))
+    medallion.create_tables()
+    append(layers.silver, medallion.path("silver"), TABLES["silver"])
+    moment = layers.silver.agg(F.percentile_approx("event_timestamp", 0.6)).first()[0]
+    medallion.backfill_gold(moment)
+    for query in medallion.start_gold(trigger=None, since=moment):
+        query.awaitTermination()
+    assert rows(stored(spark, medallion, "sla_violations").drop("detected_at")) == rows(layers.violations.drop("detected_at"))
+    for table, derive in (("cell_kpis", cell_kpis), ("slice_kpis", slice_kpis)):
+        assert rows(smooth(stored(spark, medallion, table))) == rows(smooth(closed(derive(layers.silver), layers.silver)))
+
+
+def test_rows_read_are_counted_once_for_every_stream(spark, layers, tmp_path):
+    medallion = Medallion(spark, str(tmp_path / "tables"))
+    medallion.create_tables()
+    append(layers.bronze, medallion.path("bronze"), TABLES["bronze"])
+    silver = medallion.start_silver(trigger=None)
+    silver.awaitTermination()
+    assert sum(rows_read(p) for p in silver.recentProgress) == layers.bronze.count()
+    for query in medallion.start_gold(trigger=None):
+        query.awaitTermination()
+        assert sum(rows_read(p) for p in query.recentProgress if p["numInputRows"]) == layers.silver.count()
+
+
+@pytest.mark.parametrize("name", ["stream_silver_events", "stream_cell_kpis", "stream_slice_kpis", "stream_sla_violations"])
+def test_registered_streams_read_a_log_of_several_files_and_leave_nothing_behind(spark, folder, tmp_path, name):
+    log = spark.read.parquet(f"{folder}/events.parquet")
+    log.repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    query = catalog()[name]
+    assert rows(query(spark, str(tmp_path))) == rows(query(spark, folder))
+    assert os.listdir(f"{shared_folder(spark)}/runs") == []
