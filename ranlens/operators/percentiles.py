@@ -12,12 +12,26 @@ from pyspark.sql import DataFrame, Window, functions as F
 BUCKET = """CASE WHEN isnan(value) THEN 3200000L WHEN value = 0 THEN 0L
     ELSE cast(signum(value) * floor((ln(least(abs(value), 1.7e308)) + 800) * 2000) AS bigint) END"""
 
+# How often, and into how many parts, a bucket found is cut: 0.0005 / 4096 / 4096 of a value is
+# less than 150,000 steps of a double.
+CUTS, PARTS = 2, 4096
+
 
 def _position(fraction: float) -> str:
     """Position of a percentile among the sorted values of its group, counted from 0."""
     return f"({fraction}D * (total - 1))"
 
 
+def _part(parts: int) -> str:
+    """The number of the equal part of [low, high] that a value lies in; it never falls when the value rises.
+
+    A range too wide for a double has three parts: its ends, and what lies between.
+    """
+    return f"""CASE WHEN NOT high > low THEN 0L
+        WHEN high - low > 1.7e308 THEN CASE value WHEN low THEN 0L WHEN high THEN 2L ELSE 1L END
+        ELSE least({parts - 1}L, cast(floor((value - low) / (high - low) * {parts}) AS bigint)) END"""
+
+
 def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
     """Percentiles with linear interpolation, equal to SQL ``percentile``.
 
@@ -28,13 +42,16 @@ def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[st
     each step is spread: (1) equal values are counted, partly before the shuffle,
     keyed by the value itself, so a hot group or a hot value splits; (2) the
     counts are summed per value bucket, and a running sum over the bounded set of
-    buckets finds those that hold a wanted rank; (3) only the values of those
-    buckets are sorted and numbered; (4) the two neighbours of each rank are
-    interpolated. The table is scanned once, as the shuffled counts of step 1 feed
-    both 2 and 3.
+    buckets finds those that hold a wanted rank; (3) twice, the buckets found are cut
+    into equal parts between their least and greatest value, and the same running sum
+    finds the parts; (4) only the values of those parts are sorted and numbered; (5) the
+    two neighbours of each rank are interpolated. The table is scanned once, as the
+    shuffled counts of step 1 feed all others.
 
     Buckets are logarithmic, so their number is bounded for any input; a bucket
-    number never falls when the value rises, and NaN is the highest.
+    number never falls when the value rises, and NaN is the highest. After both cuts
+    a part is so narrow that 150,000 doubles at most lie in it, however many rows the
+    group has and however close its values are.
     """
     columns = list(dict.fromkeys(column for column, _ in wanted.values()))
     samples = ", ".join(f"struct({i} AS metric, cast(`{c}` AS double) AS value)" for i, c in enumerate(columns))
@@ -53,23 +70,42 @@ def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[st
     lookup = ", ".join(f"array({', '.join(f'{p}D' for p in fractions)})" for fractions in of_metric)
     at = "(p * (total - 1))"
     holds = " OR ".join(f"{side}({at}) BETWEEN before AND before + inside - 1" for side in ("floor", "ceil"))
+    wanted_here = f"exists(array({lookup})[metric], p -> {holds})"
+    measures = [F.sum("copies").alias("inside"), F.min("value").alias("low"), F.max("value").alias("high")]
     running = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    targets = (
+    ranges = (
         counts.groupBy(*bucket)
-        .agg(F.sum("copies").alias("inside"))
+        .agg(*measures)
         .withColumns(
             {
                 "before": F.sum("inside").over(running) - F.col("inside"),
                 "total": F.sum("inside").over(Window.partitionBy(*group)),
             }
         )
-        .filter(f"exists(array({lookup})[metric], p -> {holds})")
-        .selectExpr(*(f"`{k}` AS target_{k}" for k in bucket), "before", "total")
+        .filter(wanted_here)
     )
 
-    match = reduce(and_, [F.col(k).eqNullSafe(F.col(f"target_{k}")) for k in bucket])
-    inside = Window.partitionBy(*bucket).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = counts.join(targets, match).withColumn("end", F.col("before") + F.sum("copies").over(inside))
+    def values_in(ranges: DataFrame) -> DataFrame:
+        """The counted values of the ranges, each beside the range that holds it."""
+        sought = ranges.selectExpr(*(f"`{k}` AS target_{k}" for k in bucket), "before", "total", "low", "high")
+        match = reduce(and_, [F.col(k).eqNullSafe(F.col(f"target_{k}")) for k in bucket])
+        # NaN is alone in its bucket and equals itself.
+        return counts.join(sought, match & F.col("value").between(F.col("low"), F.col("high")))
+
+    for _ in range(CUTS):
+        parts = Window.partitionBy(*bucket, "from").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+        ranges = (
+            values_in(ranges)
+            .withColumn("part", F.expr(_part(PARTS)))
+            .withColumnsRenamed({"low": "from", "high": "to", "before": "ahead"})
+            .groupBy(*bucket, "from", "ahead", "total", "part")
+            .agg(*measures)
+            .withColumn("before", F.col("ahead") + F.sum("inside").over(parts) - F.col("inside"))
+            .filter(wanted_here)
+        )
+
+    inside = Window.partitionBy(*bucket, "low").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = values_in(ranges).withColumn("end", F.col("before") + F.sum("copies").over(inside))
 
     picks, outputs = [], []
     for name, (column, p) in wanted.items():

@@ -7,15 +7,19 @@ from pyspark.sql import Window, functions as F
 from hypothesis import HealthCheck, given, settings, strategies as st
 
 from ranlens import schemas
-from ranlens.operators.joins import broadcast_if_small
+from ranlens.functions.sla import limits_table
+from ranlens.functions.sql import register_functions
 from ranlens.operators.latest import latest_per_key
 from ranlens.operators.percentiles import exact_percentiles, with_percentiles
 from ranlens.operators.running import running_total
+from ranlens.operators.silver import bronze_to_silver
 from ranlens.operators.violations import sla_violations
 from ranlens.operators.windows import cell_kpis, slice_kpis
 from ranlens.settings import SLA_LIMITS, SLA_RULES
 from tests.conftest import plan_of, rows
 
+FALLBACK = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+
 
 def union_of_rules(silver):
     """One filtered copy of the table per slice and rule."""
@@ -184,11 +188,65 @@ def test_running_total_equals_one_window(spark):
     assert rows(running_total(series, "ts", "n", "upto", "first").select("ts", "n", "upto", "first")) == rows(expected)
 
 
-def test_broadcast_only_within_the_bound(spark):
-    big, small = spark.range(50).withColumnRenamed("id", "k"), spark.range(5).withColumnRenamed("id", "k")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert "BroadcastHashJoin" in plan_of(big.join(broadcast_if_small(small, 10), "k"))
-        assert "SortMergeJoin" in plan_of(small.join(broadcast_if_small(big, 10), "k"))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+def test_percentiles_of_a_narrow_hot_range_are_spread(spark):
+    """Two million values within a hundredth of a percent of each other, in one group."""
+    hot = spark.range(2_000_000).selectExpr("1 AS k", "5 + 0.0005 * rand(1) AS v")
+    wanted = {"p50": ("v", 0.5), "p999": ("v", 0.999)}
+    expected = hot.agg(F.percentile("v", F.array(F.lit(0.5), F.lit(0.999))).alias("p")).first().p
+    found = exact_percentiles(hot, ["k"], wanted)
+    row = found.first()
+    assert [row.p50, row.p999] == expected
+    sorted_rows = largest_sort(found)
+    assert 0 < sorted_rows < 20_000
+
+
+def below(node):
+    """The nodes under a node of an executed plan, through the stages of adaptive execution."""
+    name = node.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return [node.executedPlan()]
+    if name.endswith("QueryStage"):
+        return [node.plan()]
+    return [node.children().apply(i) for i in range(node.children().size())]
+
+
+def largest_sort(df):
+    """Most rows that reach a window of the executed plan: the output of the nearest node under it that counts its rows."""
+
+    def counted(node):
+        metric = node.metrics().get("numOutputRows")
+        return metric.get().value() if metric.isDefined() else max((counted(n) for n in below(node)), default=0)
+
+    def windows(node):
+        found = [counted(n) for n in below(node)] if node.nodeName() == "Window" else []
+        return max(found + [windows(n) for n in below(node)], default=0)
+
+    df.collect()
+    return windows(df._jdf.queryExecution().executedPlan())
+
+
+def test_violations_without_rules_or_limits_are_an_empty_table(layers):
+    for empty in (sla_violations(layers.silver, rules=()), sla_violations(layers.silver, limits={})):
+        assert empty.count() == 0 and empty.columns == schemas.SLA_VIOLATIONS.names
+
+
+def test_limits_are_an_input(spark, layers):
+    limits = {name: dict(own) for name, own in SLA_LIMITS.items()} | {"Unknown": {"latency_ms": 0.5}}
+    limits["eMBB"]["latency_ms"] = 1e9
+    silver = bronze_to_silver(layers.bronze, limits=limits)
+    flagged = silver.filter("sla_breach")
+    assert flagged.filter("slice_type = 'Unknown'").count() > 0
+    by_mapping = sla_violations(silver, F.col("event_timestamp"), limits)
+    by_table = sla_violations(silver, F.col("event_timestamp"), limits_table(spark, limits))
+    assert rows(by_mapping) == rows(by_table)
+    assert {r.kpi_name for r in by_mapping.filter("slice_type = 'Unknown'").collect()} == {"latency_ms"}
+    assert by_mapping.filter("slice_type = 'eMBB' AND kpi_name = 'latency_ms'").count() == 0
+    register_functions(spark, limits)
+    names = "slice_type, dl_throughput_mbps, ul_throughput_mbps, latency_ms, packet_loss_pct, jitter_ms"
+    assert silver.filter(F.expr(f"breaches_sla({names}) <> sla_breach")).count() == 0
+    register_functions(spark)
+
+
+def test_a_windowed_aggregate_with_many_groups_does_not_sort(layers):
+    plan = plan_of(cell_kpis(layers.silver))
+    assert "ObjectHashAggregate" in plan and layers.silver.sparkSession.conf.get(FALLBACK) == "65536"
