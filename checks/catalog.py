@@ -15,7 +15,7 @@ from ranlens.operators.windows import cell_kpis, slice_kpis
 from ranlens.plans import dashboard, network, quality
 from ranlens.plans.layers import Layers
 from ranlens.session import shared_folder, use_settings
-from ranlens.sources.event_log import bronze_from_log
+from checks.event_log import bronze_from_log
 from ranlens.sources.payloads import parse_payload
 from ranlens.streaming.pipelines import start_append
 
@@ -41,12 +41,12 @@ def comparable(df: DataFrame) -> DataFrame:
 
 
 def gold_comparable(df: DataFrame) -> DataFrame:
-    """Averages at six digits, as the order of additions differs between runs.
+    """Averages at nine digits, as the order of additions differs between runs.
 
     The inner rounding removes that noise, so that a tie is the same tie everywhere.
     """
     return df.withColumns(
-        {name: F.round(F.round(name, 11), 6) for name in df.columns if name.startswith("avg_")}
+        {name: F.round(F.round(name, 12), 9) for name in df.columns if name.startswith("avg_")}
     )
 
 

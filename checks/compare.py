@@ -12,6 +12,8 @@ import time
 import duckdb
 from pyspark.sql import SparkSession
 
+from checks.orders import out_of_order
+
 TABLES = ("events",)
 
 
@@ -35,10 +37,13 @@ def _rows(columns: list[str], rows: list) -> list:
     return sorted(tuple(_plain(row[i]) for i in order) for row in rows)
 
 
-def differences(spark: SparkSession, con: duckdb.DuckDBPyConnection, folder: str, query, sql: str) -> str:
-    """Empty when column names, types of values, and values agree, else what differs."""
+def differences(spark: SparkSession, con: duckdb.DuckDBPyConnection, folder: str, query, sql: str, name: str = "") -> str:
+    """Empty when column names, types of values, and values agree, and the report ``name`` is in its order, else what differs."""
     result = query(spark, folder)
-    ours = _rows(result.columns, result.collect())
+    collected = result.collect()
+    if problem := out_of_order(name, result.columns, collected):
+        return problem
+    ours = _rows(result.columns, collected)
     answer = con.execute(sql)
     names = [column[0] for column in answer.description]
     theirs = _rows(names, answer.fetchall())
@@ -53,7 +58,7 @@ def differences(spark: SparkSession, con: duckdb.DuckDBPyConnection, folder: str
 
 if __name__ == "__main__":
     from checks.oracle_sql import statements
-    from ranlens.plans.catalog import catalog
+    from checks.catalog import catalog
     from ranlens.session import build_session
 
     folder, chosen = sys.argv[1], sys.argv[2:]
@@ -67,7 +72,7 @@ if __name__ == "__main__":
         if chosen and name not in chosen:
             continue
         started = time.time()
-        problem = differences(session, database, folder, query, sqls[name])
+        problem = differences(session, database, folder, query, sqls[name], name)
         failed += bool(problem)
         print(f"{name:28s} {time.time() - started:6.2f}s  {problem or 'ok'}", flush=True)
     print(f"{failed} of {len(catalog())} differ")

@@ -80,7 +80,7 @@ def bronze_from_log(log: DataFrame) -> DataFrame:
     return (
         log.selectExpr(
             "event_id AS e", "user_id AS u", "event_type AS kind", "ts",
-            "cast(get_json_object(props, '$.k') AS bigint) AS k",
+            "try_cast(get_json_object(props, '$.k') AS bigint) AS k",
         )
         .selectExpr("e", "u", f"inline(array(named_struct({facts})))")
         .selectExpr(*(f"{texts[name]} AS {name}" for name in BRONZE.names))

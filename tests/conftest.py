@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from ranlens.plans.catalog import layers_from_log  # noqa: E402
+from checks.catalog import layers_from_log  # noqa: E402
 from ranlens.session import build_session  # noqa: E402
 from ranlens.sources.tables import WRITE  # noqa: E402
 

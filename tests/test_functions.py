@@ -6,35 +6,37 @@ from ranlens.functions.signal import anomaly_proxy_type, load_status, signal_cla
 from ranlens.functions.sla import limits_table, sla_breach
 from ranlens.functions.sql import register_functions
 from ranlens.operators.violations import with_table_breach
-from ranlens.settings import ALERTS, KPI_BANDS
+from ranlens.settings import ALERTS, KPI_BANDS, SIGNAL_CLASS_FLOORS, SLA_LIMITS, SLA_RULES
 
 NAN = float("nan")
 
-SIGNAL_CASES = [
-    (-75.0, "Excellent"), (-85.0, "Good"), (-95.0, "Fair"), (-105.0, "Poor"), (None, "Unknown"),
-    (-80.0, "Excellent"), (-90.0, "Good"), (-100.0, "Fair"), (-100.1, "Poor"), (NAN, "Poor"),
-]
-
-SLA_CASES = [
-    ("eMBB", 200.0, 25.0, 8.0, 0.05, 3.0, False),
-    ("eMBB", 50.0, 25.0, 8.0, 0.05, 3.0, True),
-    ("eMBB", 200.0, 10.0, 8.0, 0.05, 3.0, True),
-    ("eMBB", 200.0, 25.0, 15.0, 0.05, 3.0, True),
-    ("eMBB", 200.0, 25.0, 8.0, 0.5, 3.0, True),
-    ("eMBB", 200.0, 25.0, 8.0, 0.05, 10.0, True),
-    ("URLLC", 15.0, 6.0, 0.8, 0.0001, 0.3, False),
-    ("URLLC", 15.0, 6.0, 2.0, 0.0001, 0.3, True),
-    ("URLLC", 15.0, 6.0, 1.0, 0.0001, 0.3, False),
-    ("URLLC", 15.0, 6.0, 1.001, 0.0001, 0.3, True),
-    ("mMTC", 2.0, 1.0, 50.0, 0.5, 20.0, False),
-    ("mMTC", 2.0, 1.0, 150.0, 0.5, 20.0, True),
-    ("Unknown", 0.1, 0.1, 9999.0, 99.0, 999.0, False),
-    (None, 0.1, 0.1, 9999.0, 99.0, 999.0, False),
-    ("eMBB", None, None, None, None, None, False),
-    ("eMBB", 50.0, None, None, None, None, True),
-    ("eMBB", NAN, NAN, NAN, NAN, NAN, False),
-    ("mMTC", 1.0, 0.5, 100.0, 1.0, 50.0, False),
-]
+def signal_cases():
+    """Each class floor, just under it, and between it and the next; nothing and no number."""
+    floors = [*SIGNAL_CLASS_FLOORS, ("Poor", SIGNAL_CLASS_FLOORS[-1][1] - 40)]
+    cases = [(None, "Unknown"), (NAN, "Poor"), (floors[0][1] + 30, floors[0][0])]
+    for (name, floor), (lower, _) in zip(floors, floors[1:]):
+        cases += [(floor, name), (floor - 0.001, lower), (floor - 5, lower)]
+    return cases
+
+
+def breach_cases():
+    """For each slice and KPI: at the limit, just inside and just outside it, missing and no number; the rest is fine or missing."""
+    kpis = [rule.kpi for rule in SLA_RULES]
+    cases = []
+    for name, limits in SLA_LIMITS.items():
+        fine = {rule.kpi: limits[rule.kpi] * (2 if rule.bound == "min" else 0.5) for rule in SLA_RULES}
+        for rest in (fine, dict.fromkeys(kpis), limits, dict.fromkeys(kpis, NAN)):
+            cases.append((name, *(rest[k] for k in kpis), False))
+            for rule in SLA_RULES:
+                inward = 1.001 if rule.bound == "min" else 0.999
+                values = {1.0: False, inward: False, 2 - inward: True}
+                judged = [(limits[rule.kpi] * by, bad) for by, bad in values.items()] + [(None, False), (NAN, False)]
+                cases += [(name, *(v if k == rule.kpi else rest[k] for k in kpis), bad) for v, bad in judged]
+    worst = tuple(0.0 if rule.bound == "min" else 1e6 for rule in SLA_RULES)
+    return cases + [(slice_type, *worst, False) for slice_type in ("Unknown", "", None)]
+
+
+SIGNAL_CASES, SLA_CASES = signal_cases(), breach_cases()
 
 SLA_COLUMNS = """slice_type string, dl_throughput_mbps double, ul_throughput_mbps double, latency_ms double,
     packet_loss_pct double, jitter_ms double, expected boolean"""

@@ -12,7 +12,7 @@ from ranlens.operators.windows import cell_kpis, slice_kpis
 from ranlens.session import shared_folder
 from ranlens.sources.payloads import parse_payload, stream_json_dir
 from ranlens.sources.tables import TABLES, WRITE, append, read_table, stream_table, write_batch
-from ranlens.plans.catalog import catalog
+from checks.catalog import catalog
 from ranlens.streaming.monitor import progress_frame, rows_read, stop_all
 from ranlens.streaming.pipelines import Medallion, observed_ingest, start_append
 from tests.conftest import rows, written
@@ -35,7 +35,7 @@ def add_file(df, directory, age):
 
 
 def smooth(df):
-    return df.withColumns({c: F.round(F.round(c, 11), 6) for c in df.columns if c.startswith("avg_")})
+    return df.withColumns({c: F.round(F.round(c, 12), 9) for c in df.columns if c.startswith("avg_")})
 
 
 def closed(df, silver):
