@@ -27,13 +27,13 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
-from ranlens.llm.common import sha256, slices, tokenizer_path
+from ranlens.llm.common import mapped, sha256, slices, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of a word that is merged in the rectangular arrays, and kept in the cache.
 SHORT_WORD = 64
 #: Words the two caches of a worker take up before one is dropped.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 NO_RANK = np.iinfo(np.int32).max
 
 
@@ -160,6 +160,10 @@ class Vocabulary:
         self.cache.update((w, fresh[w]) for w in islice((w for w in fresh if len(w) <= SHORT_WORD), room))
         return known
 
+    def forget(self) -> None:
+        """Empty the caches, as a worker does at the end of a task; it may have other work next."""
+        self.cache, self.older = {}, {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, as little-endian unsigned 32-bit integers."""
         cut = [self.cut.split(text) if self.cut else [text] for text in texts]
@@ -200,9 +204,10 @@ def encoded(docs: DataFrame, path: str = "", text: str = "text", key: str = "doc
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [key, "ids"]
             )
+        own.forget()
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(encode, f"`{key}` {kind}, ids array<int>")
+    return mapped(docs.select(key, text), encode, f"`{key}` {kind}, ids array<int>")
 
 
 def decoded(rows: DataFrame, path: str = "", ids: str = "ids", key: str = "doc_id") -> DataFrame:
@@ -216,7 +221,7 @@ def decoded(rows: DataFrame, path: str = "", ids: str = "ids", key: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(texts, pa.string())], [key, "text"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, ids).mapInArrow(decode, f"`{key}` {kind}, text string")
+    return mapped(rows.select(key, ids), decode, f"`{key}` {kind}, text string")
 
 
 def round_trips(docs: DataFrame, path: str = "", text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -236,8 +241,8 @@ def round_trips(docs: DataFrame, path: str = "", text: str = "text", key: str =
                 ],
                 [key, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        own.forget()
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(
-        both, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return mapped(docs.select(key, text), both, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

@@ -5,8 +5,9 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute
@@ -19,7 +20,9 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_PATTERN)
 
 #: Characters of text that are worked on at once in a task.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -43,8 +46,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mapped(rows: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` over batches of ``BATCH_ROWS`` rows at most, for which the session's own bound is lowered.
+
+    Both the virtual machine and the worker hold whole batches, and texts may be long.
+    """
+    conf, bound = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(bound)) <= BATCH_ROWS:
+        conf.set(bound, str(BATCH_ROWS))
+    return rows.mapInArrow(function, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each slice holds one row, or texts of ``chars`` bytes at most."""
+    """The batches cut so that each slice holds one row, or texts of ``chars`` bytes at most.
+
+    A worker lives on after its task, so what Arrow has set aside is given back in the end.
+    """
     for batch in batches:
         lengths = pa.compute.binary_length(batch.column(column)).to_pylist()
         begin = total = 0
@@ -55,6 +72,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = SLICE_CH
             total += length or 0
         if begin < len(lengths):
             yield batch.slice(begin)
+    pa.default_memory_pool().release_unused()
+
+
+def of_fixed_width(values: pa.Array, width: int) -> np.ndarray:
+    """The bytes of a binary array whose values all have one width, a row a value, without a copy."""
+    ends = np.frombuffer(values.buffers()[1], dtype=np.int32)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(values.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].reshape(-1, width)
 
 
 def sha256(data: bytes) -> str:

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ranlens.llm.common import slices
+from ranlens.llm.common import mapped, slices
 from ranlens.llm.labelled_pages import PAGES
 
 # Names of HTML.
@@ -314,4 +314,4 @@ def extracted(pages: DataFrame, html_column: str = "html", carried: tuple[str, .
             )
 
     kinds = ", ".join(f"`{name}` {pages.schema[name].dataType.simpleString()}" for name in carried)
-    return pages.select(*carried, html_column).mapInArrow(extract, f"{kinds}, text string, n_chars long")
+    return mapped(pages.select(*carried, html_column), extract, f"{kinds}, text string, n_chars long")

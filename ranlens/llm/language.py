@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ranlens.llm.common import slices, written
+from ranlens.llm.common import mapped, slices, written
 
 MAX_LANGUAGES, SAMPLE_ROWS = 64, 1_000
 #: Hashed n-grams that the classifiers know; n-grams of a text from which they are counted before they are weighed.
@@ -140,7 +140,7 @@ def learned(docs: DataFrame, text: str = "text", key: str = "doc_id", language:
             )
 
     # The sample has a fixed number of rows, so a few tasks count it, whatever the size of the table.
-    counted = sample.where("not measure").repartition(8).mapInArrow(count, "language string, counts binary").collect()
+    counted = mapped(sample.where("not measure").repartition(8), count, "language string, counts binary").collect()
     counts: dict[str, np.ndarray] = {}
     for row in counted:
         counts[row.language] = counts.get(row.language, 0) + np.frombuffer(row.counts, dtype=np.int64)
@@ -165,7 +165,7 @@ def learned(docs: DataFrame, text: str = "text", key: str = "doc_id", language:
 
     measured = [
         (languages.index(row.language), row.margins)
-        for row in sample.where("measure").mapInArrow(measure, "language string, margins array<double>").collect()
+        for row in mapped(sample.where("measure"), measure, "language string, margins array<double>").collect()
         if row.language in languages
     ]
     if measured:
@@ -202,4 +202,4 @@ def predictions(docs: DataFrame, model: Model, text: str = "text", carried: tupl
             )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return rows.mapInArrow(predict, f"{kinds}, lang_pred string, score double, ambiguous boolean")
+    return mapped(rows, predict, f"{kinds}, lang_pred string, score double, ambiguous boolean")

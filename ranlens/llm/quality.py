@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ranlens.llm.common import WORD, slices
+from ranlens.llm.common import WORD, mapped, slices
 
 SYMBOLS = frozenset("#*$%&|<>")
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
@@ -178,13 +178,8 @@ def sample_features(docs: DataFrame, labels: DataFrame, text: str, key: str, row
     )
     # At most ``rows`` pairs of an id and a label, by the limit above.
     joined = docs.select(key, text).join(F.broadcast(chosen), key).withColumn("place", place)
-    found = (
-        joined.select(text, "quality", "place")
-        .mapInArrow(measure, "x array<double>, quality int, place long")
-        .orderBy("place", "quality", "x")
-        .limit(rows)
-        .collect()
-    )
+    measured = mapped(joined.select(text, "quality", "place"), measure, "x array<double>, quality int, place long")
+    found = measured.orderBy("place", "quality", "x").limit(rows).collect()
     return np.array([r.x for r in found]).reshape(-1, len(FEATURES)), np.array([r.quality for r in found], dtype=float)
 
 
@@ -216,6 +211,5 @@ def quality_verdicts(
 
     kind = docs.schema[key].dataType.simpleString()
     counts = ", ".join(f"{name} long" for name in COUNTS)
-    return docs.select(key, text).mapInArrow(
-        judge, f"`{key}` {kind}, {counts}, base_failed boolean, kept boolean, score double"
+    return mapped(docs.select(key, text), judge, f"`{key}` {kind}, {counts}, base_failed boolean, kept boolean, score double"
     )

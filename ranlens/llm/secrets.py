@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ranlens.llm.common import sha256, slices
+from ranlens.llm.common import mapped, sha256, slices
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE
@@ -128,6 +128,5 @@ def found_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(
-        scan, f"`{key}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+    return mapped(docs.select(key, text), scan, f"`{key}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
     )

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ranlens.llm.common import slices, written
+from ranlens.llm.common import mapped, of_fixed_width, slices, written
 from ranlens.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -42,11 +42,11 @@ HASHES = BANDS * BAND_ROWS
 #: Posterior probability under which a pair is dropped, and MinHash values compared at a time.
 TOLERANCE, COMPARED = 1e-5, 8
 #: Sets of a block in a bucket; sets and shingles of a block in a component.
-BUCKET_BLOCK, COMPONENT_BLOCK, SHINGLE_BLOCK = 2_048, 1_024, 1_000_000
+BUCKET_BLOCK, COMPONENT_BLOCK, SHINGLE_BLOCK = 2_048, 512, 400_000
 #: Values of a hash by which rows are sorted out before a join: the list that is broadcast has as many integers at most.
 SIEVE = 1 << 20
 #: Columns of a dense block when intersections are counted by a product of matrices.
-COLUMNS = 4_096
+COLUMNS = 2_048
 
 BASE, STEP = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 MASK = (1 << 64) - 1
@@ -211,7 +211,7 @@ def sketched(docs: DataFrame, text: str, key: str) -> DataFrame:
             )
 
     rows = docs.select(document(text, key).alias("doc"), text)
-    return rows.mapInArrow(sketch, "doc struct<id:long,hash:long>, set binary, size int, least binary, buckets array<long>")
+    return mapped(rows, sketch, "doc struct<id:long,hash:long>, set binary, size int, least binary, buckets array<long>")
 
 
 def document(text: str, key: str) -> Column:
@@ -251,22 +251,23 @@ def likely_edges(sets: DataFrame) -> DataFrame:
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             members = batch.column("members")
-            keys = np.array(members.flatten().field("set").to_pylist(), dtype=object)
-            flat = members.flatten().field("least").to_pylist()
-            values = np.frombuffer(b"".join(flat), dtype=np.uint16).reshape(-1, HASHES)
+            held = members.flatten()
+            values = of_fixed_width(held.field("least"), 2 * HASHES).view(np.uint16)
             ends = np.cumsum([0, *pa.compute.list_value_length(members).to_pylist()])
             begins, sizes = ends[:-1], np.diff(ends)
             twos = begins[sizes == 2]
-            likely = twos[still_likely(values[twos], values[twos + 1])]
-            x, y = list(keys[likely]), list(keys[likely + 1])
+            likely = [twos[begin : begin + 10_000] for begin in range(0, len(twos), 10_000)]
+            likely = [part[still_likely(values[part], values[part + 1])] for part in likely]
+            x, y = list(likely), [part + 1 for part in likely]
             for begin, size in zip(begins[sizes > 2], sizes[sizes > 2]):
                 root = connected(values[begin : begin + size])
                 own = np.flatnonzero(root != np.arange(size))
-                x.extend(keys[begin + own])
-                y.extend(keys[begin + root[own]])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["x", "y"])
+                x.append(begin + own)
+                y.append(begin + root[own])
+            places = [pa.array(np.concatenate([*part, np.array([], dtype=np.int64)])) for part in (x, y)]
+            yield pa.RecordBatch.from_arrays([held.field("set").take(p) for p in places], ["x", "y"])
 
-    return blocks.mapInArrow(connect, "x binary, y binary").distinct()
+    return mapped(blocks, connect, "x binary, y binary").distinct()
 
 
 def verified(docs: DataFrame, members: DataFrame, text: str, key: str) -> DataFrame:
@@ -291,8 +292,7 @@ def verified(docs: DataFrame, members: DataFrame, text: str, key: str) -> DataFr
             columns = [batch.column(name) for name in names] + [pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, [*names, "shingles"]).filter(same)
 
-    shingled = found.select("set", "copies", "label", "blocks", text).mapInArrow(
-        cut, "set binary, copies long, label binary, blocks long, shingles binary"
+    shingled = mapped(found.select("set", "copies", "label", "blocks", text), cut, "set binary, copies long, label binary, blocks long, shingles binary"
     )
     met = in_blocks(shingled, F.col("blocks")).groupBy("label", "blocks", "a", "b")
     groups = met.agg(F.collect_list(F.struct("set", "copies", "block", "shingles")).alias("members"))
@@ -322,7 +322,7 @@ def verified(docs: DataFrame, members: DataFrame, text: str, key: str) -> DataFr
                     ["set", "links", "root", "cut"],
                 )
 
-    return groups.select("members", "blocks", "a", "b").mapInArrow(verify, "set binary, links long, root binary, cut boolean")
+    return mapped(groups.select("members", "blocks", "a", "b"), verify, "set binary, links long, root binary, cut boolean")
 
 
 def first_linked(links: np.ndarray, same: bool) -> np.ndarray:

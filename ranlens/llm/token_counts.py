@@ -24,7 +24,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from ranlens.llm.common import slices, tokenizer_path
+from ranlens.llm.common import mapped, slices, tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Entries of the table that is broadcast, and characters of a pre-token in it: a few megabytes at most.
@@ -107,7 +107,7 @@ def frequent_pre_tokens(docs: DataFrame, path: str, text: str = "text") -> DataF
                 [pa.array([w for w, _ in found]), pa.array([n for _, n in found], pa.int64())], ["word", "n"]
             )
 
-    summaries = docs.select(text).mapInArrow(summarise, "word string, n long")
+    summaries = mapped(docs.select(text), summarise, "word string, n long")
     return summaries.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(TABLE_ENTRIES)
 
 
@@ -127,6 +127,7 @@ def token_counts(docs: DataFrame, path: str = "", text: str = "text", key: str =
                 [batch.column(key), sizes, pa.array(n, pa.int64()), pa.array([x > TOKEN_LIMIT for x in n], pa.bool_())],
                 [key, "n_bytes", "n_tokens", "over_limit"],
             )
+        own.use_table({})  # the worker may have other work next
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(count, f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return mapped(docs.select(key, text), count, f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
