@@ -50,11 +50,14 @@ ENDED_BY |= {"td": {"p", "td", "th"}, "th": {"p", "td", "th"}, "option": {"optio
 HOLDERS = frozenset("ul ol dl table div section article main aside nav body td th form blockquote header footer".split())
 MAIN_WORDS = frozenset("article articlebody post entry story content main maincontent text body".split())
 OTHER_WORDS = frozenset(
-    """ad ads advert advertisement adverts advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb
-    breadcrumbs sidebar widget widgets footer masthead topbar toolbar comment comments commentlist respond reply replies disqus
-    discussion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing
-    social related recommended recommendations teaser pagination pager tagcloud copyright disclaimer hidden skip search""".split()
+    """ad ads adbox adslot advert advertisement adverts advertising sponsor sponsored promo promotion breadcrumb breadcrumbs footer
+    masthead topbar toolbar comment comments commentlist commentsection commentform respond reply replies disqus discussion cookie cookies
+    cookiebar cookiebanner consent gdpr notice notices sitenotice announcement alert popup modal overlay newsletter subscribe signup
+    login share sharing social related recommended recommendations teaser teasers pagination pager tagcloud copyright disclaimer
+    hidden skip search topnav mainnav subnav sidenav""".split()
 )
+#: Names that a frame around the whole page may bear as well, so an article inside it is one.
+FRAME_WORDS = frozenset("nav navbar navigation menu banner sidebar widget widgets".split())
 HEADER_WORDS = frozenset(["header"])
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
@@ -67,17 +70,18 @@ TOKEN = re.compile(
     r"""<!--(?:[^-]++|-(?!->))*+(?:-->|\Z)|<[!?][^>]*+>?|</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|</?[a-zA-Z][^>]*+>?"""
 )
 TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-ATTRIBUTE = re.compile(r"""[\s"'/](class|id|role|hidden|href|data-main)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/>"'])""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""[\s"'/](class|id|role|style|hidden|href|data-main)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/>"'])""", re.IGNORECASE)
 SPLIT = re.compile(r"[^a-z0-9]+")
 SENTENCE_END = (".", "!", "?", ":", '"', "”", "…", "。")
 
 # What a tag opens, and where a block stands.
 NOTHING, MAIN_TAG, MAIN_HINT, OTHER, OTHER_HINT, HEADER = range(6)
-NEUTRAL, MAIN, HINTED, OUTSIDE, MAIN_HEADER = range(5)
+NEUTRAL, MAIN, HINTED, FRAMED, OUTSIDE, MAIN_HEADER = range(6)
 STANDS = {
-    NEUTRAL: (NEUTRAL, MAIN, MAIN, OUTSIDE, HINTED, OUTSIDE),
+    NEUTRAL: (NEUTRAL, MAIN, HINTED, OUTSIDE, FRAMED, OUTSIDE),
     MAIN: (MAIN, MAIN, MAIN, OUTSIDE, OUTSIDE, MAIN_HEADER),
-    HINTED: (HINTED, MAIN, HINTED, OUTSIDE, HINTED, HINTED),
+    HINTED: (HINTED, MAIN, HINTED, OUTSIDE, FRAMED, MAIN_HEADER),
+    FRAMED: (FRAMED, MAIN, FRAMED, OUTSIDE, FRAMED, FRAMED),
     OUTSIDE: (OUTSIDE,) * 6,
     MAIN_HEADER: (MAIN_HEADER, MAIN_HEADER, MAIN_HEADER, OUTSIDE, OUTSIDE, MAIN_HEADER),
 }
@@ -92,13 +96,16 @@ def opened(tag: str) -> tuple[str, bool, bool, int, bool, bool]:
     found = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(tag)}
     words = set(SPLIT.split(found.get("class", "") + " " + found.get("id", "")))
     kind = NOTHING
-    if name in OTHER_TAGS or found.get("role") in OTHER_ROLES or "hidden" in found:
+    unseen = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "")
+    if name in OTHER_TAGS or found.get("role") in OTHER_ROLES or unseen:
         kind = OTHER
     elif name in ("body", "html"):
         kind = NOTHING
     elif name in ("article", "main") or found.get("role") in ("main", "article"):
         kind = OTHER if words & OTHER_WORDS else MAIN_TAG
     elif words & OTHER_WORDS:
+        kind = OTHER
+    elif words & FRAME_WORDS:
         kind = OTHER_HINT
     elif name == "header" or (words & HEADER_WORDS and not words & MAIN_WORDS):
         kind = HEADER
@@ -199,12 +206,13 @@ def features(blocks: list[Block]) -> np.ndarray:
     """A row a block, in the order of FEATURES."""
     words = np.array([0, *(b.words for b in blocks), 0], dtype=float)
     linked = np.array([0, *(b.linked for b in blocks), 0])
-    marked = any(b.stands in (MAIN, MAIN_HEADER) for b in blocks)
+    tagged = any(b.stands == MAIN for b in blocks)
+    marked = tagged or any(b.stands in (HINTED, MAIN_HEADER) for b in blocks)
     own = np.array(
         [
             (
-                b.stands == MAIN or (b.stands == MAIN_HEADER and b.heading),
-                b.stands in (HINTED, OUTSIDE) or (b.stands == MAIN_HEADER and not b.heading),
+                b.stands == MAIN or (b.stands == HINTED and not tagged) or (b.stands == MAIN_HEADER and b.heading),
+                b.stands in (FRAMED, OUTSIDE) or (b.stands == MAIN_HEADER and not b.heading),
                 b.heading,
                 b.text.endswith(SENTENCE_END),
                 marked,

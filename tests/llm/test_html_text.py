@@ -41,6 +41,9 @@ def test_the_query_equals_a_plain_cut(spark, folder):
         ("<article><p>x</p><section id=comments><article><p>me too</p></article></section></article>", "x"),
         ("<body class=has-sidebar><div class=sidebar>s</div><main><p>x</main><div class='cookie-notice'>c</div>", "x"),
         ("<article><p class=ad>buy<p>x</article>", "x"),
+        ("<div id=main><div class=left>l l l l</div><article><p>x</article><div>r</div></div>", "x"),
+        ("<div class=with-sidebar><article>x</article></div><div class=related><article>other</article></div>", "x"),
+        ("<div class=content><h1>T</h1><p>x</p><p style='display: none'>h</p></div><div class=comments><p>c c c</p></div>", "T\nx"),
         ("<article></div></p></x><p>stray ends</article>", "stray ends"),
         ('<article><p title="a > b">quoted</p><a href="x', "quoted"),
         ("<ARTICLE><P>upper</P></ARTICLE>", "upper"),
