@@ -7,7 +7,7 @@ alike. Decoding chooses the codeword of least loss, each bit's exponential loss
 reliability. The score compares the least loss with the next; a low one marks the text as ambiguous.
 
 Learning uses a bounded sample: of the ``MAX_LANGUAGES`` most frequent languages, the ``SAMPLE_ROWS`` training
-rows each with the smallest hashes of their ids. A quarter of it is kept from the counts and measures
+rows each that hashes of their ids choose. A quarter of it is kept from the counts and measures
 the bits. Training rows have a text, a language, and an id whose crc32 leaves no 1 when divided by 3; the
 others are held out. Predictions read nothing but the text, in the task that reads the row.
 
@@ -111,10 +111,13 @@ def training_sample(docs: DataFrame, text: str, key: str, language: str) -> Data
     trained = F.col(language).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key)
     rows = docs.where(trained).select(key, F.col(language).alias("language"))
     frequent = rows.groupBy("language").count().orderBy(F.desc("count"), "language").limit(MAX_LANGUAGES)
+    # The hash leaves about three times the rows wanted of a language to be ranked, however many it has.
+    share = F.ceil(3.0 * SAMPLE_ROWS * (1 << 30) / F.col("count"))
     order = Window.partitionBy("language").orderBy(F.xxhash64(key), key)
     # Both sides that are broadcast are bounded by the limits: languages, and languages times rows of each.
     chosen = (
-        rows.join(F.broadcast(frequent.select("language")), "language")
+        rows.join(F.broadcast(frequent), "language")
+        .where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), 1 << 30) < share)
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= SAMPLE_ROWS)
         .select(key, "language", (F.col("place") % 4 == 0).alias("measure"))

@@ -5,8 +5,8 @@ labelled rows which statistics mean quality; on the features in ``FALLING`` the
 feature rises, so a text is never rescued by more symbols, repeats or shouting. The trees are flattened
 into arrays of nodes and a batch of documents walks all trees at once.
 
-The ensemble is fitted on a bounded sample of labelled rows: those ``SAMPLE_ROWS`` whose ids have the
-smallest hashes (the sample is the same in every run). The statistics and the verdicts cover all rows.
+The ensemble is fitted on a bounded sample of labelled rows: ``SAMPLE_ROWS`` chosen by hashes of
+their ids (the sample is the same in every run). The statistics and the verdicts cover all rows.
 Without labels of both kinds every document that passes the base rules is kept.
 
 Nulls and empty texts have no words and fail the base rules. Repeated rows give repeated rows; other
@@ -159,7 +159,7 @@ def fit(
 
 
 def sample_features(docs: DataFrame, labels: DataFrame, text: str, key: str, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``rows`` labelled documents, those with the smallest hashes of their ids."""
+    """Features and labels of at most ``rows`` labelled documents, chosen by hashes of their ids."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
@@ -170,8 +170,11 @@ def sample_features(docs: DataFrame, labels: DataFrame, text: str, key: str, row
             )
 
     place = F.xxhash64(F.col(key).cast("string"))
+    labelled = labels.where(F.col("quality").isNotNull() & F.col(key).isNotNull())
+    # The hash leaves about twice the rows wanted to be ordered, however many labels there are.
+    share = 1.0 if (n := labelled.count()) <= 2 * rows else 2 * rows / n
     chosen = (
-        labels.where(F.col("quality").isNotNull() & F.col(key).isNotNull())
+        labelled.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), 1 << 30) < int(share * (1 << 30)))
         .select(key, F.col("quality").cast("int").alias("quality"))
         .orderBy(place, key, "quality")
         .limit(rows)
