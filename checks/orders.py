@@ -50,8 +50,10 @@ def _compared(one: object, other: object) -> int:
 
 
 def out_of_order(name: str, columns: list[str], rows: list) -> str:
-    """Empty when the rows follow the order of the report, else the first two that do not."""
-    keys = [(columns.index(key.lstrip("-")), -1 if key.startswith("-") else 1) for key in ORDERS.get(name, [])]
+    """Empty when the rows follow the order of the report or it has none, else the first two that do not."""
+    if name not in ORDERS:
+        return ""
+    keys = [(columns.index(key.lstrip("-")), -1 if key.startswith("-") else 1) for key in ORDERS[name]]
 
     if "signal_quality_class" in columns:  # from the best class to the worst
         place = columns.index("signal_quality_class")
