@@ -40,7 +40,7 @@ OVER, UNDER = 4, 5
 BANDS, BAND_ROWS = 24, 4
 HASHES = BANDS * BAND_ROWS
 #: Posterior probability under which a pair is dropped, and MinHash values compared at a time.
-TOLERANCE, COMPARED = 1e-5, 8
+TOLERANCE, COMPARED = 1e-7, 8
 #: Sets of a block in a bucket; sets and shingles of a block in a component.
 BUCKET_BLOCK, COMPONENT_BLOCK, SHINGLE_BLOCK = 2_048, 512, 400_000
 #: Values of a hash by which rows are sorted out before a join: the list that is broadcast has as many integers at most.
