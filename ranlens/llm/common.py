@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -21,6 +24,8 @@ WORD = re.compile(WORD_PATTERN)
 
 #: Characters of text that are worked on at once in a task.
 SLICE_CHARS = 1_000_000
+#: By application, the driver's folder from which its workers are sent the package; gone when the driver ends.
+SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}
 #: Rows of an Arrow batch.
 BATCH_ROWS = 1_000
 
@@ -46,11 +51,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once an application, in case they cannot import it by themselves."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if context.applicationId in SHIPPED or not package.is_dir():
+        return
+    SHIPPED[context.applicationId] = folder = tempfile.TemporaryDirectory()
+    path = f"{folder.name}/ranlens-{context.applicationId}.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(path)
+
+
 def mapped(rows: DataFrame, function: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` over batches of ``BATCH_ROWS`` rows at most, for which the session's own bound is lowered.
 
     Both the virtual machine and the worker hold whole batches, and texts may be long.
     """
+    ship(rows.sparkSession)
     conf, bound = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(bound)) <= BATCH_ROWS:
         conf.set(bound, str(BATCH_ROWS))

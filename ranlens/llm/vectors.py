@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ranlens.llm.common import ship
+
 #: Rows and queries of a block.
 BLOCK_ROWS, BLOCK_QUERIES = 32_768, 1_024
 #: Leading bits of attributes and of a query's components that enter the bitmap sums.
@@ -180,6 +182,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
         sound = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < 2.0**62 / SCALE))
         return df.where((F.size("embedding") > 0) & F.col("vec_id").isNotNull() & sound)
 
+    ship(rows.sparkSession)
     rows, queries = taking_part(rows), taking_part(queries)
     blocks = max(1, -(-rows.count() // BLOCK_ROWS))
     groups = max(1, -(-queries.count() // BLOCK_QUERIES))
