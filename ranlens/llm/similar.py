@@ -2,7 +2,7 @@
 
 Two texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. The steps:
 
-1. Each text gives, where it is read, the key of its shingle set, ``HASHES`` MinHash values and the buckets of its bands.
+1. Each text gives, where it is read, the key of its shingle set and ``HASHES`` MinHash values; bands of them are its buckets.
    At similarity 0.8 a pair shares no bucket once in 300,000 times.
 2. Texts with one shingle set become one: their number is counted, and no pair is made of them.
 3. Sets that share a bucket are candidates. Within a bucket the MinHash values are compared a few at a time; a pair goes as soon as
@@ -117,14 +117,6 @@ def min_hashes(own: np.ndarray) -> np.ndarray:
     return least.astype(np.uint32)
 
 
-def bucket_keys(least: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band."""
-    total = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in least.reshape(BANDS, BAND_ROWS).T.astype(np.uint64):
-        total = stirred(total * np.uint64(STEP) + column)
-    return total.astype(np.int64)
-
-
 @lru_cache(maxsize=1)
 def least_agreements() -> list[int]:
     """For every number of values compared, the agreements a pair needs to stay.
@@ -192,26 +184,24 @@ def linked(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """Per row: its id, the hash of its text, and its shingle set's key, size, MinHash values and buckets."""
+    """Per row: its id, the hash of its text, and its shingle set's key, size and MinHash values (their low 16 bits)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             sets = [shingles(t or "") for t in batch.column(text).to_pylist()]
-            least = [min_hashes(s) for s in sets]
-            buckets = [bucket_keys(m) if len(s) else [] for s, m in zip(sets, least)]
+            least = [min_hashes(s).astype(np.uint16).tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc"),
                     pa.array(map(set_key, sets), pa.binary()),
                     pa.array(map(len, sets), pa.int32()),
-                    pa.array([m.astype(np.uint16).tobytes() for m in least], pa.binary()),
-                    pa.array(buckets, pa.list_(pa.int64())),
+                    pa.array(least, pa.binary()),
                 ],
-                ["doc", "set", "size", "least", "buckets"],
+                ["doc", "set", "size", "least"],
             )
 
     rows = docs.select(document(text, key).alias("doc"), text)
-    return mapped(rows, sketch, "doc struct<id:long,hash:long>, set binary, size int, least binary, buckets array<long>")
+    return mapped(rows, sketch, "doc struct<id:long,hash:long>, set binary, size int, least binary")
 
 
 def document(text: str, key: str) -> Column:
@@ -219,9 +209,9 @@ def document(text: str, key: str) -> Column:
     return F.struct(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("hash"))
 
 
-def in_blocks(rows: DataFrame, blocks: Column) -> DataFrame:
-    """Adds ``block`` by the set's hash, and repeats each row for every pair ``a`` <= ``b`` of blocks with its own."""
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("set"), blocks).cast("int"))
+def in_blocks(rows: DataFrame, blocks: Column, by: str = "set") -> DataFrame:
+    """Adds ``block`` by a hash of the set, and repeats each row for every pair ``a`` <= ``b`` of blocks with its own."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), F.col(by)), blocks).cast("int"))
     others = F.transform(
         F.sequence(F.lit(0), (blocks - 1).cast("int")),
         lambda j: F.struct(F.least("block", j).alias("a"), F.greatest("block", j).alias("b")),
@@ -242,10 +232,16 @@ def sieved(docs: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
 
 def likely_edges(sets: DataFrame) -> DataFrame:
     """Edges ``x``, ``y`` that connect the sets of likely pairs."""
-    buckets = sets.select("set", F.explode("buckets").alias("bucket"))
+    # A bucket is the hash of a band's place and values. Two sets with one short key would be candidates too much, no more.
+    width = 2 * BAND_ROWS
+    bands = F.transform(
+        F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substr("least", i * width + 1, F.lit(width)))
+    )
+    short = F.xxhash64("set").alias("short")
+    buckets = sets.select(short, F.explode(bands).alias("bucket"))
     filled = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = in_blocks(buckets.join(filled, "bucket"), F.ceil(F.col("n") / BUCKET_BLOCK))
-    met = members.join(sets.select("set", "least"), "set").groupBy("bucket", "a", "b")
+    members = in_blocks(buckets.join(filled, "bucket"), F.ceil(F.col("n") / BUCKET_BLOCK), "short")
+    met = members.join(sets.select(short, "set", "least"), "short").groupBy("bucket", "a", "b")
     blocks = met.agg(F.collect_list(F.struct("set", "least")).alias("members")).select("members")
 
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +354,6 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[D
             F.count("*").alias("copies"),
             F.any_value("size").alias("size"),
             F.any_value("least").alias("least"),
-            F.any_value("buckets").alias("buckets"),
         ),
         "sets",
     )
