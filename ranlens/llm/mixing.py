@@ -3,17 +3,21 @@
 Sources in the order of their code points (null last) weigh 5, 2, 1, and so on in turn, and share the words of all
 documents; a source's target stops at ``MAX_EPOCHS`` times its size, and what is over is shared anew.
 From each source the mix takes whole epochs first, then a fraction: its documents in the order of exponential
-keys, -ln(u) / w, u a hash of the row and w its quality weight, as long as their summed sizes stay within what
-is left of the target (Efraimidis and Spirakis). The document that would cross it stays out; instead the
-one whose size comes nearest to the gap is added, if that is nearer than nothing.
+keys, -ln(u) / w, u a hash of the row and w its quality weight, each taken if it still fits into what
+is left of the target (Efraimidis and Spirakis). This goes by rounds: a prefix of the documents that are no longer than
+the gap is taken, the one that would cross it is passed over, and the next round goes on behind it with the gap that is
+left, until no document fits. At last the one whose size comes nearest to the gap is added, if that is nearer
+than nothing, so a source misses its target by half its smallest untaken document at most.
 
 Only ids, sizes and keys are shuffled. A source's prefix sums are taken in two levels, over buckets of keys with
-about ``BUCKET_ROWS`` rows and within them, so a source of any share spreads over all tasks. What a source takes is one
-row (epochs, the last key, the added document), so the texts themselves never move: each row is compared with its
-source's limit where it is read. The targets need one row a source in one task.
+about ``BUCKET_ROWS`` rows and within them, so a source of any share spreads over all tasks; only buckets that begin
+before the gap is full are summed within. What a source takes is one row (epochs, a range of keys and a gap for each
+round, the added document), so the texts themselves never move: each row is compared with its
+source's limits where it is read. The targets need one row a source in one task. Each round leaves a gap under the size
+of the document it passed over, so a few rounds do; their number has no cap.
 
 A null text has size 0, as has one without words; such documents are taken 0 times. Rows alike in id,
-source and text have the same key and share their fate. An empty table gives an empty mix. Other columns
+source and text have the same key and share their fate, as one document of their summed size. An empty table gives an empty mix. Other columns
 are carried by ``mixed`` and not read by ``takings``. DataFrame functions only.
 """
 
@@ -76,8 +80,59 @@ def with_targets(sizes: DataFrame) -> DataFrame:
     )
 
 
+def is_taken(place: Column, size: Column, rounds: Column) -> Column:
+    """Whether a round took the document: its place is in the round's range and its size no more than the round's gap."""
+    took = lambda r: F.coalesce(place > r["after"], F.lit(True)) & (place <= r["last"]) & (size <= r["gap"])
+    return F.coalesce(F.exists(rounds, took), F.lit(False))
+
+
+def filling(placed: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Per ``rank`` the ``gap`` that is left when no document fits any more, and its ``rounds``.
+
+    ``placed`` has rank, bucket, place and size of the documents, ``gaps`` the rank and gap of each source.
+    """
+    whole = gaps.select("rank", F.col("gap").cast("double").alias("gap"), F.lit(None).cast(placed.schema["place"].dataType).alias("after"))
+    ahead = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("rank", "bucket").orderBy("place")  # rows alike end at the same sum
+    pending, steps = written(whole, "gaps"), []
+    while True:
+        behind = F.coalesce(F.col("place") > F.col("after"), F.lit(True))
+        fitting = placed.join(pending, "rank").where(behind & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
+        starts = (
+            fitting.groupBy("rank", "bucket", "gap")
+            .agg(F.sum("size").alias("bucket_size"))
+            .withColumn("start", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)))
+            .where(F.col("start") < F.col("gap"))
+            .select("rank", "bucket", "start")
+        )
+        summed = fitting.join(written(starts, "starts"), ["rank", "bucket"]).withColumn(
+            "end", F.col("start") + F.sum("size").over(within)
+        )
+        fits = F.col("end") <= F.col("gap")
+        step = written(
+            summed.groupBy("rank", "gap", "after").agg(
+                F.max(F.when(fits, F.col("place"))).alias("last"),
+                F.coalesce(F.max(F.when(fits, F.col("end"))), F.lit(0)).alias("filled"),
+                F.min(F.when(~fits, F.col("place"))).alias("crossing"),
+            ),
+            "round",
+        )
+        steps.append(step)
+        going = step.where(F.col("crossing").isNotNull() & (F.col("filled") < F.col("gap")))
+        if going.isEmpty():
+            break
+        pending = written(going.select("rank", (F.col("gap") - F.col("filled")).alias("gap"), F.col("crossing").alias("after")), "gaps")
+    every = steps[0].withColumn("round", F.lit(0))
+    for i, step in enumerate(steps[1:], 1):
+        every = every.unionByName(step.withColumn("round", F.lit(i)))
+    took = F.when(F.col("last").isNotNull(), F.struct("after", "last", "gap"))
+    found = every.groupBy("rank").agg(F.collect_list(took).alias("rounds"), F.sum("filled").alias("filled"))
+    left = gaps.join(found, "rank", "left").withColumn("gap", F.col("gap") - F.coalesce("filled", F.lit(0)))
+    return written(left.select("rank", "gap", "rounds"), "filled")
+
+
 def limits(rows: DataFrame) -> DataFrame:
-    """For each source of the keyed rows its size, target, ``epochs``, the ``last`` place taken beyond, and one ``added``."""
+    """For each source of the keyed rows its size, target, ``epochs``, the ``rounds`` that take beyond, and one ``added``."""
     sizes = rows.groupBy("source").agg(
         F.sum("_size").alias("source_size"), F.count("*").alias("n_rows"), F.avg("_weight").alias("mean_weight")
     )
@@ -91,41 +146,33 @@ def limits(rows: DataFrame) -> DataFrame:
     )
     of_source = sources.select(F.col("source").alias("_source"), "rank", "mean_weight", "left", "buckets")
     spread = (1 - F.exp(-F.col("_key") * F.col("mean_weight"))) * F.col("buckets")
-    placed = (
+    placed = written(
         rows.join(of_source, rows["source"].eqNullSafe(F.col("_source")))
         .withColumn("bucket", F.least(F.floor(spread), F.col("buckets") - 1))
-        .select("rank", "bucket", "left", F.col("_size").alias("size"), F.col("_place").alias("place"))
-    )
-    ahead = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        placed.groupBy("rank", "bucket")
-        .agg(F.sum("size").alias("bucket_size"))
-        .select("rank", "bucket", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)).alias("start"))
-    )
-    within = Window.partitionBy("rank", "bucket").orderBy("place")  # rows alike end at the same sum
-    summed = written(
-        placed.join(starts, ["rank", "bucket"]).withColumn("end", F.col("start") + F.sum("size").over(within)), "mix"
-    )
-    fits = F.col("end") <= F.col("left")
-    taken = summed.groupBy("rank", "left").agg(
-        F.max(F.when(fits, F.col("place"))).alias("last"), F.coalesce(F.max(F.when(fits, F.col("end"))), F.lit(0)).alias("filled")
+        .where("_size > 0 AND left > 0")
+        .select("rank", "bucket", F.col("_size").alias("size"), F.col("_place").alias("place")),
+        "mix",
     )
-    gaps = written(taken.withColumn("gap", F.col("left") - F.col("filled")).drop("left"), "gaps")
+    filled = filling(placed, sources.select("rank", F.col("left").alias("gap")))
     off = F.abs(F.col("size") - F.col("gap"))
+    untaken = ~is_taken(F.col("place"), F.col("size"), F.col("rounds"))
     added = (
-        summed.join(gaps, "rank")
-        .where((F.col("end") > F.col("left")) & (F.col("size") > 0) & (off < F.col("gap")))
+        placed.join(filled, "rank")
+        .where((F.col("size") < 2 * F.col("gap")) & untaken)
+        .groupBy("rank", "place", "gap")
+        .agg(F.sum("size").alias("size"))
+        .where(off < F.col("gap"))
         .groupBy("rank")
         .agg(F.min(F.struct(off.alias("off"), "place")).alias("nearest"))
         .select("rank", F.col("nearest.place").alias("added"))
     )
-    found = sources.join(gaps, "rank").join(added, "rank", "left")
-    return written(found.select("source", "source_size", "target", "epochs", "last", "added"), "limits")
+    found = sources.join(filled, "rank").join(added, "rank", "left")
+    return written(found.select("source", "source_size", "target", "epochs", "rounds", "added"), "limits")
 
 
 def copies() -> Column:
     """How often a keyed row beside its source's limits is taken."""
-    within = F.coalesce(F.col("_place") <= F.col("last"), F.lit(False))
+    within = is_taken(F.col("_place"), F.col("_size"), F.col("rounds"))
     extra = (within | F.col("_place").eqNullSafe(F.col("added"))).cast("int")
     return F.when(F.col("_size") > 0, F.col("epochs") + extra).otherwise(0)
 

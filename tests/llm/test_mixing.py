@@ -54,6 +54,36 @@ def test_many_buckets_small_sources_caps_and_null_sources(spark, monkeypatch):
     assert all(distance <= largest / 2 for distance, largest in off.values())
 
 
+def missed(docs, of):
+    """For each source the distance of the mix from its target, and its smallest document that was left out (or taken once less)."""
+    times = {r.doc_id: r.taken // r.size for r in mixing.takings(docs).collect() if r.size}
+    off = checked(mixing.takings(docs).collect(), of)
+    least = {}
+    for doc, n in times.items():
+        source, text = of[doc]
+        least.setdefault(source, []).append((n, len(text.split())))
+    return {s: (off[s][0], min((w for n, w in held if n == min(m for m, _ in held)), default=0)) for s, held in least.items()}
+
+
+@pytest.mark.parametrize("bucket_rows", [4_096, 7])
+def test_a_document_of_a_third_of_its_source_leaves_no_gap(spark, monkeypatch, bucket_rows):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket_rows)
+    rows = []
+    for source in range(12):
+        small = [(source * 1_000 + i, "w " * (i % 9 + 2), f"s{source:02}") for i in range(1, 200)]
+        rows += [(source * 1_000, "w " * (sum(len(t.split()) for _, t, _ in small) // 2), f"s{source:02}"), *small]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert all(off <= least / 2 for off, least in missed(docs, {i: (s, t) for i, t, s in rows}).values())
+
+
+def test_rows_alike_are_one_document_of_their_summed_size(spark):
+    rows = [(1, "w " * 30, "a")] * 5 + [(i, "w " * 7, "a") for i in range(2, 40)] + [(100 + i, "w " * 50, "b") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = mixing.takings(docs).collect()
+    assert len({r.taken for r in taken if r.doc_id == 1}) == 1
+    assert checked(taken, {i: (s, t) for i, t, s in rows})["a"][0] <= 7 / 2
+
+
 def test_documents_of_more_quality_are_taken_more_often(spark):
     rows = [(i, "a good text of ten words with no signs in", "s") for i in range(2_000)]
     rows += [(i, "### *** a text of ten words with && || in", "s") for i in range(2_000, 4_000)]
