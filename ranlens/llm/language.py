@@ -6,9 +6,10 @@ a zero; its weights are the smoothed log ratios of both sides' n-gram frequencie
 alike. Decoding chooses the codeword of least loss, each bit's exponential loss weighted by the bit's
 reliability. The score compares the least loss with the next; a low one marks the text as ambiguous.
 
-Learning uses a bounded sample: of the ``MAX_LANGUAGES`` most frequent languages, the ``SAMPLE_ROWS`` training
-rows each that hashes of their ids choose. A quarter of it is kept from the counts and measures
-the bits. Training rows have a text, a language, and an id whose crc32 leaves no 1 when divided by 3; the
+Every language of the training rows is learned, however many there are; the code grows with the logarithm of their number.
+Learning uses a sample that is bounded for each: the ``SAMPLE_ROWS`` training rows that hashes of their ids choose.
+A quarter of it is kept from the counts, and of that quarter about ``MEASURED_ROWS``, at least one a language, measure
+the bits. Counts are taken a language at a time and reach the driver in turn. Training rows have a text, a language, and an id whose crc32 leaves no 1 when divided by 3; the
 others are held out. Predictions read nothing but the text, in the task that reads the row.
 
 A text that is null or has no letter is ``und`` with score 0, and so is every text when nothing could be
@@ -21,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ranlens.llm.common import mapped, slices, written
 
-MAX_LANGUAGES, SAMPLE_ROWS = 64, 1_000
+SAMPLE_ROWS, MEASURED_ROWS = 1_000, 16_000
+#: Languages whose counts the driver holds at once, and losses that a task does.
+TOGETHER, LOSSES = 64, 1 << 20
 #: Hashed n-grams that the classifiers know; n-grams of a text from which they are counted before they are weighed.
 BUCKETS, COUNT_FROM = 1 << 14, 4_096
 #: Score under which a text is ambiguous.
@@ -58,6 +62,17 @@ def n_grams(text: str) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint32(15))) * np.uint32(2246822519) >> np.uint32(18)).astype(np.int64)
 
 
+def least_distance(code: np.ndarray) -> float:
+    """The least number of bits in which two rows differ."""
+    least = np.inf
+    for begin in range(0, len(code), 1_024):
+        same = code[begin : begin + 1_024] @ code.T
+        own = np.arange(len(same))
+        same[own, begin + own] = -np.inf
+        least = min(least, (code.shape[1] - same.max()) / 2)
+    return least
+
+
 def codewords(n: int) -> np.ndarray:
     """A row of -1 and 1 for each of n languages: all ways to part few languages, else a wide random code."""
     if n <= 1:
@@ -65,11 +80,11 @@ def codewords(n: int) -> np.ndarray:
     if n <= 5:
         return np.array([[1 if (c >> i) & 1 else -1 for c in range(1, 2 ** (n - 1))] for i in range(n)], dtype=float)
     random, bits = np.random.default_rng(7), int(np.ceil(10 * np.log2(n)))
-    best, reach = None, -1
-    for _ in range(50):
+    best, reach = None, -1.0
+    for _ in range(min(50, max(2, 3_200 // n))):
         code = random.choice([-1.0, 1.0], size=(n, bits))
         code = code[:, np.abs(code.sum(axis=0)) < n]
-        apart = ((code.shape[1] - code @ code.T) / 2)[~np.eye(n, dtype=bool)].min()
+        apart = least_distance(code)
         if apart > reach:
             best, reach = code, apart
     return best
@@ -94,12 +109,18 @@ class Model:
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For rows of margins: the place of the language of least loss, and the score."""
         signed = np.clip(margins * self.scale, -8, 8)
-        losses = np.exp(-self.code[None, :, :] * signed[:, None, :]) @ self.reliability
-        best = losses.argmin(axis=1)
+        best, score = np.zeros(len(signed), dtype=np.int64), np.ones(len(signed))
         if len(self.languages) == 1:
-            return best, np.ones(len(best))
-        least, second = np.partition(losses, 1, axis=1)[:, :2].T
-        return best, 1 - least / second
+            return best, score
+        of_one, of_zero = np.exp(-signed) * self.reliability, np.exp(signed) * self.reliability
+        ones, zeros = np.maximum(self.code, 0).T, np.maximum(-self.code, 0).T
+        step = max(1, LOSSES // len(self.languages))
+        for at in range(0, len(signed), step):
+            losses = of_one[at : at + step] @ ones + of_zero[at : at + step] @ zeros
+            best[at : at + step] = losses.argmin(axis=1)
+            least, second = np.partition(losses, 1, axis=1)[:, :2].T
+            score[at : at + step] = 1 - least / second
+        return best, score
 
 
 def held_out(key: str) -> Column:
@@ -107,24 +128,25 @@ def held_out(key: str) -> Column:
 
 
 def training_sample(docs: DataFrame, text: str, key: str, language: str) -> DataFrame:
-    """``language``, ``text`` and ``measure`` (kept from the counts) of the sampled training rows."""
+    """``language``, ``text``, ``place`` (from 1 in a language) and ``measure`` (kept from the counts) of the sampled training rows."""
     trained = F.col(language).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key)
-    rows = docs.where(trained).select(key, F.col(language).alias("language"))
-    frequent = rows.groupBy("language").count().orderBy(F.desc("count"), "language").limit(MAX_LANGUAGES)
+    labelled = docs.where(trained).select(key, F.col(language).alias("language"), text)
+    counts = written(labelled.groupBy("language").count(), "counts")
     # The hash leaves about three times the rows wanted of a language to be ranked, however many it has.
     share = F.ceil(3.0 * SAMPLE_ROWS * (1 << 30) / F.col("count"))
+    few = labelled.join(counts, "language").where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), 1 << 30) < share)
     order = Window.partitionBy("language").orderBy(F.xxhash64(key), key)
-    # Both sides that are broadcast are bounded by the limits: languages, and languages times rows of each.
+    # Both tables that are joined are written, so Spark knows their sizes: with few languages it broadcasts them.
     chosen = (
-        rows.join(F.broadcast(frequent), "language")
-        .where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), 1 << 30) < share)
+        few.select(key, "language")
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= SAMPLE_ROWS)
-        .select(key, "language", (F.col("place") % 4 == 0).alias("measure"))
-        .distinct()
+        .groupBy(key, "language")
+        .agg(F.min("place").alias("place"))
+        .select(key, "language", "place", (F.col("place") % 4 == 0).alias("measure"))
     )
-    found = docs.where(trained).select(key, F.col(language).alias("language"), text)
-    return written(found.join(F.broadcast(chosen), [key, "language"]).select("language", text, "measure"), "languages")
+    found = few.select(key, "language", text).join(written(chosen, "chosen"), [key, "language"])
+    return written(found.select("language", text, "place", "measure"), "languages")
 
 
 def learned(docs: DataFrame, text: str = "text", key: str = "doc_id", language: str = "lang") -> Model:
@@ -132,44 +154,56 @@ def learned(docs: DataFrame, text: str = "text", key: str = "doc_id", language:
     sample = training_sample(docs, text, key, language)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, np.ndarray] = {}
+        def row(name: str, total: np.ndarray) -> pa.RecordBatch:
+            shares = (total / total.sum()).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([shares], pa.binary())], ["language", "shares"])
+
+        own, total = None, np.zeros(BUCKETS, dtype=np.int64)
         for batch in slices(batches, text):
             for name, t in zip(batch.column("language").to_pylist(), batch.column(text).to_pylist()):
-                total = totals.setdefault(name, np.zeros(BUCKETS, dtype=np.int64))
+                if name != own:
+                    if total.any():
+                        yield row(own, total)
+                    own, total = name, np.zeros(BUCKETS, dtype=np.int64)
                 total += np.bincount(n_grams(t), minlength=BUCKETS)
-        if totals:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(totals), pa.array([t.tobytes() for t in totals.values()], pa.binary())], ["language", "counts"]
-            )
+        if total.any():
+            yield row(own, total)
 
-    # The sample has a fixed number of rows, so a few tasks count it, whatever the size of the table.
-    counted = mapped(sample.where("not measure").repartition(8), count, "language string, counts binary").collect()
-    counts: dict[str, np.ndarray] = {}
-    for row in counted:
-        counts[row.language] = counts.get(row.language, 0) + np.frombuffer(row.counts, dtype=np.int64)
-    languages = sorted(name for name, total in counts.items() if total.sum())
+    # A task has whole languages, one after the other.
+    by_language = sample.where("not measure").select("language", text).repartition("language").sortWithinPartitions("language")
+    counted = written(mapped(by_language, count, "language string, shares binary"), "shares")
+    languages = sorted(row.language for row in counted.select("language").collect())
     code = codewords(len(languages))
     if not languages:
         return Model([], code, np.zeros((BUCKETS, 1), np.float32), np.ones(1), np.ones(1))
-    shares = np.array([counts[name] / counts[name].sum() for name in languages])
-    smooth = 0.1 / BUCKETS
+    place = {name: i for i, name in enumerate(languages)}
     ones, zeros = np.maximum(code, 0), np.maximum(-code, 0)
-    side = lambda part: np.log(shares.T @ (part / np.maximum(part.sum(axis=0), 1)) + smooth)
-    model = Model(languages, code, (side(ones) - side(zeros)).astype(np.float32), np.ones(code.shape[1]), np.ones(code.shape[1]))
+    ones, zeros = (part / np.maximum(part.sum(axis=0), 1) for part in (ones, zeros))
+    of_ones, of_zeros = np.zeros((BUCKETS, code.shape[1])), np.zeros((BUCKETS, code.shape[1]))
+    rows = counted.orderBy("language").toLocalIterator()
+    while some := list(islice(rows, TOGETHER)):
+        at, shares = [place[row.language] for row in some], np.array([np.frombuffer(row.shares) for row in some])
+        of_ones += shares.T @ ones[at]
+        of_zeros += shares.T @ zeros[at]
+    smooth = 0.1 / BUCKETS
+    weights = (np.log(of_ones + smooth) - np.log(of_zeros + smooth)).astype(np.float32)
+    model = Model(languages, code, weights, np.ones(code.shape[1]), np.ones(code.shape[1]))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             grams = [n_grams(t) for t in batch.column(text).to_pylist()]
             kept = [(name, model.margins(g)) for name, g in zip(batch.column("language").to_pylist(), grams) if len(g)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([n for n, _ in kept], pa.string()), pa.array([m.astype(float) for _, m in kept], pa.list_(pa.float64()))],
+                [pa.array([n for n, _ in kept], pa.string()), pa.array([m.astype(float).tobytes() for _, m in kept], pa.binary())],
                 ["language", "margins"],
             )
 
+    of_each = -(-MEASURED_ROWS // len(languages))
+    measuring = sample.where(F.col("measure") & (F.col("place") <= 4 * of_each)).select("language", text)
     measured = [
-        (languages.index(row.language), row.margins)
-        for row in mapped(sample.where("measure"), measure, "language string, margins array<double>").collect()
-        if row.language in languages
+        (place[row.language], np.frombuffer(row.margins))
+        for row in mapped(measuring, measure, "language string, margins binary").collect()
+        if row.language in place
     ]
     if measured:
         bits, margins = code[[i for i, _ in measured]], np.array([m for _, m in measured])

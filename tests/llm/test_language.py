@@ -57,3 +57,35 @@ def test_many_languages_are_decoded(spark):
     docs = spark.createDataFrame([(i * 9 + k, t, lang) for k, (i, t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
     told = language.predictions(docs, language.learned(docs), carried=("doc_id", "lang")).where(language.held_out("doc_id"))
     assert told.where("lang = lang_pred").count() / told.count() > 0.98
+
+
+def test_no_language_is_left_out_however_many_there_are(spark):
+    random = np.random.default_rng(8)
+    rows = []
+    for lang in range(90):
+        syllables = ["".join(random.choice(list("abcdefghijklmnopqrstuvwxyz"), 3)) for _ in range(25)]
+        rows += [(len(rows) + i, " ".join(random.choice(syllables, 80)), f"l{lang}") for i in range(12 + lang // 9)]
+    rows.append((10**6, "ein einziger text", "rare"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learned(docs)
+    assert set(model.languages) == {lang for i, _, lang in rows if not is_held_out(i)}
+    assert model.code.shape[1] <= np.ceil(10 * np.log2(len(model.languages)))
+    told = language.predictions(docs, model, carried=("doc_id", "lang")).where(language.held_out("doc_id"))
+    assert told.where("lang = lang_pred").count() / told.count() > 0.98
+
+
+@pytest.mark.parametrize("n", [100, 1_500])
+def test_many_codewords_are_apart(n):
+    code = language.codewords(n)
+    assert language.least_distance(code) == min((code.shape[1] - np.delete(code, i, 0) @ code[i]).min() / 2 for i in range(n)) >= 10
+
+
+def test_losses_are_those_of_the_codewords(monkeypatch):
+    monkeypatch.setattr(language, "LOSSES", 50)
+    random, code = np.random.default_rng(9), language.codewords(20)
+    model = language.Model([str(i) for i in range(20)], code, np.zeros((1, 1)), np.ones(code.shape[1]), random.random(code.shape[1]))
+    margins = random.normal(size=(33, code.shape[1]))
+    losses = np.sort([[(model.reliability * np.exp(-c * m)).sum() for c in code] for m in margins])
+    best, score = model.decode(margins)
+    assert score == pytest.approx(1 - losses[:, 0] / losses[:, 1])
+    assert [(model.reliability * np.exp(-code[b] * m)).sum() for b, m in zip(best, margins)] == pytest.approx(losses[:, 0])
