@@ -6,6 +6,11 @@ and after it, and where it stands (inside the marked article, inside a part that
 tree tells article blocks from the others. It is trained on a small labelled table of pages
 (``labelled_pages``) and walked for all blocks of a slice at once.
 
+A name or a form says that a part is no article, but a page may be wrapped in one. So each block also has the
+place it has in two more readings: without such parts outside of articles, and without them anywhere. They are taken
+in turn if a page has no text otherwise; and the second if it alone finds a marked article, of more than twice the words.
+Only whole class names and ids are names of such parts; an article or main tag with one is none only behind an article without.
+
 Scripts, styles, comments of the markup and the head are no blocks. Inside a block character references are
 decoded, white space (as Python's ``str.split`` sees it, the no-break space included) becomes one space, and ends
 are trimmed. A line break tag is white space. Article blocks are joined by one line end in page order; none is cut.
@@ -40,7 +45,7 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 RAW_TAGS = frozenset("script style textarea title iframe noembed noframes xmp".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 OTHER_TAGS = frozenset(
-    "nav aside footer form head menu noscript template select option optgroup button svg canvas object video audio dialog search fieldset".split()
+    "nav aside footer head menu noscript template select option optgroup button svg canvas object video audio dialog search fieldset".split()
 )
 #: What a start tag ends that was left open.
 ENDED_BY = {tag: {"p"} for tag in BLOCK_TAGS - {"option", "optgroup", "button"}}
@@ -54,7 +59,9 @@ OTHER_WORDS = frozenset(
     masthead topbar toolbar comment comments commentlist commentsection commentform respond reply replies disqus discussion cookie cookies
     cookiebar cookiebanner consent gdpr notice notices sitenotice announcement alert popup modal overlay newsletter subscribe signup
     login share sharing social related recommended recommendations teaser teasers pagination pager tagcloud copyright disclaimer
-    hidden skip search topnav mainnav subnav sidenav""".split()
+    hidden skip search topnav mainnav subnav sidenav commentsarea commentarea cookienotice cookieconsent relatedposts sitefooter pagefooter
+    sharebuttons socialshare sociallinks socialicons newsletterform newslettersignup searchform searchbox loginform adcontainer
+    adwrapper adbanner""".split()
 )
 #: Names that a frame around the whole page may bear as well, so an article inside it is one.
 FRAME_WORDS = frozenset("nav navbar navigation menu banner sidebar widget widgets".split())
@@ -75,7 +82,7 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 SENTENCE_END = (".", "!", "?", ":", '"', "”", "…", "。")
 
 # What a tag opens, and where a block stands.
-NOTHING, MAIN_TAG, MAIN_HINT, OTHER, OTHER_HINT, HEADER = range(6)
+NOTHING, MAIN_TAG, MAIN_HINT, OTHER, OTHER_HINT, HEADER, NAMED_OTHER, NAMED_MAIN, FORM = range(9)
 NEUTRAL, MAIN, HINTED, FRAMED, OUTSIDE, MAIN_HEADER = range(6)
 STANDS = {
     NEUTRAL: (NEUTRAL, MAIN, HINTED, OUTSIDE, FRAMED, OUTSIDE),
@@ -85,6 +92,17 @@ STANDS = {
     OUTSIDE: (OUTSIDE,) * 6,
     MAIN_HEADER: (MAIN_HEADER, MAIN_HEADER, MAIN_HEADER, OUTSIDE, OUTSIDE, MAIN_HEADER),
 }
+#: What the kinds that only a name or form tells mean in the first reading.
+AT_FIRST = {NAMED_OTHER: OTHER, FORM: OTHER_HINT}
+READINGS = 3
+
+
+def stands_in(reading: int, parent: int, kind: int) -> int:
+    """Where the content of an element stands in a reading."""
+    if kind in AT_FIRST:
+        passed = reading == 2 or (reading == 1 and parent in (NEUTRAL, FRAMED))
+        kind = NOTHING if passed else AT_FIRST[kind]
+    return STANDS[parent][kind]
 
 
 @lru_cache(maxsize=10_000)
@@ -94,7 +112,9 @@ def opened(tag: str) -> tuple[str, bool, bool, int, bool, bool]:
     if ends or (name not in BLOCK_TAGS and name not in ("a", "script", "style")):
         return name, ends, name in VOID_TAGS, NOTHING, False, False
     found = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(tag)}
-    words = set(SPLIT.split(found.get("class", "") + " " + found.get("id", "")))
+    names = (found.get("class", "") + " " + found.get("id", "")).split()
+    words = set(SPLIT.split(" ".join(names)))
+    is_other = any(SPLIT.sub("", n) in OTHER_WORDS for n in names)
     kind = NOTHING
     unseen = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "")
     if name in OTHER_TAGS or found.get("role") in OTHER_ROLES or unseen:
@@ -102,9 +122,11 @@ def opened(tag: str) -> tuple[str, bool, bool, int, bool, bool]:
     elif name in ("body", "html"):
         kind = NOTHING
     elif name in ("article", "main") or found.get("role") in ("main", "article"):
-        kind = OTHER if words & OTHER_WORDS else MAIN_TAG
-    elif words & OTHER_WORDS:
-        kind = OTHER
+        kind = NAMED_MAIN if is_other else MAIN_TAG
+    elif is_other:
+        kind = NAMED_OTHER
+    elif name == "form":
+        kind = FORM
     elif words & FRAME_WORDS:
         kind = OTHER_HINT
     elif name == "header" or (words & HEADER_WORDS and not words & MAIN_WORDS):
@@ -119,7 +141,7 @@ class Block:
     text: str
     words: int
     linked: float
-    stands: int
+    stands: tuple[int, ...]  # in each reading
     heading: bool
     labelled: bool
 
@@ -129,10 +151,11 @@ class Page:
     """The blocks of a page, collected while its tags are read."""
 
     blocks: list[Block] = field(default_factory=list)
-    open: list[tuple[str, int, bool]] = field(default_factory=list)  # name, where its content stands, labelled
+    open: list[tuple[str, tuple[int, ...], bool]] = field(default_factory=list)  # name, where its content stands, labelled
     parts: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
     in_link: bool = False
+    has_article: bool = False
 
     def add(self, text: str) -> None:
         text = html.unescape(text) if "&" in text else text
@@ -146,7 +169,7 @@ class Page:
             return
         words = "".join(self.parts).split()
         if words:
-            stands, labelled = (self.open[-1][1], self.open[-1][2]) if self.open else (NEUTRAL, False)
+            stands, labelled = (self.open[-1][1], self.open[-1][2]) if self.open else ((NEUTRAL,) * READINGS, False)
             linked = len(" ".join(self.linked).split()) / len(words)
             heading = bool(self.open) and self.open[-1][0] in HEADINGS
             self.blocks.append(Block(" ".join(words), len(words), min(linked, 1.0), stands, heading, labelled))
@@ -166,7 +189,12 @@ class Page:
                 del self.open[i:]
             elif self.open[i][0] in HOLDERS:
                 break
-        self.open.append((name, STANDS[self.open[-1][1] if self.open else NEUTRAL][kind], labelled))
+        if kind == NAMED_MAIN:
+            kind = OTHER if self.has_article else MAIN_TAG
+        elif kind == MAIN_TAG and name == "article":
+            self.has_article = True
+        parents = self.open[-1][1] if self.open else (NEUTRAL,) * READINGS
+        self.open.append((name, tuple(stands_in(i, parent, kind) for i, parent in enumerate(parents)), labelled))
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -202,22 +230,23 @@ def blocks_of(page: str) -> list[Block]:
     return read.blocks
 
 
-def features(blocks: list[Block]) -> np.ndarray:
+def features(blocks: list[Block], reading: int = 0) -> np.ndarray:
     """A row a block, in the order of FEATURES."""
     words = np.array([0, *(b.words for b in blocks), 0], dtype=float)
     linked = np.array([0, *(b.linked for b in blocks), 0])
-    tagged = any(b.stands == MAIN for b in blocks)
-    marked = tagged or any(b.stands in (HINTED, MAIN_HEADER) for b in blocks)
+    stands = [b.stands[reading] for b in blocks]
+    tagged = MAIN in stands
+    marked = tagged or HINTED in stands or MAIN_HEADER in stands
     own = np.array(
         [
             (
-                b.stands == MAIN or (b.stands == HINTED and not tagged) or (b.stands == MAIN_HEADER and b.heading),
-                b.stands in (FRAMED, OUTSIDE) or (b.stands == MAIN_HEADER and not b.heading),
+                at == MAIN or (at == HINTED and not tagged) or (at == MAIN_HEADER and b.heading),
+                at in (FRAMED, OUTSIDE) or (at == MAIN_HEADER and not b.heading),
                 b.heading,
                 b.text.endswith(SENTENCE_END),
                 marked,
             )
-            for b in blocks
+            for b, at in zip(blocks, stands)
         ],
         dtype=float,
     ).reshape(len(blocks), 5)
@@ -294,13 +323,30 @@ def trained_tree() -> Tree:
     return grown(*labelled_table())
 
 
+def read_again(blocks: list[Block], kept: np.ndarray, tree: Tree) -> np.ndarray:
+    """Which blocks are of the article, given those of the first reading."""
+    marks = [{b.stands[i] for b in blocks} & {MAIN, HINTED, MAIN_HEADER} for i in range(READINGS)]
+    if kept.any():
+        if marks[0] or not marks[1]:
+            return kept
+        again, words = tree.is_main(features(blocks, 1)).astype(bool), np.array([b.words for b in blocks])
+        return again if words[again].sum() > 2 * words[kept].sum() else kept
+    for reading in range(1, READINGS):
+        if any(b.stands[reading] != b.stands[0] for b in blocks):
+            again = tree.is_main(features(blocks, reading)).astype(bool)
+            if again.any():
+                return again
+    return kept
+
+
 def main_texts(pages: list[str], tree: Tree) -> list[str]:
     """The main text of each page."""
     blocks = [blocks_of(page) for page in pages]
-    is_main = tree.is_main(np.concatenate([np.zeros((0, len(FEATURES))), *(features(b) for b in blocks)]))
+    is_main = tree.is_main(np.concatenate([np.zeros((0, len(FEATURES))), *(features(b) for b in blocks)])).astype(bool)
     texts, at = [], 0
     for own in blocks:
-        texts.append("\n".join(b.text for b, keep in zip(own, is_main[at : at + len(own)]) if keep))
+        kept = read_again(own, is_main[at : at + len(own)], tree)
+        texts.append("\n".join(b.text for b, keep in zip(own, kept) if keep))
         at += len(own)
     return texts
 

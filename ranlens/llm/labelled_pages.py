@@ -60,4 +60,11 @@ PAGES = [
     <form>Fill in this form with all you know about yourself and your friends, and send it to us this very day, please.</form>
     <div class=comments><p>A reader has written a long comment, with more than a dozen words in it, and it ends with a stop.</p>
     <p>Another reader has answered that comment with a comment that is nearly as long as the first one was.</p></div></body>""",
+    """<body class="single ad-free"><div class="page no-ads"><article class="post category-social tag-search"><h1 data-main>A title
+    below names</h1><p data-main>The names of this article have words of other parts in them, yet it is one, as its tag says.</p>
+    <p data-main>Short.</p><div class=share>Share this text with all of your friends, today and on any other day of the
+    year.</div></article></div><footer>Rights and more, in as many words as a paragraph of the article above has.</footer></body>""",
+    """<body><form id=aspnetForm><ul><li><a href=1>Home</a><li><a href=2>All the news</a></ul><main><h1 data-main>In a form</h1>
+    <p data-main>The whole page is wrapped in a form here, as some servers do it, and its main part is the article.</p>
+    <p data-main>End of it</p></main><div class="hidden-print links"><a href=3>One more page of this site</a></div></form></body>""",
 ]

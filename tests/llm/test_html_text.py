@@ -77,3 +77,30 @@ def test_odd_rows(spark):
 def test_the_tree_tells_its_labelled_blocks():
     x, y = html_text.labelled_table()
     assert (html_text.trained_tree().is_main(x) == y).mean() > 0.98
+
+
+LONG = "this paragraph has many words in it and not one of them is a link, so that it must be of the main text of the page."
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        (f"<article class='post category-social tag-search'><h1>T</h1><p>{LONG}<p>x<div class=share>s</div></article>", f"T\n{LONG}\nx"),
+        ("<main><p>crumbs</p><article class='post social'><p>x</p></article></main>", "crumbs\nx"),
+        ("<article><p>x</p></article><article class=comment><p>me too</p></article>", "x"),
+        (f"<div class='content no-ads'><h1>T</h1><p>{LONG}</p><p>x</p></div>", f"T\n{LONG}\nx"),
+        (f"<div class='hidden-print content'><p>{LONG}</p><p>x</p></div>", f"{LONG}\nx"),
+        ("<body class=comments-enabled><div class=comments-enabled><main><p>x</p></main></div>", "x"),
+        ("<form id=aspnetForm><div class=nav><a href=x>Home</a></div><article><p>x<div class=ad>a</div></article><p>f</p></form>", "x"),
+        (f"<form id=aspnetForm><div class=content><p>{LONG}<div class=comments><p>{LONG}</div></div></form>", LONG),
+        (f"<form><ul><li><a href=x>Home</a><li><a href=y>News</a></ul><div>{LONG}</div><div>{LONG}</div></form>", f"{LONG}\n{LONG}"),
+        (f"<main><form><p>{LONG}</p></form></main>", LONG),
+        ("<div class=overlay><article><p>x<div class=ad>buy</div></article></div>", "x"),
+        (f"<p>{LONG}</p><div class=modal><article><p>{LONG}</p><p>{LONG}</p><p>x</p></article></div>", f"{LONG}\n{LONG}\nx"),
+        (f"<div class=social><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG}\n{LONG}"),
+        (f"<p>{LONG}</p><div class=comments-area><p>{LONG}</p></div><form><p>{LONG}</p></form>", LONG),
+        (f"<div class=content><p>x</p></div><div class=comments><article><p>{LONG}</p></article></div>", "x"),
+    ],
+)
+def test_a_name_or_form_does_not_empty_a_page(page, expected):
+    assert main_text(page) == expected
