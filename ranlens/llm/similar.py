@@ -344,13 +344,14 @@ def first_linked(links: np.ndarray, same: bool) -> np.ndarray:
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """The sketches of all rows, and for each shingle set: ``copies``, ``links`` to documents of other sets, ``first`` of its class."""
+    """The sketches of all rows, and for each shingle set: ``copies``, ``links`` to documents of other sets, ``first`` and least ``id`` (nulls ignored) of its class."""
     sketches = written(sketched(docs, text, key), "sketches")
     sets = written(
         sketches.where("size > 0")
         .groupBy("set")
         .agg(
             F.min("doc").alias("doc"),
+            F.min("doc.id").alias("id"),
             F.count("*").alias("copies"),
             F.any_value("size").alias("size"),
             F.any_value("least").alias("least"),
@@ -362,21 +363,21 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[D
     checked = written(verified(docs, members, text, key), "checked")
     across = components(checked.where("cut AND set <> root").select(F.col("set").alias("x"), F.col("root").alias("y")))
     links = checked.groupBy("set").agg(F.sum("links").alias("links"), F.max("cut").alias("cut"), F.min("root").alias("root"))
-    own = sets.select("set", "doc", "copies").join(links, "set", "left").join(across.withColumnRenamed("node", "set"), "set", "left")
+    own = sets.select("set", "doc", "id", "copies").join(links, "set", "left").join(across.withColumnRenamed("node", "set"), "set", "left")
     # In a component of one block the root is that of the class; in a cut one the label is, or the set stands alone.
     of_class = own.withColumn("class", F.coalesce("label", F.when(~F.col("cut"), F.col("root")), "set"))
-    firsts = of_class.groupBy("class").agg(F.min("doc").alias("first"))
-    found = of_class.join(firsts, "class").select("set", "copies", F.coalesce("links", F.lit(0)).alias("links"), "first")
+    firsts = of_class.groupBy("class").agg(F.min("doc").alias("first"), F.min("id").alias("class_id"))
+    found = of_class.join(firsts, "class").select("set", "copies", F.coalesce("links", F.lit(0)).alias("links"), "first", "class_id")
     return sketches, written(found, "classes")
 
 
 def joined(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: its id, ``class_id`` (the least id of its class) and ``n_links``, the documents its text is linked to."""
+    """Per row: its id, ``class_id`` (the least id of its class that is not null) and ``n_links``, the documents its text is linked to."""
     sketches, sets = classes(docs, text, key)
     found = sketches.select("doc", "set", "size").join(sets, "set", "left")
     return found.select(
         F.col("doc.id").alias(key),
-        F.coalesce(F.when(F.col("size") > 0, F.col("first.id")), F.col("doc.id")).alias("class_id"),
+        F.coalesce(F.when(F.col("size") > 0, F.col("class_id")), F.col("doc.id")).alias("class_id"),
         F.when(F.col("size") > 0, F.col("copies") - 1 + F.col("links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
     )
 

@@ -86,6 +86,19 @@ def test_one_of_each_class_stays_whole(spark, odd_documents):
     assert sorted(r.doc_id or 0 for r in left) == [0, 1, 2, 3, 4, 5, 6, 7] and left[0].asDict().keys() == set(odd_documents.columns)
 
 
+def test_a_null_id_in_a_class_leaves_the_class_whole(spark):
+    rows = near_copies(3)[:10] + [(10, "same text here"), (11, "same text here")]
+    expected = brute(rows)
+    without = [(None if i in (0, 3, 11) else i, t) for i, t in rows]
+    found = similar.joined(spark.createDataFrame(without, "doc_id long, text string")).collect()
+    of_class = {i: c for i, c, _ in expected}
+    least = {c: min(i for i, own in of_class.items() if own == c and i not in (0, 3, 11)) for c in of_class.values()}
+    assert sorted(n for *_, n in expected) == sorted(r.n_links for r in found)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.class_id) for r in found) == sorted(
+        (-1 if i in (0, 3, 11) else i, least[c]) for i, c in of_class.items()
+    )
+
+
 def test_odd_rows(odd_documents, no_documents):
     rows = similar.joined(odd_documents).collect()
     assert sorted((r.doc_id or 0, r.n_links) for r in rows if r.n_links) == [(1, 1), (1, 1)]
