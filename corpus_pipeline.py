@@ -1,7 +1,8 @@
 """A training corpus from raw documents: each stage's rows are written as Parquet and read by the next.
 
 ``run(spark, sf_dir)`` applies STAGES to the documents of a folder. All stages but the last return the columns of
-documents: the language stage drops documents whose language cannot be told, the near-duplicate stage leaves one document
+documents: the language stage drops documents whose language cannot be told (if no language could be learned,
+those without a letter only), the near-duplicate stage leaves one document
 of each class, the personal-data stage masks what it finds (and counts the characters anew), and the mix
 repeats whole documents or leaves them out. The last returns the ids of the tokens of every text.
 
@@ -19,8 +20,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those without a letter, and ambiguous ones, go."""
-    found = language.predictions(docs, language.learned(docs), carried=COLUMNS)
+    """Documents whose language can be told: those without a letter, and ambiguous ones, go.
+
+    If nothing could be learned, no language can be told, and only those without a letter go.
+    """
+    model = language.learned(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    found = language.predictions(docs, model, carried=COLUMNS)
     return found.where((F.col("lang_pred") != language.UNKNOWN) & ~F.col("ambiguous")).select(*COLUMNS)
 
 

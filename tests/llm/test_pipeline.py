@@ -33,6 +33,14 @@ def test_language_stage_drops_only_what_cannot_be_told(stages):
     assert all(len(row.text or "") < 500 for row in gone) and len(gone) < 0.02 * len(before)
 
 
+def test_a_corpus_without_learned_languages_keeps_its_texts(spark, folder, documents):
+    held = documents.where(language.held_out("doc_id"))
+    odd = spark.createDataFrame([(-1, "12 + 3", None, "a", 6), (-2, None, None, "a", None)], documents.schema)
+    for docs in (documents.limit(50).selectExpr("doc_id", "text", "CAST(NULL AS string) AS lang", "source", "n_chars"), held.limit(50)):
+        kept = corpus_pipeline.identify_language(spark, docs.unionByName(odd), folder).collect()
+        assert Counter(kept) == Counter(r for r in docs.collect() if any(map(str.isalpha, r.text or ""))) and len(kept) > 40
+
+
 def test_one_document_of_each_class_stays(stages):
     classes = brute([(r.doc_id, r.text) for r in stages[1]])
     assert sorted(r.doc_id for r in stages[2]) == sorted({c for _, c, _ in classes})
