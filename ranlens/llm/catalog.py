@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ranlens.llm import bpe, html_text, language, mixing, personal, quality, secrets, similar, token_counts, vectors
+from ranlens.llm import (
+    bpe,
+    html_text,
+    language,
+    mixing,
+    personal,
+    pieces,
+    prefix_trie,
+    quality,
+    resampling,
+    secrets,
+    similar,
+    token_counts,
+    vectors,
+)
 from ranlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +69,18 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_piece_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.round_trips(table(spark, folder, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     """Every query of this part but the pipeline, by name."""
     named = (
@@ -68,9 +94,13 @@ def queries() -> dict[str, Query]:
         op8_jaccard_join,
         op9_personal_data,
         op10_language_id,
+        op11_importance_resampling,
+        op12_piece_round_trip,
+        op13_prefix_trie,
     )
     return {query.__name__: query for query in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The statements of the queries that SQL can express."""
+    return {"op11_importance_resampling": resampling.ORACLE_SQL}
