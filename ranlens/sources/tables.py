@@ -1,8 +1,9 @@
 """Batch and streaming tables: scan, append, create, register.
 
-Jobs and streams may write one table. Its last directory level names the write: ``appended`` for
-jobs, and the stream and its batch for streams, so a batch that runs again replaces what it wrote
-before and nothing else. No log of one writer decides what readers see.
+Jobs and streams may write one table. Its last directory level names the write: a name of its own for each
+job, and the stream and its batch for streams, so a batch that runs again replaces what it wrote
+before and nothing else. No log of one writer decides what readers see. Completed writes leave a mark
+(see ``writes``).
 """
 
 from __future__ import annotations
@@ -13,9 +14,7 @@ from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F
 
 from ranlens import schemas
 from ranlens.functions.timing import utc_date
-
-#: The directory level that names the write, and its value for batch jobs.
-WRITE, APPENDED = "written_by", "appended"
+from ranlens.sources.writes import WRITE, job_name, mark_of
 
 
 @dataclass(frozen=True)
@@ -120,19 +119,20 @@ def _writer(df: DataFrame, spec: TableSpec | None, fmt: str, write: str) -> Data
 
 def append(df: DataFrame, path: str, spec: TableSpec | None = None, fmt: str = "parquet", name: str | None = None) -> None:
     """Batch append; the new directories are made known to the registered table ``name``, if one is given."""
-    _writer(df, spec, fmt, APPENDED).mode("append").save(path)
+    write = job_name()
+    _writer(df, spec, fmt, write).mode("append").save(path)
+    mark, files = mark_of(df.sparkSession, path, write)
+    files.create(mark, True).close()
     if name:
         df.sparkSession.catalog.recoverPartitions(name)
 
 
 def write_batch(df: DataFrame, path: str, write: str, spec: TableSpec | None = None, fmt: str = "parquet") -> None:
-    """Write a stream's batch once: its own directories are replaced, and a batch that was completed is left as it is.
+    """Write a stream's batch, or a job that may run again, once: its own directories are replaced, and a batch that was completed is left as it is.
 
     The mark of a completed batch keeps files that other streams have read from being replaced by their equals.
     """
-    spark = df.sparkSession
-    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_batches/{write}")
-    files = mark.getFileSystem(spark._jsc.hadoopConfiguration())
+    mark, files = mark_of(df.sparkSession, path, write)
     if files.exists(mark):
         return
     _writer(df, spec, fmt, write).mode("overwrite").option("partitionOverwriteMode", "dynamic").save(path)

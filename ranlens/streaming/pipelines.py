@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from concurrent.futures import Future
 from dataclasses import dataclass, field
-from datetime import datetime, timedelta
+from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ranlens.functions.timing import utc_date
 from ranlens.operators.silver import bronze_to_silver
 from ranlens.operators.violations import sla_violations
 from ranlens.operators.windows import cell_kpis, slice_kpis
 from ranlens.session import shared_folder
-from ranlens.settings import TRIGGER_INTERVAL, WINDOW_DURATION
-from ranlens.sources.tables import TABLES, TableSpec, append, ensure_table, read_table, stream_table, write_batch
+from ranlens.settings import TRIGGER_INTERVAL, WATERMARK_DELAY, WINDOW_DURATION
+from ranlens.sources.tables import TABLES, TableSpec, ensure_table, read_table, stream_table, write_batch
+from ranlens.sources.writes import Cut, Position, completed_writes, newest_event, store, stored
+from ranlens.streaming.late import LateMerge
 
 GOLD: dict[str, Callable[[DataFrame], DataFrame]] = {
     "cell_kpis": cell_kpis,
@@ -24,6 +28,15 @@ GOLD: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+def as_timedelta(interval: str) -> timedelta:
+    """A number and a unit, as in the settings of windows and delays."""
+    number, unit = interval.split()
+    return timedelta(**{unit.rstrip("s") + "s": float(number)})
+
+
+DELAY = as_timedelta(WATERMARK_DELAY)
+
+
 def observed_ingest(bronze: DataFrame, name: str = "ingest") -> DataFrame:
     """The same rows, with event and anomaly counts of each batch in the query progress."""
     return bronze.observe(
@@ -47,21 +60,24 @@ def start_append(
 ) -> StreamingQuery:
     """Append a stream to a table, exactly once across restarts, beside batch jobs and other streams.
 
-    Each batch is written by ``write_batch`` under the name of the query and its checkpoint.
-    ``trigger`` is a processing-time interval; ``None`` reads what is there and
+    Each batch is written by ``write_batch`` under the name of the query and its id, which Spark makes once and
+    keeps in the checkpoint: a stream that goes on is the same writer, one with a new checkpoint is a new writer,
+    also where an old one was deleted. ``trigger`` is a processing-time interval; ``None`` reads what is there and
     stops. Progress and state are kept in ``checkpoint``, one folder per query and table, by
     default under the cluster's shared folder.
     """
     table = hashlib.sha256(path.encode()).hexdigest()[:12]
     checkpoint = checkpoint or f"{shared_folder(df.sparkSession)}/streams/{name}-{table}"
-    writer = f"{name}-{hashlib.sha256(checkpoint.encode()).hexdigest()[:12]}"
+    identity: Future[str] = Future()
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, path, f"{writer}-{batch_id}", spec, fmt)
+        write_batch(batch, path, f"{name}-{identity.result()}-{batch_id}", spec, fmt)
 
     stream = df.writeStream.outputMode("append").queryName(name).option("checkpointLocation", checkpoint).foreachBatch(write)
     stream = stream.trigger(processingTime=trigger) if trigger else stream.trigger(availableNow=True)
-    return stream.start()
+    query = stream.start()
+    identity.set_result(query.id)
+    return query
 
 
 @dataclass(frozen=True)
@@ -89,11 +105,17 @@ class Medallion:
         for table, spec in self.tables.items():
             ensure_table(self.spark, self.path(table), spec, f"{database}.{table}" if database else None, self.fmt)
 
-    def stream(self, table: str, where: str | None = None) -> DataFrame:
-        """The rows a table gets; ``where`` may name its directories."""
+    def stream(self, table: str, where: Column | None = None) -> DataFrame:
+        """The rows a table gets; ``where`` may test the columns of its directories, too."""
         limit, spec = self.max_files_per_trigger if table == "bronze" else None, self.tables[table]
         rows = stream_table(self.spark, self.path(table), spec.scan_schema, self.fmt, limit)
-        return (rows.where(where) if where else rows).select(*spec.schema.names)
+        return (rows if where is None else rows.where(where)).select(*spec.schema.names)
+
+    def read(self, table: str, where: Column | None = None) -> DataFrame:
+        """The rows a table has; ``where`` may test the columns of its directories, too."""
+        spec = self.tables[table]
+        rows = read_table(self.spark, self.path(table), spec.scan_schema, self.fmt)
+        return (rows if where is None else rows.where(where)).select(*spec.schema.names)
 
     def start(self, table: str, df: DataFrame, trigger: str | None = TRIGGER_INTERVAL) -> StreamingQuery:
         checkpoint = f"{self.checkpoints}/{table}" if self.checkpoints else None
@@ -105,29 +127,79 @@ class Medallion:
         return self.start("silver", bronze_to_silver(observed_ingest(source)), trigger)
 
     def start_gold(
-        self, trigger: str | None = TRIGGER_INTERVAL, since: datetime | None = None
+        self, trigger: str | None = TRIGGER_INTERVAL, since: Position | None = None
     ) -> list[StreamingQuery]:
-        """The three gold streams. ``since`` leaves what happened before to ``backfill_gold`` with that moment.
+        """The three gold streams. ``since`` leaves to ``backfill_gold`` what that hand-off holds.
 
-        Without it the first batch of each stream is all of silver, which suits a new table.
+        Without it the first batch of each stream is all of silver, which suits a new table. A stream that goes on
+        needs the same hand-off again; ``hand_off`` keeps it.
         """
-        silver = self.stream("silver", self._days_from(since))
-        return [self.start(table, _after(table, observed_rows(silver), since), trigger) for table in GOLD]
+        return [self.start(table, self._gold_after(table, since), trigger) for table in GOLD]
+
+    def hand_off(self) -> Position:
+        """Where the back-fill ends and the streams begin: by the writes silver has, not by the time of their events.
+
+        It is made once and kept beside silver; later calls give the same.
+        """
+        kept = f"{self.path('silver')}/_handoff"
+        if (text := stored(self.spark, kept)) is None:
+            cut = Cut.of(completed_writes(self.spark, self.path("silver")))
+            store(self.spark, kept, Position(cut, newest_event(self.read("silver", cut.holds()))).to_json())
+            text = stored(self.spark, kept)
+        return Position.from_json(text)
+
+    def backfill_gold(self, since: Position | None = None) -> None:
+        """Write to the gold tables, as a job, what the writes of the hand-off give: violations, and windows closed by their events.
 
-    def backfill_gold(self, before: datetime) -> None:
-        """Append to the gold tables, as a batch job, what events before a moment give: violations, and windows ended by then."""
-        schema = self.tables["silver"].schema
-        silver = read_table(self.spark, self.path("silver"), schema, self.fmt).where(F.col("event_timestamp") < F.lit(before))
+        It may run again: what it wrote before is kept or replaced.
+        """
+        since = since or self.hand_off()
+        if since.newest is None:
+            return
+        silver = self.read("silver", since.cut.holds())
         for table, derive in GOLD.items():
             rows = derive(silver)
             if "window_end" in rows.columns:
-                rows = rows.where(F.col("window_end") <= F.lit(before))
-            append(rows, self.path(table), self.tables[table], self.fmt)
+                rows = rows.where(F.col("window_end") <= F.lit(since.closed_until(DELAY)))
+            write_batch(rows, self.path(table), "backfill", self.tables[table], self.fmt)
+
+    @property
+    def _late(self) -> LateMerge:
+        return LateMerge(self.spark, self.base, self.tables, GOLD, DELAY, self.fmt)
+
+    def merge_late(self) -> int:
+        """Keep the events that came too late for their windows, and make these windows anew; gives how many changed."""
+        return self._late.run()
+
+    def late_events(self) -> DataFrame:
+        return self._late.late_events()
+
+    def gold(self, table: str) -> DataFrame:
+        """A gold table, with the windows that were made anew in place of what the stream emitted."""
+        return self._late.gold(table)
 
-    def _days_from(self, since: datetime | None) -> str | None:
-        """A test that skips the directories of older days, if silver has a directory a day."""
-        day = next((c for c in self.tables["silver"].partition_by if c not in self.tables["silver"].schema.names), None)
-        return f"{day} >= DATE '{(since - timedelta(days=1)).date()}'" if since and day else None
+    def _gold_after(self, table: str, since: Position | None) -> DataFrame:
+        """A gold table's rows of the writes that come after a hand-off, of which windows left open by it are a part.
+
+        Such windows get all their events: those of the hand-off's last minute, or whatever the duration is, are read again.
+        """
+        if since is None or since.newest is None:
+            return GOLD[table](observed_rows(self.stream("silver")))
+        fresh = ~since.cut.holds()
+        if table == "sla_violations":
+            return GOLD[table](observed_rows(self.stream("silver", fresh)))
+        closed = since.closed_until(DELAY)
+        begin = closed - as_timedelta(WINDOW_DURATION)
+        again = F.col("event_timestamp") > F.lit(begin)
+        if day := self._day_column():
+            again = again & (F.col(day) >= utc_date(F.lit(begin)))
+        rows = observed_rows(self.stream("silver", fresh | again))
+        return GOLD[table](rows).where(F.col("window_end") > F.lit(closed))
+
+    def _day_column(self) -> str | None:
+        """The directory level for days, if silver has one."""
+        spec = self.tables["silver"]
+        return next((c for c in spec.partition_by if c not in spec.schema.names), None)
 
     def start_all(self, trigger: str = TRIGGER_INTERVAL) -> list[StreamingQuery]:
         """All four streams, running until stopped."""
@@ -138,14 +210,3 @@ class Medallion:
         self.start_silver(bronze, trigger=None).awaitTermination()
         for query in self.start_gold(trigger=None):
             query.awaitTermination()
-
-
-def _after(table: str, silver: DataFrame, since: datetime | None) -> DataFrame:
-    """A gold table's rows of what happened from a moment on; windows are whole, so those that end later are made of all their events."""
-    if since is None:
-        return GOLD[table](silver)
-    moment = F.lit(since)
-    if table == "sla_violations":
-        return GOLD[table](silver.where(F.col("event_timestamp") >= moment))
-    begins = F.col("event_timestamp") >= moment - F.expr(f"INTERVAL {WINDOW_DURATION}")
-    return GOLD[table](silver.where(begins)).where(F.col("window_end") > moment)

@@ -13,6 +13,8 @@ from ranlens.session import shared_folder
 from ranlens.sources.payloads import parse_payload, stream_json_dir
 from ranlens.sources.tables import TABLES, WRITE, append, read_table, stream_table, write_batch
 from checks.catalog import catalog
+from ranlens.sources.writes import Write
+from ranlens.streaming.late import lateness
 from ranlens.streaming.monitor import progress_frame, rows_read, stop_all
 from ranlens.streaming.pipelines import Medallion, observed_ingest, start_append
 from tests.conftest import rows, written
@@ -243,17 +245,95 @@ def test_a_crash_between_write_and_commit_loses_and_repeats_nothing(spark, layer
     assert rows(written(spark, tmp_path / "out").drop("ingested_at")) == rows(layers.silver.drop("ingested_at"))
 
 
-def test_gold_is_filled_by_a_job_and_continued_by_streams(spark, layers, tmp_path):
-    medallion = Medallion(spark, str(tmp_path / "tables"))
-    medallion.create_tables()
-    append(layers.silver, medallion.path("silver"), TABLES["silver"])
-    moment = layers.silver.agg(F.percentile_approx("event_timestamp", 0.6)).first()[0]
-    medallion.backfill_gold(moment)
-    for query in medallion.start_gold(trigger=None, since=moment):
-        query.awaitTermination()
-    assert rows(stored(spark, medallion, "sla_violations").drop("detected_at")) == rows(layers.violations.drop("detected_at"))
+def gold_equals_the_batch(spark, medallion, silver):
+    assert rows(stored(spark, medallion, "sla_violations").drop("detected_at")) == rows(sla_violations(silver).drop("detected_at"))
     for table, derive in (("cell_kpis", cell_kpis), ("slice_kpis", slice_kpis)):
-        assert rows(smooth(stored(spark, medallion, table))) == rows(smooth(closed(derive(layers.silver), layers.silver)))
+        assert rows(smooth(medallion.gold(table))) == rows(smooth(closed(derive(silver), silver)))
+
+
+def run_gold(medallion):
+    for query in medallion.start_gold(trigger=None, since=medallion.hand_off()):
+        query.awaitTermination()
+
+
+@pytest.fixture
+def filled(spark, layers, tmp_path):
+    """Silver with the first half of the events, and gold filled from it by a job that ran twice."""
+    medallion = Medallion(spark, str(tmp_path / "tables"), str(tmp_path / "checkpoints"))
+    medallion.create_tables()
+    early = layers.silver.filter(F.col("event_timestamp") < "2024-01-01T00:30")
+    for part in early.randomSplit([1.0, 1.0], 1):
+        append(part, medallion.path("silver"), TABLES["silver"])
+    for _ in range(2):
+        medallion.backfill_gold()
+    return medallion
+
+
+def test_gold_is_filled_by_a_job_and_continued_by_streams(spark, layers, filled):
+    run_gold(filled)  # nothing is new yet
+    append(layers.silver.filter(F.col("event_timestamp") >= "2024-01-01T00:30"), filled.path("silver"), TABLES["silver"])
+    run_gold(filled)
+    gold_equals_the_batch(spark, filled, layers.silver)
+    filled.merge_late()
+    gold_equals_the_batch(spark, filled, layers.silver)
+
+
+def test_old_events_that_come_after_the_back_fill_are_in_no_part_twice_and_in_none_missing(spark, layers, filled):
+    early = layers.silver.filter(F.col("event_timestamp") < "2024-01-01T00:20")
+    old = early.limit(40).withColumn("event_id", F.concat(F.lit("late-"), "event_id"))
+    old = old.unionByName(early.limit(3).withColumns({"event_id": F.lit("alone"), "cell_id": F.lit("no other event")}))
+    old = spark.createDataFrame(old.collect(), old.schema)
+    append(old, filled.path("silver"), TABLES["silver"])
+    run_gold(filled)
+    append(layers.silver.filter(F.col("event_timestamp") >= "2024-01-01T00:30"), filled.path("silver"), TABLES["silver"])
+    run_gold(filled)
+    everything = layers.silver.unionByName(old)
+    found = stored(spark, filled, "sla_violations").drop("detected_at")
+    assert rows(found) == rows(sla_violations(everything).drop("detected_at"))
+    assert filled.gold("cell_kpis").agg(F.sum("event_count")).first()[0] < closed(cell_kpis(everything), everything).agg(F.sum("event_count")).first()[0]
+    assert filled.merge_late() > 0
+    gold_equals_the_batch(spark, filled, everything)
+    files = set(os.listdir(filled.path("cell_kpis_revisions")))
+    assert filled.merge_late() == 0
+    assert set(os.listdir(filled.path("cell_kpis_revisions"))) == files
+    assert rows(filled.late_events().select("event_id")) == rows(old.select("event_id"))
+
+
+def test_windows_are_revised_again_when_more_late_events_come(spark, layers, filled):
+    append(layers.silver.filter(F.col("event_timestamp") >= "2024-01-01T00:30"), filled.path("silver"), TABLES["silver"])
+    run_gold(filled)
+    everything = layers.silver
+    for i in range(2):
+        late = [r for r in layers.silver.limit(5).withColumn("event_id", F.lit(f"late {i}")).collect()]
+        late = spark.createDataFrame(late, layers.silver.schema)
+        append(late, filled.path("silver"), TABLES["silver"])
+        everything = everything.unionByName(late)
+        run_gold(filled)
+        assert filled.merge_late() > 0
+        gold_equals_the_batch(spark, filled, everything)
+
+
+def test_windows_that_gold_has_not_closed_are_left_to_it(spark, layers, filled):
+    run_gold(filled)
+    append(layers.silver.filter(F.col("event_timestamp") >= "2024-01-01T00:30"), filled.path("silver"), TABLES["silver"])
+    late = spark.createDataFrame(layers.silver.filter(F.col("event_timestamp") > "2024-01-01T00:40").limit(9).collect(), layers.silver.schema)
+    append(late, filled.path("silver"), TABLES["silver"])
+    assert filled.merge_late() == 0  # gold is behind
+    run_gold(filled)
+    filled.merge_late()
+    gold_equals_the_batch(spark, filled, layers.silver.unionByName(late))
+
+
+def test_a_new_checkpoint_at_the_old_path_is_a_new_writer(spark, layers, tmp_path):
+    early, late = halves(layers)
+    for i, part in enumerate((early, late)):
+        add_file(part, tmp_path / f"in{i}", i)
+        stream = bronze_to_silver(stream_table(spark, str(tmp_path / f"in{i}"), schemas.BRONZE))
+        checkpoint = tmp_path / "checkpoint"
+        for _ in range(2):  # one that goes on writes nothing again
+            start_append(stream, str(tmp_path / "out"), "writer", str(checkpoint), trigger=None).awaitTermination()
+        checkpoint.rename(tmp_path / f"checkpoint{i}")
+    assert rows(written(spark, tmp_path / "out").drop("ingested_at")) == rows(layers.silver.drop("ingested_at"))
 
 
 def test_rows_read_are_counted_once_for_every_stream(spark, layers, tmp_path):
@@ -275,3 +355,13 @@ def test_registered_streams_read_a_log_of_several_files_and_leave_nothing_behind
     query = catalog()[name]
     assert rows(query(spark, str(tmp_path))) == rows(query(spark, folder))
     assert os.listdir(f"{shared_folder(spark)}/runs") == []
+
+
+def test_which_events_a_write_may_find_closed_windows_for():
+    at = [NOON + datetime.timedelta(minutes=m) for m in range(9)]
+    writes = [Write("s-0", 0), Write("s-1", 10**6), Write("job_a", 2 * 10**6), Write("s-2", 2 * 10**6 + 1), Write("s-3", 4 * 10**6)]
+    newest = {"s-0": at[3], "s-1": at[1], "job_a": at[5], "s-2": at[2], "s-3": at[8]}
+    # A stream's own batches are in order; a job beside it counts for the batch just before it, too.
+    assert lateness(writes, newest, None) == {"s-1": at[3], "job_a": at[3], "s-2": at[5], "s-3": at[5]}
+    assert lateness(writes, newest, at[4]) == {"s-0": at[4], "s-1": at[4], "job_a": at[4], "s-2": at[5], "s-3": at[5]}
+    assert lateness([Write("job_b", 0), Write("s-9", 1)], {"job_b": at[1], "s-9": at[2]}, None) == {"job_b": at[2], "s-9": at[1]}
