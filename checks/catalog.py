@@ -16,8 +16,8 @@ from ranlens.plans import dashboard, network, quality
 from ranlens.plans.layers import Layers
 from ranlens.session import shared_folder, use_settings
 from checks.event_log import bronze_from_log
-from ranlens.sources.payloads import parse_payload
-from ranlens.streaming.pipelines import start_append
+from ranlens.sources.payloads import failures_of, judged_payload, parse_payload
+from ranlens.streaming.pipelines import Medallion, start_append
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,6 +89,43 @@ def _by_payload(spark: SparkSession, folder: str) -> DataFrame:
     return comparable(without_stamps(bronze_to_silver(parse_payload(messages))))
 
 
+def messages_from_log(bronze: DataFrame) -> DataFrame:
+    """The events as JSON messages, some of which are cut off, of another kind, blank or missing, as in a real feed."""
+    e = F.col("event_id").cast("bigint")
+    whole = F.to_json(F.struct(*bronze.columns))
+    value = (
+        F.when(e % 101 == 0, F.expr("left(whole, length(whole) - 3)"))
+        .when(e % 103 == 0, F.concat(F.lit("["), "whole", F.lit("]")))
+        .when(e % 107 == 0, " ")
+        .when(e % 113 == 0, "17")
+        .when(e % 109 != 0, F.col("whole"))
+    )
+    return bronze.withColumn("whole", whole).select(value.cast("binary").alias("value"))
+
+
+def _payload_failures(spark: SparkSession, folder: str) -> DataFrame:
+    judged = judged_payload(messages_from_log(layers_from_log(spark, folder).bronze))
+    return quality.payload_failures(failures_of(judged))
+
+
+def _streamed_payload_failures(spark: SparkSession, folder: str) -> DataFrame:
+    """The quarantine table of a stream that fills it and bronze."""
+    use_settings(spark)
+    target = f"{shared_folder(spark)}/runs/{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    log = spark.readStream.schema(schema).parquet(f"{folder}/events.parque[t]")
+    tables = Medallion(spark, f"{target}/tables", f"{target}/checkpoints")
+    tables.start_bronze(judged_payload(messages_from_log(bronze_from_log(log))), trigger=None).awaitTermination()
+    kept = checkpointed(quality.payload_failures(tables.read("quarantine")))
+    removed(spark, target)
+    return kept
+
+
+def removed(spark: SparkSession, target: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _streamed(derive: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame] = lambda df: df) -> Query:
     """Run the log through a stream into a table of the shared folder, and give back what the table holds.
 
@@ -107,8 +144,7 @@ def _streamed(derive: Callable[[DataFrame], DataFrame], finish: Callable[[DataFr
         query.awaitTermination()
         stored = spark.read.schema(result.schema).parquet(f"{target}/table").select(*result.columns)
         kept = checkpointed(comparable(without_stamps(finish(stored))))
-        path = spark._jvm.org.apache.hadoop.fs.Path(target)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        removed(spark, target)
         return kept
 
     return run
@@ -134,6 +170,8 @@ def catalog() -> dict[str, Query]:
         "sla_violations_by_table": _violations_by_table,
         "sql_function_flags": _by_sql_functions,
         "json_payload_silver": _by_payload,
+        "payload_failures": _payload_failures,
+        "stream_payload_failures": _streamed_payload_failures,
         "stream_silver_events": _streamed(lambda silver: silver),
         "stream_cell_kpis": _streamed(cell_kpis, gold_comparable),
         "stream_slice_kpis": _streamed(slice_kpis, gold_comparable),

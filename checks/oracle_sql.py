@@ -288,6 +288,17 @@ def _expectations() -> str:
     )
 
 
+def _payload_failures() -> str:
+    return """SELECT failure, count(*) AS payloads FROM (
+      SELECT CASE WHEN value IS NULL OR trim(value) = '' THEN 'empty'
+        WHEN NOT json_valid(value) THEN CASE WHEN value LIKE '{%' THEN 'broken' ELSE 'no_object' END
+        WHEN json_type(value) <> 'OBJECT' THEN 'no_object' END AS failure
+      FROM (SELECT CASE WHEN e % 101 = 0 THEN left(whole, length(whole) - 3) WHEN e % 103 = 0 THEN '[' || whole || ']'
+          WHEN e % 107 = 0 THEN ' ' WHEN e % 113 = 0 THEN '17' WHEN e % 109 <> 0 THEN whole END AS value
+        FROM (SELECT event_id::BIGINT AS e, to_json(bronze)::VARCHAR AS whole FROM bronze)))
+    WHERE failure IS NOT NULL GROUP BY failure ORDER BY failure"""
+
+
 def _parse_failures() -> str:
     kinds = dict.fromkeys(
         ["rsrp_dbm", "rsrq_db", "sinr_db", "dl_throughput_mbps", "ul_throughput_mbps", "latency_ms", "jitter_ms",
@@ -435,6 +446,8 @@ def statements() -> dict[str, str]:
             CAST(count(DISTINCT CASE WHEN slice_type IN ('eMBB', 'URLLC', 'mMTC') THEN slice_type END) AS INTEGER)
               AS known_slices_present FROM silver"""),
         "parse_failures": (BRONZE, _parse_failures()),
+        "payload_failures": (BRONZE, _payload_failures()),
+        "stream_payload_failures": (BRONZE, _payload_failures()),
         "sla_breach_by_table": (SILVER, "SELECT event_id, slice_type, sla_breach FROM silver"),
         "sql_function_flags": (SILVER, "SELECT event_id, signal_quality_class, sla_breach FROM silver"),
         "json_payload_silver": (SILVER, "SELECT * FROM silver"),

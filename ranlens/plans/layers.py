@@ -47,6 +47,10 @@ class Layers:
     def bronze(self) -> DataFrame:
         return self._build["bronze"]()
 
+    @cached_property
+    def quarantine(self) -> DataFrame:
+        return self._build["quarantine"]()
+
     @cached_property
     def silver(self) -> DataFrame:
         return self._build["silver"]()
@@ -65,9 +69,11 @@ class Layers:
 
     def register(self, spark: SparkSession) -> None:
         """Publish the layers under the view names that SQL users query."""
+        quarantine = {"quarantined_payloads": self.quarantine} if "quarantine" in self._build else {}
         register_views(
             spark,
-            {
+            quarantine
+            | {
                 "bronze_events": self.bronze,
                 "silver_events": self.silver,
                 "cell_kpis": self.cell_kpis,

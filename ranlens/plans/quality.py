@@ -138,6 +138,11 @@ def coverage_summary(layers: Layers) -> DataFrame:
     )
 
 
+def payload_failures(quarantine: DataFrame) -> DataFrame:
+    """How many payloads hold no event, by the reason."""
+    return quarantine.groupBy("failure").agg(F.count("*").alias("payloads")).orderBy("failure")
+
+
 def parse_failures(layers: Layers) -> DataFrame:
     """Per typed column: texts that do not parse, and texts that were there."""
     counters, rows = [], []

@@ -50,6 +50,9 @@ SILVER = _schema(
     ("ingested_at", TIME, False),
 )
 
+# What came as a payload and is no event.
+QUARANTINE = _schema(("payload", TEXT, True), ("failure", TEXT, False), ("received_at", TIME, False))
+
 CELL_KPIS = _schema(
     ("window_start", TIME, False),
     ("window_end", TIME, False),

@@ -51,6 +51,7 @@ class TableSpec:
 # only recent days. Cells are too many for one directory each (see TABLES_BY_KEY).
 TABLES = {
     "bronze": TableSpec(schemas.BRONZE, comment="Raw device events as text"),
+    "quarantine": TableSpec(schemas.QUARANTINE, ("received_date",), "received_at", "Payloads that hold no event"),
     "silver": TableSpec(
         schemas.SILVER, ("event_date", "slice_type"), "event_timestamp", "Typed and enriched device events"
     ),
@@ -64,6 +65,7 @@ TABLES = {
 # The layout by business key only, for small networks and tools that expect it.
 TABLES_BY_KEY = {
     "bronze": TABLES["bronze"],
+    "quarantine": TABLES["quarantine"],
     "silver": TableSpec(schemas.SILVER, ("slice_type",), comment=TABLES["silver"].comment),
     "cell_kpis": TableSpec(schemas.CELL_KPIS, ("cell_id",), comment=TABLES["cell_kpis"].comment),
     "slice_kpis": TableSpec(schemas.SLICE_KPIS, ("slice_type",), comment=TABLES["slice_kpis"].comment),

@@ -17,6 +17,7 @@ from ranlens.operators.violations import sla_violations
 from ranlens.operators.windows import cell_kpis, slice_kpis
 from ranlens.session import shared_folder
 from ranlens.settings import TRIGGER_INTERVAL, WATERMARK_DELAY, WINDOW_DURATION
+from ranlens.sources.payloads import events_of, failures_of, observed_payloads
 from ranlens.sources.tables import TABLES, TableSpec, ensure_table, read_table, stream_table, write_batch
 from ranlens.sources.writes import Cut, Position, completed_writes, newest_event, store, stored
 from ranlens.streaming.late import LateMerge
@@ -49,6 +50,11 @@ def observed_rows(df: DataFrame, name: str = "read") -> DataFrame:
     return df.observe(name, F.count("*").alias("rows"))
 
 
+def default_checkpoint(spark: SparkSession, name: str, path: str) -> str:
+    """A folder for a query and its table, where all executors find it."""
+    return f"{shared_folder(spark)}/streams/{name}-{hashlib.sha256(path.encode()).hexdigest()[:12]}"
+
+
 def start_append(
     df: DataFrame,
     path: str,
@@ -66,12 +72,18 @@ def start_append(
     stops. Progress and state are kept in ``checkpoint``, one folder per query and table, by
     default under the cluster's shared folder.
     """
-    table = hashlib.sha256(path.encode()).hexdigest()[:12]
-    checkpoint = checkpoint or f"{shared_folder(df.sparkSession)}/streams/{name}-{table}"
+    checkpoint = checkpoint or default_checkpoint(df.sparkSession, name, path)
+    return _start(df, name, checkpoint, trigger, lambda batch, write: write_batch(batch, path, write, spec, fmt))
+
+
+def _start(
+    df: DataFrame, name: str, checkpoint: str, trigger: str | None, put: Callable[[DataFrame, str], None]
+) -> StreamingQuery:
+    """Start a stream whose batches are ``put`` under a name each, which is the same when a batch runs again."""
     identity: Future[str] = Future()
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, path, f"{name}-{identity.result()}-{batch_id}", spec, fmt)
+        put(batch, f"{name}-{identity.result()}-{batch_id}")
 
     stream = df.writeStream.outputMode("append").queryName(name).option("checkpointLocation", checkpoint).foreachBatch(write)
     stream = stream.trigger(processingTime=trigger) if trigger else stream.trigger(availableNow=True)
@@ -121,6 +133,21 @@ class Medallion:
         checkpoint = f"{self.checkpoints}/{table}" if self.checkpoints else None
         return start_append(df, self.path(table), table, checkpoint, self.tables[table], trigger, self.fmt)
 
+    def start_bronze(self, judged: DataFrame, trigger: str | None = TRIGGER_INTERVAL) -> StreamingQuery:
+        """Judged payloads (see ``sources.payloads``) to bronze and quarantine, each batch read and parsed once for both."""
+        checkpoint = f"{self.checkpoints}/bronze" if self.checkpoints else default_checkpoint(self.spark, "bronze", self.path("bronze"))
+
+        def put(batch: DataFrame, write: str) -> None:
+            parts = {"bronze": events_of, "quarantine": failures_of}
+            batch = batch.persist()
+            try:
+                for table, part in parts.items():
+                    write_batch(part(batch), self.path(table), write, self.tables[table], self.fmt)
+            finally:
+                batch.unpersist()
+
+        return _start(observed_payloads(judged), "bronze", checkpoint, trigger, put)
+
     def start_silver(self, bronze: DataFrame | None = None, trigger: str | None = TRIGGER_INTERVAL) -> StreamingQuery:
         """Bronze to silver; ``bronze`` may be any stream of bronze events, such as a topic."""
         source = self.stream("bronze") if bronze is None else bronze

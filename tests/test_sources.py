@@ -7,7 +7,7 @@ from ranlens import schemas
 from ranlens.functions.timing import recent
 from ranlens.operators.silver import bronze_to_silver
 from ranlens.plans.layers import Layers
-from ranlens.sources.payloads import parse_payload
+from ranlens.sources.payloads import events_of, failures_of, judged_payload, parse_payload
 from ranlens.sources.tables import TABLES, TABLES_BY_KEY, WRITE, append, ensure_table, read_table, register_table, register_views
 from tests.conftest import rows
 
@@ -108,5 +108,18 @@ def test_payloads(spark):
     messages = spark.createDataFrame([(good.encode(), 7), (b"{broken", 8)], "body binary, offset long")
     events = parse_payload(messages, "body")
     assert events.columns == schemas.BRONZE.names
-    assert events.count() == 2 and events.filter("event_id IS NULL").count() == 1
-    assert bronze_to_silver(events).count() == 1
+    assert events.count() == bronze_to_silver(events).count() == 1
+
+
+def test_payloads_that_hold_no_event_are_kept_with_the_reason(spark):
+    good = '{"event_id": "1"}'
+    broken = {
+        '{"event_id": "1"': "broken", "{broken": "broken", "[]": "no_object", f"[{good}]": "no_object", "null": "no_object",
+        "12": "no_object", '"text"': "no_object", "": "empty", " ": "empty", None: "empty",
+    }
+    messages = spark.createDataFrame([(v,) for v in [*broken, good, "{}", '{"event_id": "1", "_corrupt": "x"}']], "value string")
+    judged = judged_payload(messages)
+    assert {(r.payload, r.failure) for r in failures_of(judged).collect()} == set(broken.items())
+    assert events_of(judged).columns == schemas.BRONZE.names
+    assert [r.event_id for r in events_of(judged).collect()] == ["1", None, "1"]
+    assert rows(failures_of(judged).drop("received_at")) == rows(judged.where("failure IS NOT NULL").select("payload", "failure"))

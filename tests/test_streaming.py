@@ -10,9 +10,10 @@ from ranlens.operators.silver import bronze_to_silver
 from ranlens.operators.violations import sla_violations, with_table_breach
 from ranlens.operators.windows import cell_kpis, slice_kpis
 from ranlens.session import shared_folder
-from ranlens.sources.payloads import parse_payload, stream_json_dir
+from ranlens.plans.layers import Layers
+from ranlens.sources.payloads import events_of, failures_of, judged_payload, parse_payload, stream_json_dir
 from ranlens.sources.tables import TABLES, WRITE, append, read_table, stream_table, write_batch
-from checks.catalog import catalog
+from checks.catalog import catalog, messages_from_log
 from ranlens.sources.writes import Write
 from ranlens.streaming.late import lateness
 from ranlens.streaming.monitor import progress_frame, rows_read, stop_all
@@ -134,6 +135,25 @@ def test_json_files_and_message_values(spark, layers, tmp_path):
         assert rows(written(spark, tmp_path / name).drop("ingested_at")) == expected
 
 
+def test_broken_payloads_are_stored_and_counted_beside_the_good_ones(spark, layers, tmp_path):
+    messages = messages_from_log(layers.bronze).select(F.col("value").cast("string"))
+    messages.unionByName(spark.createDataFrame([("{broken",), ("[1",)], "value string")).write.text(str(tmp_path / "in"))
+    medallion = Medallion(spark, str(tmp_path / "tables"), str(tmp_path / "checkpoints"))
+    medallion.create_tables()
+    query = medallion.start_bronze(stream_json_dir(spark, str(tmp_path / "in")), trigger=None)
+    query.awaitTermination()
+    judged = judged_payload(spark.read.text(str(tmp_path / "in")).where("trim(value) <> ''"))
+    assert rows(medallion.read("bronze")) == rows(events_of(judged))
+    assert rows(medallion.read("quarantine").drop("received_at")) == rows(failures_of(judged).drop("received_at"))
+    counted = [p["observedMetrics"]["payloads"] for p in query.recentProgress if p["numInputRows"]]
+    failed = failures_of(judged).count()
+    assert failed > 2 and sum(c["failed"] for c in counted) == failed and sum(c["rows"] for c in counted) == judged.count()
+    medallion.run_available()
+    good = bronze_to_silver(events_of(judged)).drop("ingested_at")
+    assert rows(silver_of(spark, medallion)) == rows(good)
+    assert Layers.from_tables(spark, medallion.base).quarantine.count() == failed
+
+
 def test_a_stream_may_join_the_limits_table(spark, layers, bronze_dir, tmp_path):
     stream = bronze_to_silver(stream_table(spark, str(bronze_dir), schemas.BRONZE)).drop("sla_breach")
     judged = with_table_breach(stream, limits_table(spark)).select("event_id", "sla_breach")
@@ -348,7 +368,7 @@ def test_rows_read_are_counted_once_for_every_stream(spark, layers, tmp_path):
         assert sum(rows_read(p) for p in query.recentProgress if p["numInputRows"]) == layers.silver.count()
 
 
-@pytest.mark.parametrize("name", ["stream_silver_events", "stream_cell_kpis", "stream_slice_kpis", "stream_sla_violations"])
+@pytest.mark.parametrize("name", ["stream_silver_events", "stream_cell_kpis", "stream_slice_kpis", "stream_sla_violations", "stream_payload_failures"])
 def test_registered_streams_read_a_log_of_several_files_and_leave_nothing_behind(spark, folder, tmp_path, name):
     log = spark.read.parquet(f"{folder}/events.parquet")
     log.repartition(5).write.parquet(str(tmp_path / "events.parquet"))
