@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 BUCKET = """CASE WHEN isnan(value) THEN 3200000L WHEN value = 0 THEN 0L
     ELSE cast(signum(value) * floor((ln(least(abs(value), 1.7e308)) + 800) * 2000) AS bigint) END"""
 
-# How often, and into how many parts, a bucket found is cut: 0.0005 / 4096 / 4096 of a value is
-# less than 150,000 steps of a double.
-CUTS, PARTS = 2, 4096
+# A bucket found with more values than MOST is cut, so often and into so many parts: 0.0005 / 4096 / 4096
+# of a value is less than 150,000 steps of a double.
+MOST, CUTS, PARTS = 150_000, 2, 4096
 
 
 def _position(fraction: float) -> str:
@@ -42,11 +42,13 @@ def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[st
     each step is spread: (1) equal values are counted, partly before the shuffle,
     keyed by the value itself, so a hot group or a hot value splits; (2) the
     counts are summed per value bucket, and a running sum over the bounded set of
-    buckets finds those that hold a wanted rank; (3) twice, the buckets found are cut
-    into equal parts between their least and greatest value, and the same running sum
-    finds the parts; (4) only the values of those parts are sorted and numbered; (5) the
-    two neighbours of each rank are interpolated. The table is scanned once, as the
-    shuffled counts of step 1 feed all others.
+    buckets finds those that hold a wanted rank; (3) twice, buckets found with too many values
+    for one task are cut into equal parts between their least and greatest value, and the same
+    running sum finds the parts; (4) only the values of those parts, and of the other buckets
+    found, are sorted and numbered; (5) the two neighbours of each rank are interpolated. The
+    table is scanned once, as the shuffled counts of step 1 feed all others. Where no
+    bucket has too many values, adaptive execution sees that step 3 has no rows and leaves it out,
+    so the counted values are joined once.
 
     Buckets are logarithmic, so their number is bounded for any input; a bucket
     number never falls when the value rises, and NaN is the highest. After both cuts
@@ -71,7 +73,9 @@ def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[st
     at = "(p * (total - 1))"
     holds = " OR ".join(f"{side}({at}) BETWEEN before AND before + inside - 1" for side in ("floor", "ceil"))
     wanted_here = f"exists(array({lookup})[metric], p -> {holds})"
-    measures = [F.sum("copies").alias("inside"), F.min("value").alias("low"), F.max("value").alias("high")]
+    measures = [
+        F.sum("copies").alias("inside"), F.count("*").alias("values"), F.min("value").alias("low"), F.max("value").alias("high"),
+    ]
     running = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     ranges = (
         counts.groupBy(*bucket)
@@ -92,6 +96,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[st
         # NaN is alone in its bucket and equals itself.
         return counts.join(sought, match & F.col("value").between(F.col("low"), F.col("high")))
 
+    narrow, ranges = ranges.filter(f"values <= {MOST}"), ranges.filter(f"values > {MOST}")
     for _ in range(CUTS):
         parts = Window.partitionBy(*bucket, "from").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
         ranges = (
@@ -105,7 +110,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[st
         )
 
     inside = Window.partitionBy(*bucket, "low").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = values_in(ranges).withColumn("end", F.col("before") + F.sum("copies").over(inside))
+    numbered = values_in(narrow).unionByName(values_in(ranges)).withColumn("end", F.col("before") + F.sum("copies").over(inside))
 
     picks, outputs = [], []
     for name, (column, p) in wanted.items():
