@@ -9,7 +9,9 @@ tree tells article blocks from the others. It is trained on a small labelled tab
 A name or a form says that a part is no article, but a page may be wrapped in one. So each block also has the
 place it has in two more readings: without such parts outside of articles, and without them anywhere. They are taken
 in turn if a page has no text otherwise; and the second if it alone finds a marked article, of more than twice the words.
-Only whole class names and ids are names of such parts; an article or main tag with one is none only behind an article without.
+A class name or id names such a part as a whole (``masthead``), or by one of its pieces (``reader-comments``), unless another
+piece denies it or makes it a topic (``no-ads``, ``comments-enabled``, ``category-social``). An article or main tag with such a
+name is none only behind an article without.
 
 Scripts, styles, comments of the markup and the head are no blocks. Inside a block character references are
 decoded, white space (as Python's ``str.split`` sees it, the no-break space included) becomes one space, and ends
@@ -63,6 +65,16 @@ OTHER_WORDS = frozenset(
     sharebuttons socialshare sociallinks socialicons newsletterform newslettersignup searchform searchbox loginform adcontainer
     adwrapper adbanner""".split()
 )
+#: Pieces of a longer name that say the same, and pieces beside them that annul it.
+OTHER_PIECES = frozenset(
+    """ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion comment comments disqus
+    replies cookie cookies consent gdpr newsletter subscribe subscription related recommended recommendations share sharing social
+    notice notices disclaimer teaser teasers breadcrumb breadcrumbs pagination copyright footer popup login signup""".split()
+)
+ANNULLING_PIECES = frozenset(
+    """no non not without free has have with enabled disabled open closed off on hide show category cat tag topic term author type
+    format status print""".split()
+)
 #: Names that a frame around the whole page may bear as well, so an article inside it is one.
 FRAME_WORDS = frozenset("nav navbar navigation menu banner sidebar widget widgets".split())
 HEADER_WORDS = frozenset(["header"])
@@ -105,6 +117,12 @@ def stands_in(reading: int, parent: int, kind: int) -> int:
     return STANDS[parent][kind]
 
 
+def is_other_name(name: str) -> bool:
+    """Whether a class name or id says that what bears it is no article."""
+    pieces = set(SPLIT.split(name))
+    return SPLIT.sub("", name) in OTHER_WORDS or bool(pieces & OTHER_PIECES) and not pieces & ANNULLING_PIECES
+
+
 @lru_cache(maxsize=10_000)
 def opened(tag: str) -> tuple[str, bool, bool, int, bool, bool]:
     """Of a tag as written: its name, whether it ends one, ends itself, what it opens, is a link, is labelled."""
@@ -114,7 +132,7 @@ def opened(tag: str) -> tuple[str, bool, bool, int, bool, bool]:
     found = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(tag)}
     names = (found.get("class", "") + " " + found.get("id", "")).split()
     words = set(SPLIT.split(" ".join(names)))
-    is_other = any(SPLIT.sub("", n) in OTHER_WORDS for n in names)
+    is_other = any(map(is_other_name, names))
     kind = NOTHING
     unseen = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "")
     if name in OTHER_TAGS or found.get("role") in OTHER_ROLES or unseen:

@@ -64,6 +64,15 @@ PAGES = [
     below names</h1><p data-main>The names of this article have words of other parts in them, yet it is one, as its tag says.</p>
     <p data-main>Short.</p><div class=share>Share this text with all of your friends, today and on any other day of the
     year.</div></article></div><footer>Rights and more, in as many words as a paragraph of the article above has.</footer></body>""",
+    """<body><div class=post-content><h1 data-main>A title over parts with long names</h1><p data-main>The text is in a part whose
+    name says so, and it has paragraphs of many words each, all of them in plain sentences that end with a stop.</p><div
+    class="inline-advert box"><p>An advert between two paragraphs has as many words as they do, and it ends with a stop like them.
+    </p></div><p data-main>The second paragraph comes after the advert, and it is just as long as the first one before it was.</p>
+    <div class=sponsored-content><p>What somebody has paid for is told here at some length, in a sentence that looks like the text.
+    </p></div></div><section class=reader-comments><p>A reader says in many words that the text was good, and that more of that kind
+    would be good, too.</p></section><div id=disqus_thread><p>Another reader says the same in other words, of which there are many,
+    one after the other.</p></div><div class=cookie-notice-bar><p>This page sets cookies, as all pages do, and it asks you to be
+    content with that from now on.</p></div></body>""",
     """<body><form id=aspnetForm><ul><li><a href=1>Home</a><li><a href=2>All the news</a></ul><main><h1 data-main>In a form</h1>
     <p data-main>The whole page is wrapped in a form here, as some servers do it, and its main part is the article.</p>
     <p data-main>End of it</p></main><div class="hidden-print links"><a href=3>One more page of this site</a></div></form></body>""",

@@ -104,3 +104,33 @@ LONG = "this paragraph has many words in it and not one of them is a link, so th
 )
 def test_a_name_or_form_does_not_empty_a_page(page, expected):
     assert main_text(page) == expected
+
+
+OTHER = "what is told here is no part of the text above, though it has as many words as a paragraph of it and ends with a stop."
+
+
+@pytest.mark.parametrize(
+    "name",
+    """reader-comments post-comments c-comments comment__body disqus_thread sponsored-content related-articles newsletter-box
+    cookie-notice-bar inline-advert promo-box ad-slot-top story-ads article__share social-bar article-comments user-comment
+    site-notice content-footer post_related comments advertisement""".split(),
+)
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        ("<article><h1>T</h1><p>{long}</p>{other}<p>x</p></article>", "T\n{long}\nx"),
+        ("<main><h1>T</h1><p>{long}</p></main>{other}", "T\n{long}"),
+        ("<div class=post-content><h1>T</h1><p>{long}</p>{other}<p>{long}</p></div>{other}", "T\n{long}\n{long}"),
+        ("<div><a href=x>Home</a></div><p>{long}</p>{other}<p>{long}</p>", "{long}\n{long}"),
+        ("<article class='post category-social tag-ads no-ads'><p>{long}</p>{other}</article>", "{long}"),
+    ],
+)
+def test_parts_with_longer_names_are_no_article(name, page, expected):
+    for other in (f"<div class={name}><p>{OTHER}</p></div>", f"<section id='{name}' class=box><h3>More</h3><article><p>{OTHER}</p></article></section>"):
+        assert main_text(page.format(long=LONG, other=other)) == expected.format(long=LONG)
+
+
+@pytest.mark.parametrize("name", "no-ads ad-free comments-enabled has-share category-social tag-ads topic-cookies hidden-print without-comments".split())
+def test_names_that_deny_a_part_or_name_a_topic_are_none(name):
+    assert main_text(f"<div class='{name}'><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div>").endswith(f"{LONG}\n{LONG}")
+    assert main_text(f"<div class='content {name}'><h1>T</h1><p>{LONG}</p><p>x</p></div>") == f"T\n{LONG}\nx"
