@@ -103,4 +103,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """The statements of the queries that SQL can express."""
-    return {"op11_importance_resampling": resampling.ORACLE_SQL}
+    return {"op7_top_k": vectors.ORACLE_SQL, "op11_importance_resampling": resampling.ORACLE_SQL}
