@@ -4,9 +4,11 @@ Base findings: assignments of a secret to a name, access identifiers, and long h
 kind is matched leftmost and without overlap; matches that are too short are dropped.
 
 Linked findings: weaker candidates (named identifiers, mixed runs of high entropy, endpoints) are parts
-of a credential only beside their complement. An interval join within the text decides: each candidate's
-surroundings (``REACH`` code points either way, not beyond its paragraph) are joined with the intervals of
-the parts it needs. An identifier needs a secret, a secret an identifier, an endpoint both. The join looks
+of a credential only beside their complement. An interval join within scopes decides: each candidate's
+surroundings (``reach`` code points either way, not beyond its scope) are joined with the intervals of
+the parts it needs. A scope is a section: it ends at a heading between blank lines, at a line of dashes, equals signs or stars, at a
+line with a name in square brackets, and at more than ``blank_lines`` blank lines in a row. Paragraphs, code blocks and
+blank lines between the parts of a key file do not end it. An identifier needs a secret, a secret an identifier, an endpoint both. The join looks
 up sorted starts and the furthest end so far, so it never forms pairs, however many parts a text holds.
 
 Every row is scanned where it is read; nothing is shuffled. Nulls and empty texts have no spans. Repeated
@@ -19,6 +21,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +45,8 @@ WEAK_ID = re.compile(
 )
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 ENDPOINT = re.compile(r"""https?://[^\s"'<>]+|(?<![a-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}(?![0-9])""")
-PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
-#: Code points from a candidate within which its complement must lie.
-REACH = 400
+#: Code points from a candidate within which its complement must lie, and blank lines in a row that may stand between them.
+REACH, BLANK_LINES = 400, 3
 #: Bits a character of a weak secret.
 ENTROPY = 3.5
 
@@ -68,8 +70,19 @@ def is_mixed(run: str) -> bool:
     return -sum(k / n * math.log2(k / n) for k in Counter(run).values()) >= ENTROPY
 
 
+@lru_cache(maxsize=8)
+def boundary(blank_lines: int) -> re.Pattern:
+    """What ends a scope; the next one begins at the end of the match."""
+    last = r"[\x20\t\r]*(?:\n|\Z)"
+    return re.compile(
+        rf"""\n(?:[\x20\t\r]*\n){{{blank_lines + 1},}} | (?:\A|\n[\x20\t\r]*\n)(?=\#{{1,6}}[\x20\t][^\n]*(?:\n{last}|\Z))
+        | \n(?=[\x20\t]*(?:-{{3,}}|={{3,}}|\*{{3,}}){last}) | \n(?=\[[^]\n]{{1,80}}\]{last})""",
+        re.VERBOSE,
+    )
+
+
 def near(
-    spans: list[Span], parts: list[Span], ends_of_paragraphs: np.ndarray = np.array([], dtype=np.int64), reach: int = REACH
+    spans: list[Span], parts: list[Span], ends_of_scopes: np.ndarray = np.array([], dtype=np.int64), reach: int = REACH
 ) -> list[bool]:
     """Interval semi-join: for each span, whether a part meets its surroundings."""
     if not parts or not spans:
@@ -78,14 +91,14 @@ def near(
     starts = np.array([p[0] for p in parts])
     furthest = np.maximum.accumulate([p[2] for p in parts])
     begin, end = np.array([s[0] for s in spans]), np.array([s[2] for s in spans])
-    paragraph = np.searchsorted(ends_of_paragraphs, begin, side="right")
-    low = np.maximum(begin - reach, np.concatenate([[0], ends_of_paragraphs])[paragraph])
-    high = np.minimum(end + reach, np.concatenate([ends_of_paragraphs, [np.iinfo(np.int64).max]])[paragraph])
+    scope = np.searchsorted(ends_of_scopes, begin, side="right")
+    low = np.maximum(begin - reach, np.concatenate([[0], ends_of_scopes])[scope])
+    high = np.minimum(end + reach, np.concatenate([ends_of_scopes, [np.iinfo(np.int64).max]])[scope])
     last = np.searchsorted(starts, high, side="left") - 1
     return list((last >= 0) & (furthest[np.maximum(last, 0)] > low))
 
 
-def linked_spans(text: str, base: list[Span]) -> list[Span]:
+def linked_spans(text: str, base: list[Span], reach: int = REACH, blank_lines: int = BLANK_LINES) -> list[Span]:
     """The weak candidates of a text whose complementary parts are near."""
     named = [(m.start(), 3, m.end()) for m in WEAK_ID.finditer(text)] if ":" in text or "=" in text else []
     identifiers = [s for s in base if s[1] == 1] + named
@@ -95,10 +108,10 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     mixed = [s for s, held in zip(mixed, near(mixed, base + named, reach=0)) if not held]
     endpoints = [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
     secrets = [s for s in base if s[1] != 1] + mixed
-    ends = np.array([m.end() for m in PARAGRAPH.finditer(text)], dtype=np.int64)
-    found = [s for s, ok in zip(named, near(named, secrets, ends)) if ok]
-    found += [s for s, ok in zip(mixed, near(mixed, identifiers, ends)) if ok]
-    both = zip(endpoints, near(endpoints, identifiers, ends), near(endpoints, secrets, ends))
+    ends = np.array([m.end() for m in boundary(blank_lines).finditer(text)], dtype=np.int64)
+    found = [s for s, ok in zip(named, near(named, secrets, ends, reach)) if ok]
+    found += [s for s, ok in zip(mixed, near(mixed, identifiers, ends, reach)) if ok]
+    both = zip(endpoints, near(endpoints, identifiers, ends, reach), near(endpoints, secrets, ends, reach))
     return found + [s for s, one, other in both if one and other]
 
 
@@ -106,7 +119,9 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-def found_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def found_secrets(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", reach: int = REACH, blank_lines: int = BLANK_LINES
+) -> DataFrame:
     """Per row: how many base findings of each kind, the digest of their places, and the places of all findings."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +131,7 @@ def found_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
                 base = sorted(base_spans(t or ""))
                 counts.append([sum(s[1] == kind for s in base) for kind in range(len(BASE_KINDS))])
                 digests.append(sha256(joined(base).encode()))
-                spans.append(joined(sorted(base + linked_spans(t or "", base))))
+                spans.append(joined(sorted(base + linked_spans(t or "", base, reach, blank_lines))))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(key),
@@ -128,5 +143,5 @@ def found_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return mapped(docs.select(key, text), scan, f"`{key}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    )
+    schema = f"`{key}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+    return mapped(docs.select(key, text), scan, schema)

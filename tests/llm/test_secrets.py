@@ -54,7 +54,35 @@ def test_weak_parts_need_their_complement():
     assert kinds("client_id = abcdef and nothing else") == []
     assert kinds(f"{KEY} at https://host.example/x") == []
     assert kinds(f"{KEY} " + "word " * 200 + mixed) == []
-    assert kinds(f"{KEY}\n\n{mixed}") == []
+    assert kinds(f"{KEY}\n\n{mixed}") == ["weak_secret"]
+
+
+MIXED, HOST = "aB3xY9qR7tZ2wK5mN8pL4vG", "https://host.example/x"
+
+
+@pytest.mark.parametrize(
+    "between, linked",
+    [
+        ("\n\n", True), (" \n \t\n", True), ("\n\n\n\n", True), ("\n\n\n\n\n", False), ("\r\n\r\n\r\n\r\n\r\n\r\n", False), ("\n```\n", True),
+        ("\n# a comment\n", True), ("\n\n# A heading\n\n", False), ("\n\n## A heading\n", True), ("\n---\n", False), ("\n[other]\n", False),
+        ("\n=====\n", False), ("\n-- \n", True), (" [x] ", True),
+    ],
+)
+def test_scopes(between, linked):
+    expected = ["weak_secret", "endpoint"] if linked else []
+    assert kinds(f"{KEY}{between}{MIXED} {HOST}") == expected
+    assert kinds(f"{HOST} {MIXED}{between}{KEY}") == expected[::-1]
+
+
+def test_a_key_file_with_blank_lines():
+    file = f"Access key:\n\n{KEY}\n\nSecret:\n\n{MIXED}\n\n\nEndpoint:\n\n{HOST}\n"
+    assert kinds(file) == ["weak_secret", "endpoint"]
+
+
+def test_reach_and_blank_lines_are_parameters(spark):
+    docs = spark.createDataFrame([(1, f"{KEY}" + " word" * 200 + f" {MIXED}"), (2, f"{KEY}\n\n\n\n\n\n{MIXED}")], "doc_id long, text string")
+    for options, expected in (({}, 0), ({"reach": 2_000}, 1), ({"blank_lines": 9}, 1), ({"reach": 2_000, "blank_lines": 9}, 2)):
+        assert sum("weak_secret" in r.spans for r in secrets.found_secrets(docs, **options).collect()) == expected
 
 
 def test_many_parts_are_joined_without_pairs():
