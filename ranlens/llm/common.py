@@ -26,8 +26,6 @@ WORD = re.compile(WORD_PATTERN)
 SLICE_CHARS = 1_000_000
 #: By application, the driver's folder from which its workers are sent the package; gone when the driver ends.
 SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}
-#: Rows of an Arrow batch.
-BATCH_ROWS = 1_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -65,14 +63,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def mapped(rows: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` over batches of ``BATCH_ROWS`` rows at most, for which the session's own bound is lowered.
+    """``mapInArrow`` with this package in the workers.
 
-    Both the virtual machine and the worker hold whole batches, and texts may be long.
+    Both the virtual machine and the worker hold whole batches, which the session bounds by rows and bytes; ``slices``
+    cuts them for the work on them.
     """
     ship(rows.sparkSession)
-    conf, bound = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(bound)) <= BATCH_ROWS:
-        conf.set(bound, str(BATCH_ROWS))
     return rows.mapInArrow(function, schema)
 
 

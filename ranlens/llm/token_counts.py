@@ -5,9 +5,9 @@ those of its pre-tokens, and its count is a sum of looked-up counts. Tier one is
 the most frequent pre-tokens and their counts, sent to every worker. Tier two is a cache of each
 worker, filled by the tokenizer with what tier one lacks. Pre-tokens are never shuffled.
 
-The table is made by a pass over all texts, in which each task keeps a summary of fixed size of its
-frequent pre-tokens (counts are lowered together and those at zero leave, when it is full). Only the
-summaries meet. What the table lacks costs time, never correctness.
+The table is made from a bounded sample: SAMPLE_TASKS tasks at most, spread over the table, read the first SAMPLE_BYTES of
+their texts or so, and each gives its SUMMARY_ENTRIES most frequent pre-tokens, which the driver adds up. Other tasks stop before
+their first text. What the table lacks costs time, never correctness; every text is counted whole in one pass without a shuffle.
 
 Nulls count as empty texts, which have no tokens. Repeated rows give repeated rows; other columns are
 not read. A text of any length is counted whole; a long pre-token goes to the tokenizer uncached.
@@ -22,15 +22,16 @@ from functools import lru_cache
 
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 
 from ranlens.llm.common import mapped, slices, tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Entries of the table that is broadcast, and characters of a pre-token in it: a few megabytes at most.
 TABLE_ENTRIES, TABLE_CHARS = 32_768, 48
-#: Entries of a task's summary of frequent pre-tokens.
-SUMMARY_ENTRIES = 4_096
+#: The sample the table is made from: tasks, bytes of text each reads (and the rest of a batch), and words each gives.
+SAMPLE_TASKS, SAMPLE_BYTES, SUMMARY_ENTRIES = 64, 2_000_000, 4_096
 #: Entries of a worker's cache.
 CACHE_ENTRIES = 200_000
 TOKEN_LIMIT = 4_096
@@ -46,9 +47,11 @@ class Counts(dict):
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         joined = {c for i, p in enumerate(pieces) if len(p) > 1 and not self.special(i) for c in p}
         alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in joined)
-        assert not any(SPACE in p.lstrip(SPACE) for p in pieces), "a piece crosses the start of a word"
+        if any(SPACE in p.lstrip(SPACE) for p in pieces):
+            raise ValueError("a piece of the vocabulary crosses the start of a word")
         # The tokenizer marks the start of what it encodes as a word; a line end before it takes that mark.
-        assert "\n" not in joined
+        if "\n" in joined:
+            raise ValueError("a piece of the vocabulary crosses the end of a line")
         self.start = len(self.model.encode("\n"))
         self.cut = re.compile(f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+")
         self.table_size = 0
@@ -89,32 +92,36 @@ def counts_of(path: str) -> Counts:
     return Counts(path)
 
 
-def frequent_pre_tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``word`` and ``n``: the most frequent pre-tokens of all texts, at most TABLE_ENTRIES."""
+def frequent_pre_tokens(docs: DataFrame, path: str, text: str = "text") -> list[str]:
+    """The most frequent pre-tokens of a sample of the texts, at most TABLE_ENTRIES of them."""
+    every = max(1, docs.rdd.getNumPartitions() // SAMPLE_TASKS)
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, kept = counts_of(path), Counter()
+        if TaskContext.get().partitionId() % every or TaskContext.get().partitionId() // every >= SAMPLE_TASKS:
+            return
+        own, kept, read = counts_of(path), Counter(), 0
         for batch in slices(batches, text):
             for t in batch.column(text).to_pylist():
                 kept.update(own.pre_tokens(t or ""))
-            if len(kept) > 8 * SUMMARY_ENTRIES:
-                ranked = kept.most_common(SUMMARY_ENTRIES + 1)
-                floor = ranked.pop()[1]
-                kept = Counter({w: n - floor for w, n in ranked if n > floor})
+                read += len(t or "")
+            if read >= SAMPLE_BYTES:
+                break
         found = [(w, n) for w, n in kept.most_common(SUMMARY_ENTRIES) if len(w) <= TABLE_CHARS]
         if found:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([w for w, _ in found]), pa.array([n for _, n in found], pa.int64())], ["word", "n"]
             )
 
-    summaries = mapped(docs.select(text), summarise, "word string, n long")
-    return summaries.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(TABLE_ENTRIES)
+    total: Counter = Counter()
+    for row in mapped(docs.select(text), summarise, "word string, n long").collect():
+        total[row.word] += row.n
+    return [w for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:TABLE_ENTRIES]]
 
 
 def token_counts(docs: DataFrame, path: str = "", text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: the bytes of its whole text, the number of its tokens, and whether that is above TOKEN_LIMIT."""
     path = path or tokenizer_path(VOCABULARY)
-    words = [row.word for row in frequent_pre_tokens(docs, path, text).collect()]
+    words = frequent_pre_tokens(docs, path, text)
     table = docs.sparkSession.sparkContext.broadcast(dict(zip(words, counts_of(path).lengths(words))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

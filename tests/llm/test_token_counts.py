@@ -43,8 +43,20 @@ def test_tables_and_full_caches_change_nothing(own, library, monkeypatch, texts)
 
 def test_frequent_pre_tokens_of_a_small_table_are_all_of_them(spark):
     docs = spark.createDataFrame([(1, "to be or not to be"), (2, None), (3, "be")], "doc_id long, text string")
-    found = token_counts.frequent_pre_tokens(docs, tokenizer_path(token_counts.VOCABULARY)).collect()
-    assert {r.word: r.n for r in found} == {"▁to": 2, "▁be": 3, "▁or": 1, "▁not": 1}
+    found = token_counts.frequent_pre_tokens(docs, tokenizer_path(token_counts.VOCABULARY))
+    assert found == ["▁be", "▁to", "▁not", "▁or"]
+
+
+def test_the_table_comes_from_a_bounded_sample_and_counting_has_no_shuffle(spark, monkeypatch, documents):
+    monkeypatch.setattr(token_counts, "SAMPLE_TASKS", 2)
+    words = [f"w{i}" for i in range(64)]
+    docs = spark.createDataFrame([(i, word) for i, word in enumerate(words)], "doc_id long, text string").repartition(16)
+    sampled = token_counts.frequent_pre_tokens(docs, tokenizer_path(token_counts.VOCABULARY))
+    assert 0 < len(sampled) < 64
+    found = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs).collect()}
+    assert found == dict(enumerate(token_counts.counts_of(tokenizer_path(token_counts.VOCABULARY)).count(words)))
+    plan = token_counts.token_counts(documents)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
 
 
 def test_the_query_equals_the_library(spark, folder, library, texts):
