@@ -116,7 +116,7 @@ def _streamed_payload_failures(spark: SparkSession, folder: str) -> DataFrame:
     log = spark.readStream.schema(schema).parquet(f"{folder}/events.parque[t]")
     tables = Medallion(spark, f"{target}/tables", f"{target}/checkpoints")
     tables.start_bronze(judged_payload(messages_from_log(bronze_from_log(log))), trigger=None).awaitTermination()
-    kept = checkpointed(quality.payload_failures(tables.read("quarantine")))
+    kept = stored_result(quality.payload_failures(tables.read("quarantine")))
     removed(spark, target)
     return kept
 
@@ -129,8 +129,8 @@ def removed(spark: SparkSession, target: str) -> None:
 def _streamed(derive: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame] = lambda df: df) -> Query:
     """Run the log through a stream into a table of the shared folder, and give back what the table holds.
 
-    The log may be one file or a folder of files. The rows are kept as a checkpoint, and the table and the
-    stream's own checkpoint are removed.
+    The log may be one file or a folder of files. The rows are kept in a small table of results, and the stream's table and
+    checkpoint are removed.
     """
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,19 +143,19 @@ def _streamed(derive: Callable[[DataFrame], DataFrame], finish: Callable[[DataFr
         query = start_append(result, f"{target}/table", uuid.uuid4().hex, f"{target}/checkpoint", trigger=None)
         query.awaitTermination()
         stored = spark.read.schema(result.schema).parquet(f"{target}/table").select(*result.columns)
-        kept = checkpointed(comparable(without_stamps(finish(stored))))
+        kept = stored_result(comparable(without_stamps(finish(stored))))
         removed(spark, target)
         return kept
 
     return run
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows in the folder all executors share, removed when they are no longer used."""
+def stored_result(df: DataFrame) -> DataFrame:
+    """The rows, written once as a table in the folder all executors share and read from there."""
     context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/results/{context.applicationId}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def catalog() -> dict[str, Query]:

@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
     # Recording the call site of every column expression slows the building of wide plans.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Texts may be long, and both the virtual machine and a Python worker hold whole batches of them.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     # Window state lives off the heap, so that many open keys do not press on memory.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
