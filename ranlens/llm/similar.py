@@ -9,12 +9,14 @@ Two texts are linked if their sets of five-word shingles have a Jaccard similari
    the posterior probability that its similarity reaches the threshold (uniform prior, binomial agreement) is
    under ``TOLERANCE``. A set is compared with those not yet connected to it, so a bucket of near copies costs about
    its size, and it returns a star of edges, not its pairs.
-4. The connected components of these edges hold all pairs to be verified. Their texts are read again, and every pair
-   of a component is verified exactly by the sizes of the shingles' intersection. Each set counts its links (the
-   documents of linked sets, copies included), and links give the final classes.
+4. The connected components of these edges hold all pairs that may be linked. Within them the same comparison drops pairs, and so
+   does the ratio of their sizes; the rest is verified exactly by the sizes of the shingles' intersection. Each set counts its links
+   (the documents of linked sets, copies included), and links give the final classes.
 
-Buckets and components of any size are cut into blocks by a hash of the set, and every two blocks of one meet in a task
-of their own, so memory is bounded and no pairs are rows. The bound is on rows and, for shingles, on their number.
+Buckets and components of any size are cut into blocks by a hash of the set, and two blocks of one meet in a task
+of their own, so memory is bounded and no pairs are rows. The bound is on rows and, for shingles, on their number. The blocks of a
+component hold sets of one size class, and meet only those of the same and the next class, as no others can be linked. The
+MinHash values of two blocks meet first; only sets with a pair left there go on to have their texts read and their shingles sent.
 
 A text of one to four words has one shingle, all of it. A text without words (null or empty) is linked to none. A
 repeated row is a document each time. Ids may be null or repeated: a document is told by its id and its text.
@@ -43,6 +45,8 @@ HASHES = BANDS * BAND_ROWS
 TOLERANCE, COMPARED = 1e-7, 8
 #: Sets of a block in a bucket; sets and shingles of a block in a component.
 BUCKET_BLOCK, COMPONENT_BLOCK, SHINGLE_BLOCK = 2_048, 512, 400_000
+#: Sets whose sizes differ by this factor or more cannot be linked; it is a little more than the inverse of the threshold.
+SIZE_STEP = 1.26
 #: Values of a hash by which rows are sorted out before a join: the list that is broadcast has as many integers at most.
 SIEVE = 1 << 20
 #: Columns of a dense block when intersections are counted by a product of matrices.
@@ -160,14 +164,25 @@ def connected(values: np.ndarray) -> np.ndarray:
     return root
 
 
-def linked(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
-    """A matrix of which sets of the first list are linked to which of the second."""
+def likely_pairs(sizes: list[np.ndarray], least: list[np.ndarray]) -> np.ndarray:
+    """A matrix of the pairs of two lists of sets, given their sizes and MinHash values, that are not dropped."""
+    small, large = np.minimum.outer(*sizes), np.maximum.outer(*sizes)
+    kept = UNDER * small >= OVER * large
+    for i, own in enumerate(least[0]):
+        near = np.flatnonzero(kept[i])
+        kept[i] = False
+        kept[i, near[still_likely(own, least[1][near])]] = True
+    return kept
+
+
+def linked(first: list[np.ndarray], second: list[np.ndarray], likely: np.ndarray) -> np.ndarray:
+    """A matrix of which sets of the first list are linked to which of the second, verified for the likely pairs."""
     sizes = np.array([len(s) for s in first])[:, None] + np.array([len(s) for s in second])[None, :]
     common = np.zeros(sizes.shape, dtype=np.int64)
-    if common.size <= 64:
-        for i, a in enumerate(first):
-            for j, b in enumerate(second):
-                common[i, j] = len(np.intersect1d(a, b, assume_unique=True)) if a is not b else len(a)
+    if likely.sum() <= max(64, likely.size // 100):
+        for i, j in zip(*np.nonzero(likely)):
+            a, b = first[i], second[j]
+            common[i, j] = len(np.intersect1d(a, b, assume_unique=True)) if a is not b else len(a)
     else:
         values, column, count = np.unique(np.concatenate(first + second), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(first) + len(second)), [len(s) for s in first + second])
@@ -180,7 +195,7 @@ def linked(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
             part = np.zeros((len(first) + len(second), COLUMNS), dtype=np.float32)
             part[row[a:b], column[a:b] - begin] = 1
             common += np.rint(part[: len(first)] @ part[len(first) :].T).astype(np.int64)
-    return (OVER + UNDER) * common >= OVER * sizes
+    return likely & ((OVER + UNDER) * common >= OVER * sizes)
 
 
 def sketched(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -266,17 +281,93 @@ def likely_edges(sets: DataFrame) -> DataFrame:
     return mapped(blocks, connect, "x binary, y binary").distinct()
 
 
-def verified(docs: DataFrame, members: DataFrame, text: str, key: str) -> DataFrame:
-    """For each set and block pair of its component: ``links`` and ``root``, the first set its links lead to there.
+MEETING = "struct<ca:int,a:int,cb:int,b:int>"
 
-    ``members`` has a set's ``set``, ``doc`` (one that holds it), ``copies``, ``size`` and ``label`` of its component.
+
+def meetings(members: DataFrame) -> DataFrame:
+    """Adds to ``set``, ``size`` and ``label``: ``cut`` (more than one block), ``class``, ``block``, and ``meets``, where the set's block meets others.
+
+    A component of one block meets itself. Of a larger one, blocks are made in each size class, and meet those of their own and the next class.
     """
-    totals = members.groupBy("label").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
-    blocks = F.greatest(F.ceil(F.col("n") / COMPONENT_BLOCK), F.ceil(F.col("total") / SHINGLE_BLOCK))
-    chosen = written(
-        members.join(totals.select("label", blocks.alias("blocks")), "label").select("set", "copies", "label", "blocks", "doc"),
-        "members",
+    measured = [F.count("*").alias("n"), F.sum("size").alias("total")]
+    blocks = F.greatest(F.ceil(F.col("n") / COMPONENT_BLOCK), F.ceil(F.col("total") / SHINGLE_BLOCK)).cast("int")
+    cut = members.groupBy("label").agg(*measured).select("label", (blocks > 1).alias("cut"))
+    size_class = F.when(F.col("cut"), F.floor(F.log("size") / math.log(SIZE_STEP))).otherwise(0).cast("int")
+    rows = written(members.join(cut, "label").withColumn("class", size_class), "classed")
+    own = written(rows.groupBy("label", "class").agg(*measured).select("label", "class", blocks.alias("here")), "blocks")
+    for name, step in (("below", 1), ("above", -1)):
+        beside = own.select("label", (F.col("class") + step).alias("class"), F.col("here").alias(name))
+        rows = rows.join(beside, ["label", "class"], "left")
+    rows = rows.join(own, ["label", "class"])
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "set"), F.col("here")).cast("int"))
+
+    def met(n: Column, meeting) -> Column:
+        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda j: F.struct(*(x.cast("int").alias(k) for k, x in zip(("ca", "a", "cb", "b"), meeting(j)))))
+
+    c, i = F.col("class"), F.col("block")
+    meets = F.concat(
+        met(F.col("here"), lambda j: (c, F.least(i, j), c, F.greatest(i, j))),
+        met(F.coalesce("above", F.lit(0)), lambda j: (c, i, c + 1, j)),
+        met(F.coalesce("below", F.lit(0)), lambda j: (c - 1, j, c, i)),
     )
+    return rows.withColumn("meets", meets).drop("here", "above", "below", "total", "n")
+
+
+def surviving(members: DataFrame) -> DataFrame:
+    """The sets with ``meets`` cut down to the meetings in which the set has a likely partner; sets without any go.
+
+    ``members`` is as ``meetings`` gives it, with ``least``. Components of one block are left to the verification.
+    """
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple] = []
+            for held, meeting in zip(batch.column("members"), batch.column("meeting").to_pylist()):
+                sides = sides_of(held.as_py(), meeting)
+                kept = likely_pairs(*matrices(sides))
+                if same_block(meeting):
+                    np.fill_diagonal(kept, False)
+                left = [m["set"] for m, any_ in zip(sides[0], kept.any(axis=1)) if any_]
+                right = [] if same_block(meeting) else [m["set"] for m, any_ in zip(sides[1], kept.any(axis=0)) if any_]
+                found += [(key, meeting) for key in left + right]
+            sets, places = zip(*found) if found else ((), ())
+            kind = pa.struct([(k, pa.int32()) for k in ("ca", "a", "cb", "b")])
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), pa.array(places, kind)], ["set", "meeting"])
+
+    large = members.where("cut").withColumn("meeting", F.explode("meets"))
+    met = large.groupBy("label", "meeting").agg(F.collect_list(F.struct("set", "class", "block", "size", "least")).alias("members"))
+    kept = mapped(met.select("members", "meeting"), screen, f"set binary, meeting {MEETING}")
+    kept = kept.groupBy("set").agg(F.collect_list("meeting").alias("kept"))
+    cut = members.where("cut").join(kept, "set").withColumn("meets", F.col("kept")).drop("kept")
+    return cut.unionByName(members.where("NOT cut"))
+
+
+def same_block(meeting: dict) -> bool:
+    return (meeting["ca"], meeting["a"]) == (meeting["cb"], meeting["b"])
+
+
+def sides_of(members: list[dict], meeting: dict) -> list[list[dict]]:
+    """The sets of the two blocks of a meeting; a document, and so its set, may be repeated."""
+    own = {m["set"]: m for m in members}
+    blocks = [(meeting["ca"], meeting["a"]), (meeting["cb"], meeting["b"])]
+    return [[m for m in own.values() if (m["class"], m["block"]) == block] for block in blocks]
+
+
+def matrices(sides: list[list[dict]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The sizes and MinHash values of the sets of both sides."""
+    sizes = [np.array([m["size"] for m in side], dtype=np.int64) for side in sides]
+    least = [np.frombuffer(b"".join(m["least"] for m in side), dtype=np.uint16).reshape(-1, HASHES) for side in sides]
+    return sizes, least
+
+
+def verified(docs: DataFrame, members: DataFrame, text: str, key: str) -> DataFrame:
+    """For each set and meeting of its block: ``links``, ``root``, the first set its links lead to there, and ``pairs``, how many were verified.
+
+    ``members`` has a set's ``set``, ``doc`` (one that holds it), ``copies``, ``size``, ``least`` and ``label`` of its component.
+    """
+    columns = ("set", "copies", "size", "least", "label", "cut", "class", "block", "meets")
+    chosen = written(surviving(meetings(members)).select(*columns, "doc"), "members")
     texts = sieved(docs.select(document(text, key).alias("doc"), text), chosen, "left_semi")
     found = texts.join(chosen, texts["doc"].eqNullSafe(chosen["doc"]))
 
@@ -284,28 +375,27 @@ def verified(docs: DataFrame, members: DataFrame, text: str, key: str) -> DataFr
         for batch in slices(batches, text):
             sets = [shingles(t or "") for t in batch.column(text).to_pylist()]
             same = pa.array([set_key(s) == k for s, k in zip(sets, batch.column("set").to_pylist())], pa.bool_())
-            names = ["set", "copies", "label", "blocks"]
-            columns = [batch.column(name) for name in names] + [pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "shingles"]).filter(same)
+            held = [batch.column(name) for name in columns] + [pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(held, [*columns, "shingles"]).filter(same)
 
-    shingled = mapped(found.select("set", "copies", "label", "blocks", text), cut, "set binary, copies long, label binary, blocks long, shingles binary"
-    )
-    met = in_blocks(shingled, F.col("blocks")).groupBy("label", "blocks", "a", "b")
-    groups = met.agg(F.collect_list(F.struct("set", "copies", "block", "shingles")).alias("members"))
+    kinds = ", ".join(f"`{name}` {chosen.schema[name].dataType.simpleString()}" for name in columns)
+    shingled = mapped(found.select(*columns, text), cut, f"{kinds}, shingles binary").withColumn("meeting", F.explode("meets"))
+    held = F.struct("set", "copies", "size", "least", "class", "block", "shingles")
+    groups = shingled.groupBy("label", "cut", "meeting").agg(F.collect_list(held).alias("members"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(name) for name in ("members", "blocks", "a", "b")))
-            for held, blocks, a, b in rows:
-                own = {m["set"]: m for m in held.as_py()}  # a document may be repeated
-                sides = [[m for m in own.values() if m["block"] == side] for side in (a.as_py(), b.as_py())]
+            rows = zip(batch.column("members"), batch.column("cut").to_pylist(), batch.column("meeting").to_pylist())
+            for held, cut, meeting in rows:
+                sides = sides_of(held.as_py(), meeting)
                 sets = [[np.frombuffer(m["shingles"], dtype=np.uint64) for m in side] for side in sides]
-                links = linked(*sets)
-                same = a.as_py() == b.as_py()
+                likely, same = likely_pairs(*matrices(sides)), same_block(meeting)
                 if same:
-                    np.fill_diagonal(links, False)
+                    np.fill_diagonal(likely, False)
+                links = linked(*sets, likely)
                 copies = [np.array([m["copies"] for m in side], dtype=np.int64) for side in sides]
                 counted = [links @ copies[1]] + ([] if same else [links.T @ copies[0]])
+                tried = [likely.sum(axis=1)] + ([] if same else [likely.sum(axis=0)])
                 keys = [m["set"] for m in sides[0]] + ([] if same else [m["set"] for m in sides[1]])
                 roots = first_linked(links, same)
                 yield pa.RecordBatch.from_arrays(
@@ -313,12 +403,13 @@ def verified(docs: DataFrame, members: DataFrame, text: str, key: str) -> DataFr
                         pa.array(keys, pa.binary()),
                         pa.array(np.concatenate(counted), pa.int64()),
                         pa.array([keys[r] for r in roots], pa.binary()),
-                        pa.array([blocks.as_py() > 1] * len(keys)),
+                        pa.array([cut] * len(keys)),
+                        pa.array(np.concatenate(tried), pa.int64()),
                     ],
-                    ["set", "links", "root", "cut"],
+                    ["set", "links", "root", "cut", "pairs"],
                 )
 
-    return mapped(groups.select("members", "blocks", "a", "b"), verify, "set binary, links long, root binary, cut boolean")
+    return mapped(groups.select("members", "cut", "meeting"), verify, "set binary, links long, root binary, cut boolean, pairs long")
 
 
 def first_linked(links: np.ndarray, same: bool) -> np.ndarray:
@@ -359,7 +450,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[D
         "sets",
     )
     labels = components(likely_edges(sets)).withColumnRenamed("node", "set")
-    members = sets.select("set", "doc", "copies", "size").join(labels, "set")
+    members = sets.select("set", "doc", "copies", "size", "least").join(labels, "set")
     checked = written(verified(docs, members, text, key), "checked")
     across = components(checked.where("cut AND set <> root").select(F.col("set").alias("x"), F.col("root").alias("y")))
     links = checked.groupBy("set").agg(F.sum("links").alias("links"), F.max("cut").alias("cut"), F.min("root").alias("root"))

@@ -9,6 +9,9 @@ from ranlens.llm.catalog import op8_jaccard_join
 from ranlens.llm.components import components
 
 
+VERIFIED = similar.verified
+
+
 def brute(rows):
     """Links and the least id of the class of every row, by a full inverted index of word tuples."""
     sets = []
@@ -129,8 +132,49 @@ def test_dense_and_small_intersections_agree():
     random = np.random.default_rng(8)
     sets = [np.unique(random.choice(np.arange(60, dtype=np.uint64), 50)) for _ in range(30)]
     expected = [[len(np.intersect1d(a, b)) * 9 >= 4 * (len(a) + len(b)) for b in sets] for a in sets]
-    assert (similar.linked(sets, sets) == np.array(expected)).all()
-    assert (similar.linked(sets[:3], sets[:4]) == np.array(expected)[:3, :4]).all()
+    every = np.ones((30, 30), dtype=bool)
+    assert (similar.linked(sets, sets, every) == np.array(expected)).all()
+    assert (similar.linked(sets[:3], sets[:4], every[:3, :4]) == np.array(expected)[:3, :4]).all()
+    some = random.random((30, 30)) < 0.3
+    assert (similar.linked(sets, sets, some) == (np.array(expected) & some)).all()
+
+
+def test_pairs_of_a_component_are_pruned_before_they_are_verified(spark, monkeypatch):
+    """A long chain, each text near the ones beside it, and some texts of other sizes that hold a part of one."""
+    random = np.random.default_rng(9)
+    word = lambda: "".join(random.choice(list("abcdefgh"), 4))
+    chain, rows = [word() for _ in range(100)], []
+    for i in range(150):
+        chain = chain[2:] + [word() for _ in range(2)]
+        rows.append((i, " ".join(chain[: 100 - i % 30])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute(rows)
+    for block in (512, 16):
+        monkeypatch.setattr(similar, "COMPONENT_BLOCK", block)
+        kept = []
+        monkeypatch.setattr(similar, "verified", lambda *args, run=VERIFIED: kept.append(similar.written(run(*args), "tried")) or kept[0])
+        assert got(similar.joined(docs)) == expected
+        pairs, linked = kept[0].groupBy().sum("pairs").first()[0], sum(n for *_, n in expected)
+        assert linked > 500 and linked <= pairs <= 3 * linked and pairs < 150 * 149 / 6
+
+
+def test_blocks_of_sizes_too_different_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(similar, "COMPONENT_BLOCK", 4)
+    rows = [(bytes([i, j]), size, b"label") for i, size in enumerate((100, 101, 130, 160, 400)) for j in range(9)]
+    found = similar.meetings(spark.createDataFrame(rows, "set binary, size int, label binary")).collect()
+    of_class = {r["class"]: {(m.ca, m.cb) for m in r.meets} for r in found}
+    assert all(b - a in (0, 1) for meets in of_class.values() for a, b in meets)
+    sizes = {r["class"]: {x.size for x in found if x["class"] == r["class"]} for r in found}
+    met = {(s, t) for a, b in set().union(*of_class.values()) if a in sizes and b in sizes for s in sizes[a] for t in sizes[b]}
+    assert all((s, t) in met or (t, s) in met for s in (100, 101, 130, 160, 400) for t in (100, 101, 130, 160, 400) if 5 * min(s, t) >= 4 * max(s, t))
+    # Two sets meet exactly once if their classes are near.
+    places = {r.set: {(m.ca, m.a, m.cb, m.b) for m in r.meets} for r in found}
+    blocks = {r.set: (r["class"], r.block) for r in found}
+    for one in places:
+        for other in places:
+            together = places[one] & places[other]
+            met_at = {m for m in together if {m[:2], m[2:]} == {blocks[one], blocks[other]}}
+            assert len(met_at) == (abs(blocks[one][0] - blocks[other][0]) <= 1)
 
 
 def test_components_of_paths_stars_and_nothing(spark):
