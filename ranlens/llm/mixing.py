@@ -6,7 +6,8 @@ From each source the mix takes whole epochs first, then a fraction: its document
 keys, -ln(u) / w, u a hash of the row and w its quality weight, each taken if it still fits into what
 is left of the target (Efraimidis and Spirakis). This goes by rounds: a prefix of the documents that are no longer than
 the gap is taken, the one that would cross it is passed over, and the next round goes on behind it with the gap that is
-left, until no document fits. At last the one whose size comes nearest to the gap is added, if that is nearer
+left, until no document fits. Each round reads only what the round before left behind: documents behind the one it passed
+over that are no longer than the gap, which soon are few. At last the one whose size comes nearest to the gap is added, if that is nearer
 than nothing, so a source misses its target by half its smallest untaken document at most.
 
 Only ids, sizes and keys are shuffled. A source's prefix sums are taken in two levels, over buckets of keys with
@@ -95,9 +96,9 @@ def filling(placed: DataFrame, gaps: DataFrame) -> DataFrame:
     ahead = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     within = Window.partitionBy("rank", "bucket").orderBy("place")  # rows alike end at the same sum
     pending, steps = written(whole, "gaps"), []
+    rest = placed.where("size > 0")
     while True:
-        behind = F.coalesce(F.col("place") > F.col("after"), F.lit(True))
-        fitting = placed.join(pending, "rank").where(behind & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
+        fitting = rest.join(pending, "rank").where(F.col("size") <= F.col("gap"))
         starts = (
             fitting.groupBy("rank", "bucket", "gap")
             .agg(F.sum("size").alias("bucket_size"))
@@ -122,6 +123,9 @@ def filling(placed: DataFrame, gaps: DataFrame) -> DataFrame:
         if going.isEmpty():
             break
         pending = written(going.select("rank", (F.col("gap") - F.col("filled")).alias("gap"), F.col("crossing").alias("after")), "gaps")
+        # What a round passes over or finds too long never fits again.
+        behind = rest.join(pending, "rank").where((F.col("place") > F.col("after")) & (F.col("size") <= F.col("gap")))
+        rest = written(behind.select("rank", "bucket", "place", "size"), "rest")
     every = steps[0].withColumn("round", F.lit(0))
     for i, step in enumerate(steps[1:], 1):
         every = every.unionByName(step.withColumn("round", F.lit(i)))

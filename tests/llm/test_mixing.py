@@ -108,3 +108,47 @@ def test_an_empty_table_and_the_plan(spark, folder, no_documents):
     assert mixing.takings(no_documents).collect() == [] == mixing.mixed(no_documents).collect()
     plan = plan_of(op5_source_mix(spark, folder))
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def plain_copies(keyed):
+    """How often each row is taken, by a loop over each source's rows in the order of their keys."""
+    sizes = {}
+    for row in keyed:
+        sizes[row.source] = sizes.get(row.source, 0) + row["_size"]
+    targets, copies = brute_targets(sizes), {}
+    for source, size in sizes.items():
+        epochs = int(targets[source] // size) if size else 0
+        gap = max(0.0, targets[source] - epochs * size)
+        sums, each = {}, {}
+        for row in keyed:
+            if row.source == source and row["_size"]:
+                place = tuple(row["_place"])
+                sums[place], each[place] = sums.get(place, 0) + row["_size"], row["_size"]
+        taken, rest = set(), sorted(sums)
+        while rest:
+            rest, filled, crossing = [p for p in rest if each[p] <= gap], 0, None
+            for i, place in enumerate(rest):
+                if filled + sums[place] > gap:
+                    crossing = i
+                    break
+                filled += sums[place]
+                taken.add(place)
+            gap -= filled
+            rest = rest[crossing + 1 :] if crossing is not None else []
+        left = [(abs(sums[p] - gap), p) for p in sums if p not in taken and abs(sums[p] - gap) < gap]
+        taken |= {min(left)[1]} if left else set()
+        for place in sums:
+            copies[source, place] = epochs + (place in taken)
+    return copies
+
+
+@pytest.mark.parametrize("bucket_rows", [4_096, 7])
+def test_the_selection_equals_a_plain_loop(spark, monkeypatch, documents, bucket_rows):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket_rows)
+    odd = [(i, "w " * (i * i % 97 + 1 + 400 * (i % 50 == 0)), f"s{i % 4}" if i % 3 else None) for i in range(400)] + [(1, "w w", "s1")] * 5
+    for docs in (documents, spark.createDataFrame(odd, "doc_id long, text string, source string")):
+        keyed = mixing.keyed(docs.select("doc_id", "text", "source")).collect()
+        expected = plain_copies(keyed)
+        assert any(n == 0 for n in expected.values()) and any(n > 0 for n in expected.values())
+        wanted = sorted((r.doc_id, r["_size"], r["_size"] * expected.get((r.source, tuple(r["_place"])), 0)) for r in keyed)
+        assert sorted((r.doc_id, r.size, r.taken) for r in mixing.takings(docs).collect()) == wanted
