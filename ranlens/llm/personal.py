@@ -4,13 +4,15 @@ Base findings are mail and internet addresses, card numbers and telephone number
 overlap; matches that fail their test (parts, digits, Luhn sum) are dropped and not tried again.
 
 Weaker candidates (names after a title, identity and bank numbers, dates, telephone numbers without a plus)
-are judged by labelers that vote for, against or not at all: regular expressions on the shape, a gazetteer, the
-words before the candidate, and base findings beside it. Expectation-maximisation over the counts of vote patterns
+are judged by labelers that vote for, against or not at all: regular expressions on the shape, a gazetteer of names, the
+words before the candidate, and base findings beside it. The gazetteer holds the given names of a list (a parameter) and
+the words that most often make up mail addresses of the corpus, GAZETTEER at most, counted over all of them. Expectation-maximisation over the counts of vote patterns
 estimates each labeler's reliability and each pattern's probability. These soft labels train the span classifier, a naive
 Bayes model over the features of spans, which decides what is added. Base findings vote too, and stay whatever it says.
 
-Both passes over the texts are column expressions where the rows are read: positions are sums of the lengths of the pieces
-between matches. Only counts of patterns are shuffled; their number is bounded by the product of the numbers of
+The texts are searched once, by column expressions where the rows are read: positions are sums of the lengths of the pieces
+between matches. What is found is written to the shared folder, and the rest works on that. Only words of addresses and counts of
+patterns are shuffled, combined before; the number of patterns is bounded by the product of the numbers of
 votes and features, whatever the table's size, and the arithmetic on that list is plain.
 
 Nulls and empty texts have no spans. Repeated rows give repeated rows; other columns are not read (``masked``
@@ -24,6 +26,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ranlens.llm.common import written
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("name", "id_number", "date", "local_phone")
 KINDS = BASE_KINDS + ADDED_KINDS
@@ -52,7 +56,9 @@ PATTERNS |= {
 ANY_TITLE = rf"(?:{TITLES})\.?\x20\p{{Lu}}"
 
 # What the labelers look for.
-GIVEN_NAMES = "James|Mary|John|Anna|Peter|Paul|Maria|Thomas|Hans|Petra|Jean|Marie|Pierre|José|Carmen|Juan|Michael|Sarah|David|Laura"
+GIVEN_NAMES = tuple("james mary john anna peter paul maria thomas hans petra jean marie pierre josé carmen juan michael sarah david laura".split())
+#: Words of mail addresses in the gazetteer at most, and the letters and addresses such a word has at least.
+GAZETTEER, NAME_LETTERS, NAME_ADDRESSES = 5_000, 3, 3
 SHAPES = r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$|^[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}|^\([0-9]{3}\)"
 ODD = r"^[^0-9]*([0-9])(?:[^0-9]*\1)*[^0-9]*$"
 CUES = (
@@ -142,8 +148,17 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.withColumn("_candidates", F.filter("_weak", free)).drop("_weak")
 
 
+def name_words(span: Column) -> Column:
+    """The words, in small letters, of a mail address before its sign or of a name after its title; none of other kinds."""
+    named = F.when(span["kind"] == KINDS.index("email"), F.substring_index(span["text"], "@", 1)).when(
+        span["kind"] == KINDS.index("name"), F.regexp_replace(span["text"], rf"^(?:{TITLES})\.?\x20", "")
+    )
+    words = F.filter(F.split(F.lower(named), r"[^\p{L}]+"), lambda w: F.length(w) >= NAME_LETTERS)
+    return F.coalesce(words, F.array().cast("array<string>"))
+
+
 def voted(spans: Column, base: Column, text: Column) -> Column:
-    """The spans with each labeler's vote (1, 0 or -1) and the features of the classifier."""
+    """The spans with their words for the gazetteer, each other labeler's vote (1, 0 or -1) and the features of the classifier."""
 
     def votes(span: Column) -> Column:
         start, found = span["start"], span["text"]
@@ -157,9 +172,9 @@ def voted(spans: Column, base: Column, text: Column) -> Column:
             span["kind"].alias("kind"),
             start.alias("start"),
             span["end"].alias("end"),
-            ((span["kind"] < len(BASE_KINDS)) | F.regexp_like(found, F.lit(SHAPES))).cast("int").alias("shape"),
+            name_words(span).alias("words"),
+            F.regexp_like(found, F.lit(SHAPES)).cast("int").alias("shape"),
             (-F.regexp_like(found, F.lit(ODD)).cast("int")).alias("odd"),
-            F.regexp_like(found, F.lit(rf"(?<!\p{{L}})(?:{GIVEN_NAMES})(?!\p{{L}})")).cast("int").alias("gazetteer"),
             cue.alias("cue"),
             near.cast("int").alias("near"),
             F.least(F.floor(F.length(found) / 8), F.lit(3)).cast("int").alias("long"),
@@ -168,6 +183,34 @@ def voted(spans: Column, base: Column, text: Column) -> Column:
     return F.transform(spans, votes)
 
 
+def searched(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows with ``_voted``: base findings by kind and start, then the weak candidates, with votes; written once."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    found = with_spans(docs, text)
+    any_ = (F.size("_base") > 0) | (F.size("_candidates") > 0)
+    votes = voted(F.concat("_base", "_candidates"), F.col("_base"), whole)
+    nothing = F.filter(votes, lambda x: F.lit(False))
+    return found.withColumn("_voted", F.when(any_, votes).otherwise(nothing)).drop("_base", "_candidates")
+
+
+def gazetteer(found: DataFrame) -> list[str]:
+    """The words that occur in the most mail addresses of the corpus, at least NAME_ADDRESSES; GAZETTEER of them at most."""
+    mails = F.filter("_voted", lambda s: s["kind"] == KINDS.index("email"))
+    words = found.where(F.size(mails) > 0).select(F.explode(F.flatten(F.transform(mails, lambda s: F.array_distinct(s["words"])))).alias("word"))
+    counted = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= NAME_ADDRESSES)
+    return [row.word for row in counted.orderBy(F.desc("n"), "word").limit(GAZETTEER).collect()]
+
+
+def with_gazetteer(found: DataFrame, names: list[str]) -> DataFrame:
+    """``_voted`` with the vote of the gazetteer on names; a mail address does not vouch for itself."""
+
+    def vote(span: Column) -> Column:
+        known = F.exists(span["words"], lambda w: w.isin(names)) if names else F.lit(False)
+        return span.withField("gazetteer", ((span["kind"] == KINDS.index("name")) & known).cast("int"))
+
+    return found.withColumn("_voted", F.transform("_voted", vote))
+
+
 @dataclass(frozen=True)
 class Classifier:
     """Log odds of a span before its features are seen, and what each value of each feature adds."""
@@ -226,28 +269,28 @@ def trained(rows: list) -> Classifier | None:
     return Classifier(math.log(yes / no), weights)
 
 
-def learned(docs: DataFrame, text: str = "text") -> Classifier | None:
+def learned(found: DataFrame) -> Classifier | None:
     """The classifier that the spans of all texts give; None if there is no span."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    found = with_spans(docs.select(text), text).where((F.size("_base") > 0) | (F.size("_candidates") > 0))
-    spans = found.select(F.explode(voted(F.concat("_base", "_candidates"), F.col("_base"), whole)).alias("span")).select("span.*")
+    spans = found.select(F.explode("_voted").alias("span")).select("span.*")
     kept = list(dict.fromkeys(LABELERS + FEATURES))
     return trained(spans.groupBy(*kept).agg(F.count("*").alias("n")).collect())
 
 
-def with_findings(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``_base`` and ``_spans``: the base findings, and these with the added ones, by kind and start."""
-    model = learned(docs, text)
-    found = with_spans(docs, text)
-    if model is None:
-        return found.withColumn("_spans", F.col("_base"))
-    whole = F.coalesce(F.col(text), F.lit(""))
-    judged = F.filter(voted(F.col("_candidates"), F.col("_base"), whole), model.accepts)
-    added = F.when(F.size("_candidates") > 0, judged)
+def with_findings(docs: DataFrame, text: str = "text", carried: tuple[str, ...] = (), names: tuple[str, ...] = GIVEN_NAMES) -> DataFrame:
+    """The carried columns with ``_base`` and ``_spans``: the base findings, and these with the added ones, by kind and start.
+
+    ``names`` is the list of given names the gazetteer begins with.
+    """
+    found = written(searched(docs, text).select(*carried, "_voted"), "spans")
+    found = with_gazetteer(found, list(dict.fromkeys([*names, *gazetteer(found)])))
+    model = learned(found)
     as_span = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-    nothing = F.array().cast("array<struct<kind:int,start:int,end:int>>")
-    return found.withColumn(
-        "_spans", F.concat(F.transform("_base", as_span), F.coalesce(F.transform(added, as_span), nothing))
+    is_base = lambda s: s["kind"] < len(BASE_KINDS)
+    is_kept = is_base if model is None else lambda s: is_base(s) | model.accepts(s)
+    return found.select(
+        *carried,
+        F.transform(F.filter("_voted", is_base), as_span).alias("_base"),
+        F.transform(F.filter("_voted", is_kept), as_span).alias("_spans"),
     )
 
 
@@ -258,7 +301,7 @@ def joined(spans: str) -> Column:
 
 def personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: how many base findings of each kind, the digest of their places, and the places of all findings."""
-    found = with_findings(docs.select(key, text), text)
+    found = with_findings(docs.select(key, text), text, (key,))
     kinds = F.transform("_base", lambda span: span["kind"])
     counts = [
         (F.size("_base") - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(BASE_KINDS)
@@ -268,7 +311,7 @@ def personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
 def masked(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with every finding in the text replaced by its kind in angle brackets; findings that meet become one."""
-    found = with_findings(docs.select(F.struct("*").alias("_row"), text), text)
+    found = with_findings(docs.select(F.struct("*").alias("_row"), text), text, ("_row", text))
     names = F.array(*(F.lit(f"<{kind.upper()}>") for kind in KINDS))
     by_start = F.array_sort(
         F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))

@@ -91,3 +91,57 @@ def test_odd_rows_and_the_plan(spark, folder, odd_documents, no_documents):
     assert personal.personal_data(no_documents).collect() == [] == personal.masked(no_documents).collect()
     plan = plan_of(op9_personal_data(spark, folder))
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def planted(seed=5):
+    """Texts with labelled spans: personal data of every added kind in its usual surroundings, and look-alikes that are none."""
+    r = random.Random(seed)
+    given = ["Olga", "Tariq", "Ines", "Bjorn", "Keiko", "Luca", "Nadia", "Emil"]
+    family = ["Olsen", "Haddad", "Rossi", "Tanaka", "Novak", "Larsen", "Costa", "Weber"]
+    filler = "the report was read by all and filed in the usual place".split()
+    good = {
+        "name": lambda: (r.choice(["Dear ", "signed by ", "contact "]), f"{r.choice(['Mr.', 'Mrs.', 'Dr.'])} {r.choice(given)} {r.choice(family)}"),
+        "id_number": lambda: (r.choice(["SSN ", "social security no. "]), f"{r.randint(100, 899)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}"),
+        "date": lambda: (r.choice(["born on ", "birth date "]), f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1940, 2005)}"),
+        "local_phone": lambda: (r.choice(["call ", "phone ", "mobile "]), f"({r.randint(200, 989)}) {r.randint(200, 989)}-{r.randint(1000, 9999)}"),
+    }
+    bad = {
+        "date": lambda: (r.choice(["version ", "edition of ", "published "]), f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1990, 2024)}"),
+        "id_number": lambda: (r.choice(["invoice ", "order ", "item "]), f"{r.randint(100, 899)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}"),
+        "local_phone": lambda: (r.choice(["ticket ", "build ", "page "]), "000-000-0000"),
+    }
+    texts, labels = {}, {}
+    for doc in range(600):
+        text, spans = "", set()
+        words = lambda: " ".join(r.choices(filler, k=r.randint(45, 60))) + " "
+        if doc % 2:  # a letter, with an address
+            text += f"{r.choice(given).lower()}.{r.choice(family).lower()}{doc}@mail{doc % 7}.example.com "
+        for _ in range(2):
+            kind = r.choice(list(good if doc % 2 else bad))
+            before, found = (good if doc % 2 else bad)[kind]()
+            text += before
+            if doc % 2:
+                spans.add((kind, len(text), len(text) + len(found)))
+            text += found + (" " if doc % 2 else " ; ") + ("" if doc % 2 else words())
+        texts[doc], labels[doc] = text + words(), spans
+    return texts, labels
+
+
+def test_added_spans_of_planted_data_are_right_and_complete(spark):
+    texts, labels = planted()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    right = added = wanted = 0
+    for row in personal.personal_data(docs).collect():
+        spans = {(k, int(a), int(b)) for k, a, b in (s.split(":") for s in row.spans.split(",") if s) if k in personal.ADDED_KINDS}
+        right, added, wanted = right + len(spans & labels[row.doc_id]), added + len(spans), wanted + len(labels[row.doc_id])
+    assert added and right / added > 0.95 and right / wanted > 0.9
+
+
+def test_the_gazetteer_comes_from_a_list_and_from_mail_addresses(spark):
+    texts = [f"olga.n{i}@a.example.com, then bjorn_{i}@b.example.com" for i in range(3)] + ["tariq@a.example.com", "Dr. Olga Nobody", "Mr. Some One", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = personal.searched(docs)
+    names = personal.gazetteer(found)
+    assert names == ["bjorn", "olga"]
+    votes = {r.doc_id: [s.gazetteer for s in r._voted] for r in personal.with_gazetteer(found, names).collect()}
+    assert votes[4] == [1] and votes[5] == [0] and votes[0] == [0, 0] and votes[6] == []
