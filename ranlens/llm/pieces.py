@@ -36,7 +36,7 @@ from ranlens.llm.common import mapped, sha256, slices, tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
 #: What a worker remembers: words with at most WORD_CHARS characters, and answers on pairs.
-CACHE_WORDS, WORD_CHARS, CACHE_PAIRS = 200_000, 64, 1_000_000
+CACHE_WORDS, WORD_CHARS, CACHE_PAIRS = 400_000, 64, 1_000_000
 #: The mark of a space, in texts and in pieces.
 SPACE = "▁"
 UNKNOWN_BYTES = "�"
@@ -52,6 +52,7 @@ class Pieces:
         special = {i for i in range(size) if model.is_byte(i) or model.is_control(i) or model.is_unknown(i)}
         self.names = {i: model.id_to_piece(i) for i in range(size)}
         self.ids = {name: i for i, name in self.names.items() if i not in special}
+        self.lengths = {i: len(name) for name, i in self.ids.items()}
         self.scores = {name: model.get_score(i) for name, i in self.ids.items()}
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         longer = {c for name in self.ids if len(name) > 1 for c in name}
@@ -62,11 +63,11 @@ class Pieces:
         alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in longer)
         self.cut = re.compile(f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+")
         self.automaton = ahocorasick.Automaton()
-        for name in self.ids:
-            self.automaton.add_word(name, name)
+        for name, i in self.ids.items():
+            self.automaton.add_word(name, (len(name), i))
         self.automaton.make_automaton()
         self.words: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.splits: dict[str, tuple[str, str] | None] = {}
         self.edges: dict[tuple[str, int], list[str] | None] = {}
         # What an id adds to the decoded bytes; control ids add nothing.
@@ -128,16 +129,16 @@ class Pieces:
         The rule makes both side by side, each by its own joins from the best rank downward, unless it joins what
         meets at the border before one of the two grows there. Pieces made otherwise are put to the rule itself.
         """
-        answer = self.pairs.get((before, piece))
-        if answer is None:
-            if len(self.pairs) >= CACHE_PAIRS:
-                self.pairs.clear()
-            left, right = self.edge(before, 1) if before else None, self.edge(piece, 0)
-            if left is None or right is None:
-                answer = self.merged(before + piece) == ([before, piece] if before else [piece])
-            else:
-                answer = self.apart(left, right)
-            self.pairs[before, piece] = answer
+        left, right = self.edge(before, 1) if before else None, self.edge(piece, 0)
+        if left is None or right is None:
+            return self.merged(before + piece) == ([before, piece] if before else [piece])
+        return self.apart(left, right)
+
+    def remembered(self, key: int, before: int, piece: int) -> bool:
+        """The answer on a pair of ids, kept under its key."""
+        if len(self.pairs) >= CACHE_PAIRS:
+            self.pairs.clear()
+        answer = self.pairs[key] = self.compatible(self.names[before] if before >= 0 else "", self.names[piece])
         return answer
 
     def apart(self, left: list[str], right: list[str]) -> bool:
@@ -157,17 +158,18 @@ class Pieces:
             else:
                 j += 1
 
-    def last_tokens(self, word: str) -> list[str]:
-        """For each prefix of the word, by its length, the last token of its encoding; "" after a character without a piece."""
-        last = [""] * (len(word) + 1)
-        pairs, compatible = self.pairs, self.compatible
-        for at, piece in self.automaton.iter(word):
+    def last_tokens(self, word: str) -> list[int]:
+        """For each prefix of the word, by its length, the id of the last token of its encoding; -1 after a character without a piece."""
+        last = [-1] * (len(word) + 1)
+        known, remembered = self.pairs.get, self.remembered
+        for at, (length, piece) in self.automaton.iter(word):
             at += 1
-            if not last[at]:
+            if last[at] < 0:
                 # Nothing joins a character that has no piece: what follows it begins anew.
-                before = last[at - len(piece)]
-                answer = pairs.get((before, piece))
-                if compatible(before, piece) if answer is None else answer:
+                before = last[at - length]
+                key = (before + 1 << 24) + piece
+                answer = known(key)
+                if remembered(key, before, piece) if answer is None else answer:
                     last[at] = piece
         return last
 
@@ -176,9 +178,14 @@ class Pieces:
         last, at, found = self.last_tokens(word), len(word), []
         while at:
             piece = last[at]
-            found += [self.ids[piece]] if piece else [self.byte_ids[b] for b in reversed(word[at - 1].encode())]
-            at -= len(piece) or 1
-        return tuple(reversed(found))
+            if piece >= 0:
+                found.append(piece)
+                at -= self.lengths[piece]
+            else:
+                found += [self.byte_ids[b] for b in reversed(word[at - 1].encode())]
+                at -= 1
+        found.reverse()
+        return tuple(found)
 
     def encode(self, text: str, end: bool = True) -> list[int]:
         found: list[int] = []
