@@ -12,7 +12,7 @@ from ranlens.functions.sql import register_functions
 from ranlens.operators.silver import bronze_to_silver
 from ranlens.operators.violations import sla_violations, with_table_breach
 from ranlens.operators.windows import cell_kpis, slice_kpis
-from ranlens.plans import dashboard, network, quality
+from ranlens.plans import dashboard, network, quality, rollup_reports
 from ranlens.plans.layers import Layers
 from ranlens.session import shared_folder, use_settings
 from checks.event_log import bronze_from_log
@@ -219,4 +219,13 @@ def catalog() -> dict[str, Query]:
         dashboard.urllc_latency_gauge,
     ):
         named[report.__name__] = _looking_back(report)
+    for report in (
+        rollup_reports.event_rate_recent,
+        rollup_reports.sla_scorecard,
+        rollup_reports.cell_signal_quality,
+        rollup_reports.anomaly_rate_recent,
+        rollup_reports.rb_utilisation,
+        rollup_reports.breach_leaderboard,
+    ):
+        named[f"rollup_{report.__name__}"] = _looking_back(report)
     return named

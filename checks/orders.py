@@ -40,7 +40,10 @@ ORDERS = {
     "alert_counts": ["cell_id"],
     "range_expectations": ["rule"],
     "parse_failures": ["column_name"],
+    "payload_failures": ["failure"],
 }
+ORDERS |= {f"rollup_{name}": ORDERS[name] for name in ("event_rate_recent", "sla_scorecard", "cell_signal_quality", "anomaly_rate_recent")}
+ORDERS |= {f"rollup_{name}": ORDERS[name] for name in ("rb_utilisation", "breach_leaderboard")}
 
 
 def _compared(one: object, other: object) -> int:

@@ -6,14 +6,23 @@ from collections.abc import Callable
 from datetime import datetime
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ranlens.operators.rollups import minute_rollup
 from ranlens.operators.silver import bronze_to_silver
 from ranlens.operators.violations import sla_violations
 from ranlens.operators.windows import cell_kpis, slice_kpis
+from ranlens.settings import WATERMARK_DELAY
 from ranlens.sources.tables import TABLES, read_table, register_views
 
 
+def closed_minutes(silver: DataFrame) -> DataFrame:
+    """The roll-up as a stream has it: the minutes that the newest event has closed."""
+    newest = silver.agg(F.max("event_timestamp")).scalar()
+    ends = F.col("minute") + F.expr("INTERVAL 1 MINUTE")
+    return minute_rollup(silver).filter(ends <= newest - F.expr(f"INTERVAL {WATERMARK_DELAY}"))
+
+
 class Layers:
     """Bronze, silver and gold DataFrames, each built when first asked for."""
 
@@ -29,6 +38,7 @@ class Layers:
             "silver": lambda: bronze_to_silver(bronze),
             "cell_kpis": lambda: cell_kpis(layers.silver),
             "slice_kpis": lambda: slice_kpis(layers.silver),
+            "minute_rollup": lambda: closed_minutes(layers.silver),
             "sla_violations": lambda: sla_violations(layers.silver, detected_at),
         }
         return layers
@@ -63,6 +73,10 @@ class Layers:
     def slice_kpis(self) -> DataFrame:
         return self._build["slice_kpis"]()
 
+    @cached_property
+    def minute_rollup(self) -> DataFrame:
+        return self._build["minute_rollup"]()
+
     @cached_property
     def violations(self) -> DataFrame:
         return self._build["sla_violations"]()

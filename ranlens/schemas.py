@@ -77,6 +77,23 @@ CELL_KPIS = _schema(
     ("anomaly_count", COUNT, False),
 )
 
+MINUTE_ROLLUP = _schema(
+    ("minute", TIME, False),
+    ("slice_type", TEXT, True),
+    ("cell_id", TEXT, False),
+    ("gnb_id", TEXT, False),
+    ("events", COUNT, False),
+    *(
+        column
+        for name in ("score", "rsrp_dbm", "sinr_db", "cqi", "latency_ms", "rb_utilization_pct")
+        for column in ((f"{name}_sum", REAL, True), (f"{name}_count", COUNT, False))
+    ),
+    *(column for name in ("sla_breach", "is_anomaly") for column in ((f"{name}_set", COUNT, False), (f"{name}_count", COUNT, False))),
+    ("earliest_event", TIME, False),
+    ("latest_event", TIME, False),
+    ("ues", T.BinaryType(), False),
+)
+
 SLICE_KPIS = _schema(
     ("window_start", TIME, False),
     ("window_end", TIME, False),

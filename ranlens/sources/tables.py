@@ -57,6 +57,7 @@ TABLES = {
     ),
     "cell_kpis": TableSpec(schemas.CELL_KPIS, ("window_date",), "window_end", "Windowed KPIs per cell"),
     "slice_kpis": TableSpec(schemas.SLICE_KPIS, ("window_date",), "window_end", "Windowed KPIs per slice"),
+    "minute_rollup": TableSpec(schemas.MINUTE_ROLLUP, ("window_date",), "minute", "Sums, counts and sketches per minute and cell"),
     "sla_violations": TableSpec(
         schemas.SLA_VIOLATIONS, ("detected_date",), "detected_at", "One row per breached KPI"
     ),
@@ -69,6 +70,7 @@ TABLES_BY_KEY = {
     "silver": TableSpec(schemas.SILVER, ("slice_type",), comment=TABLES["silver"].comment),
     "cell_kpis": TableSpec(schemas.CELL_KPIS, ("cell_id",), comment=TABLES["cell_kpis"].comment),
     "slice_kpis": TableSpec(schemas.SLICE_KPIS, ("slice_type",), comment=TABLES["slice_kpis"].comment),
+    "minute_rollup": TABLES["minute_rollup"],
     "sla_violations": TableSpec(schemas.SLA_VIOLATIONS, comment=TABLES["sla_violations"].comment),
 }
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ranlens.functions.timing import utc_date
+from ranlens.operators.rollups import minute_rollup
 from ranlens.operators.silver import bronze_to_silver
 from ranlens.operators.violations import sla_violations
 from ranlens.operators.windows import cell_kpis, slice_kpis
@@ -163,6 +164,10 @@ class Medallion:
         """
         return [self.start(table, self._gold_after(table, since), trigger) for table in GOLD]
 
+    def start_rollup(self, trigger: str | None = TRIGGER_INTERVAL) -> StreamingQuery:
+        """Silver to the minute roll-up."""
+        return self.start("minute_rollup", minute_rollup(observed_rows(self.stream("silver"))), trigger)
+
     def hand_off(self) -> Position:
         """Where the back-fill ends and the streams begin: by the writes silver has, not by the time of their events.
 

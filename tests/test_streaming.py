@@ -10,15 +10,17 @@ from ranlens.operators.silver import bronze_to_silver
 from ranlens.operators.violations import sla_violations, with_table_breach
 from ranlens.operators.windows import cell_kpis, slice_kpis
 from ranlens.session import shared_folder
+from ranlens.operators.rollups import minute_rollup
+from ranlens.plans import dashboard, network, rollup_reports
 from ranlens.plans.layers import Layers
 from ranlens.sources.payloads import events_of, failures_of, judged_payload, parse_payload, stream_json_dir
 from ranlens.sources.tables import TABLES, WRITE, append, read_table, stream_table, write_batch
 from checks.catalog import catalog, messages_from_log
 from ranlens.sources.writes import Write
 from ranlens.streaming.late import lateness
-from ranlens.streaming.monitor import progress_frame, rows_read, stop_all
+from ranlens.streaming.monitor import ProgressHistory, progress_frame, rows_read, stop_all
 from ranlens.streaming.pipelines import Medallion, observed_ingest, start_append
-from tests.conftest import rows, written
+from tests.conftest import plan_of, rows, written
 
 NOON = datetime.datetime(2024, 1, 1, 12)
 
@@ -175,6 +177,62 @@ def test_running_streams_report_progress_and_stop(spark, layers, bronze_dir, tmp
     assert progress_frame(spark).count() == 0 and not spark.streams.active
 
 
+def test_the_progress_of_every_batch_is_kept(spark, layers, tmp_path):
+    history = ProgressHistory(spark, str(tmp_path / "history"), rows=3)
+    medallion = Medallion(spark, str(tmp_path / "tables"), str(tmp_path / "checkpoints"), max_files_per_trigger=1)
+    medallion.create_tables()
+    parts_in_time_order(layers.bronze, "event_timestamp", tmp_path / "in")
+    queries = [medallion.start_silver(stream_table(spark, str(tmp_path / "in"), schemas.BRONZE, max_files_per_trigger=1), None)]
+    queries[0].awaitTermination()
+    for query in medallion.start_gold(trigger=None):
+        query.awaitTermination()
+        queries.append(query)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    history.close()
+    found = history.read()
+    assert {r["query"] for r in found.select("query").distinct().collect()} == {"silver", "cell_kpis", "slice_kpis", "sla_violations"}
+    for query in queries:
+        own = found.where(F.col("query_id") == query.id)
+        kept = {r.batch_id: r.processed_rows for r in own.collect()}
+        assert kept == {p["batchId"]: rows_read(p) for p in query.recentProgress}
+        assert sum(kept.values()) == (layers.bronze if query.name == "silver" else layers.silver).count()
+
+
+def test_the_rolled_up_minutes_of_a_stream_give_the_direct_reports(spark, layers, tmp_path):
+    medallion = Medallion(spark, str(tmp_path / "tables"), str(tmp_path / "checkpoints"))
+    medallion.create_tables()
+    append(layers.silver, medallion.path("silver"), TABLES["silver"])
+    medallion.start_rollup(trigger=None).awaitTermination()
+    tables = Layers.from_tables(spark, medallion.base)
+    newest = layers.silver.agg(F.max("event_timestamp")).first()[0]
+    assert tables.minute_rollup.count() == layers.minute_rollup.count() > 0
+    for name in ("event_rate_recent", "sla_scorecard", "cell_signal_quality", "anomaly_rate_recent", "breach_leaderboard"):
+        for as_of in (newest, newest.replace(second=0, microsecond=0), newest + datetime.timedelta(minutes=90)):
+            report = getattr(rollup_reports, name)(tables, as_of)
+            assert rows(report) == rows(getattr(dashboard, name)(layers, as_of)), (name, as_of)
+    plan = plan_of(rollup_reports.sla_scorecard(tables, newest))
+    assert "event_timestamp" in plan[plan.index("PushedFilters"):] and "event_date" in plan[plan.index("PartitionFilters"):]
+
+
+def test_long_periods_are_told_from_sketches_alone(spark, layers):
+    found = {r.slice_type: r for r in rollup_reports.slice_overview(layers).collect()}
+    ends = F.window("event_timestamp", "1 minute").end
+    newest = layers.silver.agg(F.max("event_timestamp")).first()[0]
+    exact = network.network_overview(Layers({"silver": lambda: layers.silver.where(ends <= F.lit(newest) - F.expr("INTERVAL 30 SECONDS"))}))
+    for row in exact.collect():
+        own = found.pop(row.slice_type)
+        assert (own.total_events, own.anomaly_rate_pct, own.unique_cells) == (row.total_events, row.anomaly_rate_pct, row.unique_cells)
+        assert (own.earliest_event, own.latest_event) == (row.earliest_event, row.latest_event)
+        assert abs(own.unique_ues - row.unique_ues) <= 0.02 * row.unique_ues
+    assert not found
+    many = spark.range(200_000).selectExpr(
+        "timestamp_seconds(id % 600) AS event_timestamp", "cast(id % 50000 AS string) AS ue_id", "'s' AS slice_type", "'c' AS cell_id",
+        "'g' AS gnb_id", "-90D AS rsrp_dbm", "1D AS sinr_db", "7 AS cqi", "1D AS latency_ms", "2D AS rb_utilization_pct",
+        "'Good' AS signal_quality_class", "false AS sla_breach", "false AS is_anomaly")
+    rolled = Layers({"minute_rollup": lambda: minute_rollup(many)})
+    assert abs(rollup_reports.slice_overview(rolled).first().unique_ues - 50_000) < 0.02 * 50_000
+
+
 def test_all_four_streams_run_together(spark, layers, tmp_path):
     medallion = Medallion(spark, str(tmp_path / "tables"), str(tmp_path / "checkpoints"))
     medallion.create_tables()
