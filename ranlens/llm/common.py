@@ -41,12 +41,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once as a Parquet table in the folder all executors share, and read from there.
 
     This cuts the lineage: a lost executor costs no more than the tasks it held. The tables of an
-    application lie in one folder named after it, which may be deleted when the application has ended.
+    application lie in one folder named after it. ``superseded`` removes one that a later round replaces, and
+    ``remove_tables`` all of them, once the results that read them are stored.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{tables_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def tables_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/llm/{spark.sparkContext.applicationId}"
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def superseded(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` gave and that nothing reads any more."""
+    for table in tables:
+        removed(table.sparkSession, table._written_to)
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Remove all tables that operators of this application wrote for themselves; results not stored by then are lost."""
+    removed(spark, tables_folder(spark))
 
 
 def ship(spark: SparkSession) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ranlens.llm.common import written
+from ranlens.llm.common import superseded, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,6 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     labels = written(
         both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("label")), "labels"
     )
+    held = labels
     while True:
         beside = both.join(labels, both["y"] == labels["node"]).groupBy("x").agg(F.min("label").alias("beside"))
         nearer = labels.join(beside, labels["node"] == beside["x"]).select(
@@ -30,6 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         moved = written(
             nearer.join(of_label, "near", "left").select("node", "was", F.least("near", F.coalesce("next", "near")).alias("label")), "labels"
         )
-        labels = moved.select("node", "label")
+        superseded(held)
+        held, labels = moved, moved.select("node", "label")
         if moved.where("label <> was").isEmpty():
+            superseded(both)
             return labels

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ranlens.llm.common import WORD_PATTERN, written
+from ranlens.llm.common import WORD_PATTERN, superseded, written
 
 #: Weights of the sources in turn.
 WEIGHTS = (5, 2, 1)
@@ -106,7 +106,8 @@ def filling(placed: DataFrame, gaps: DataFrame) -> DataFrame:
             .where(F.col("start") < F.col("gap"))
             .select("rank", "bucket", "start")
         )
-        summed = fitting.join(written(starts, "starts"), ["rank", "bucket"]).withColumn(
+        starts = written(starts, "starts")
+        summed = fitting.join(starts, ["rank", "bucket"]).withColumn(
             "end", F.col("start") + F.sum("size").over(within)
         )
         fits = F.col("end") <= F.col("gap")
@@ -119,13 +120,16 @@ def filling(placed: DataFrame, gaps: DataFrame) -> DataFrame:
             "round",
         )
         steps.append(step)
+        superseded(starts)
         going = step.where(F.col("crossing").isNotNull() & (F.col("filled") < F.col("gap")))
         if going.isEmpty():
             break
         pending = written(going.select("rank", (F.col("gap") - F.col("filled")).alias("gap"), F.col("crossing").alias("after")), "gaps")
         # What a round passes over or finds too long never fits again.
         behind = rest.join(pending, "rank").where((F.col("place") > F.col("after")) & (F.col("size") <= F.col("gap")))
-        rest = written(behind.select("rank", "bucket", "place", "size"), "rest")
+        before, rest = rest, written(behind.select("rank", "bucket", "place", "size"), "rest")
+        if len(steps) > 1:  # the first is all documents, which are needed to the end
+            superseded(before)
     every = steps[0].withColumn("round", F.lit(0))
     for i, step in enumerate(steps[1:], 1):
         every = every.unionByName(step.withColumn("round", F.lit(i)))

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ranlens.llm.common import mapped, sha256, written
+from ranlens.llm.common import mapped, sha256, superseded, written
 
 #: Turns of a segment, and segments of a block (at each level) when contexts are made.
 WIDTH = 32
@@ -376,7 +376,7 @@ def under_contexts(segs: DataFrame, width: int) -> DataFrame:
             F.sum("n_leaves").alias("owed_leaves"), F.sum("saved").alias("owed_saved")
         )
         joined = totals.join(owed, ["seg", "ctx"], "left")
-        totals = written(
+        before, totals = totals, written(
             joined.select(
                 "seg",
                 "ctx",
@@ -386,6 +386,7 @@ def under_contexts(segs: DataFrame, width: int) -> DataFrame:
             ),
             "totals",
         )
+        superseded(before)
         step *= 2
     return totals
 
