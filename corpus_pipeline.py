@@ -6,6 +6,11 @@ those without a letter only), the near-duplicate stage leaves one document
 of each class, the personal-data stage masks what it finds (and counts the characters anew), and the mix
 repeats whole documents or leaves them out. The last returns the ids of the tokens of every text.
 
+Documents whose text is null, or has no letter, have no language and go in the first stage. A null language or source is a value
+like others: such a row teaches the language stage nothing, and the mix has it in a source of its own, the last. A null
+doc_id stays null through all stages. Rows alike in id and text are one near-duplicate class of which one stays. Texts of any
+length are whole in every stage. Columns beside those of documents are not carried. An empty table gives no rows.
+
 SQL cannot express the stages, so ORACLE_SQL is None; tests hold the rows against a plain version.
 """
 
