@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry_module
@@ -76,9 +77,30 @@ def test_the_registered_query_runs_all_stages(spark, folder, stages):
     assert Counter((r.doc_id, tuple(r.ids)) for r in rows) == Counter((r.doc_id, tuple(r.ids)) for r in stages[5])
 
 
-def test_stages_stand_odd_and_empty_tables(spark, folder, odd_documents, no_documents):
-    for docs in (odd_documents, no_documents):
-        for name, stage in corpus_pipeline.STAGES:
-            docs = written(stage(spark, docs, folder), name)
-    assert docs.columns == ["doc_id", "ids"]
+def run_stages(spark, docs, folder):
+    found = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, folder), name)
+        found.append(docs.collect())
+        assert docs.columns == (list(corpus_pipeline.COLUMNS) if name != "encode" else ["doc_id", "ids"])
+    return found
+
+
+def test_stages_give_odd_rows_what_the_docstring_says(spark, folder, documents, odd_documents):
+    odd = odd_documents.select(*corpus_pipeline.COLUMNS)
+    docs = documents.where("lang IS NOT NULL").limit(150).select((F.col("doc_id") + 1_000).alias("doc_id"), *corpus_pipeline.COLUMNS[1:])
+    told, single, masked, mixed, ids = run_stages(spark, docs.unionByName(odd).withColumn("spans", F.lit("extra")), folder)
+    of = lambda rows: [r for r in rows if r.doc_id is None or r.doc_id < 1_000]
+    assert {r.doc_id for r in of(told)} <= {1, None, 5, 6} and {1, None} <= {r.doc_id for r in of(told)}
+    assert Counter(r.doc_id for r in of(told))[1] == 2 and Counter(r.doc_id for r in of(single))[1] == 1
+    assert Counter(told)[of(told)[0]] >= 1 and not Counter(single) - Counter(told)
+    text = next(r.text for r in masked if r.doc_id is None)
+    assert text == "a text without an id, but with a mail <EMAIL>"
+    long = {r.doc_id: len(r.text) for r in masked if r.doc_id == 5}
+    assert all(n == len("der lange text hat viele worte " * 4_000) for n in long.values())
+    assert set(mixed) <= set(masked) and Counter(r.doc_id for r in ids) == Counter(r.doc_id for r in mixed)
+
+
+def test_empty_tables_give_no_rows(spark, folder, no_documents):
+    assert run_stages(spark, no_documents, folder) == [[]] * 5
     assert language.UNKNOWN == "und"
