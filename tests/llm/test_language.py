@@ -1,4 +1,7 @@
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -89,3 +92,77 @@ def test_losses_are_those_of_the_codewords(monkeypatch):
     best, score = model.decode(margins)
     assert score == pytest.approx(1 - losses[:, 0] / losses[:, 1])
     assert [(model.reliability * np.exp(-code[b] * m)).sum() for b, m in zip(best, margins)] == pytest.approx(losses[:, 0])
+
+
+def plain_grams(text):
+    """The buckets of a text's n-grams, counted one by one."""
+    gaps = "".join(c if c.isalpha() else " " for c in text.lower())
+    if not gaps.strip():
+        return Counter()
+    points = [ord(c) for c in " " + re.sub(" +", " ", gaps.strip()) + " "]
+    if not gaps[-1].isalpha():
+        points.append(32)
+    points = ([32] if not gaps[0].isalpha() else []) + points
+    low, found = (1 << 32) - 1, Counter()
+    for i, c in enumerate(points):
+        one = c * 2654435761
+        hashes = [one]
+        if i:
+            two = points[i - 1] * 2654435761 * 31 + c * 2246822519
+            hashes.append(two)
+            if i > 1:
+                hashes.append((points[i - 2] * 2654435761 * 31 + points[i - 1] * 2246822519) * 37 + c * 3266489917)
+        for h in hashes:
+            h &= low
+            found[(((h ^ (h >> 15)) * 2246822519) & low) >> 18] += 1
+    return found
+
+
+def plain_model(sample, code):
+    """Weights, scales and reliabilities of each bit as dictionaries and lists, from (language, text, measured) rows."""
+    languages = sorted({name for name, text, measured in sample if not measured and plain_grams(text)})
+    shares = {}
+    for name in languages:
+        total = Counter()
+        for own, text, measured in sample:
+            if own == name and not measured:
+                total += plain_grams(text)
+        shares[name] = {g: n / total.total() for g, n in total.items()}
+    bits, grams = range(code.shape[1]), set().union(*shares.values())
+
+    def share(gram, bit, value):
+        own = [shares[name].get(gram, 0.0) for i, name in enumerate(languages) if code[i][bit] == value]
+        return sum(own) / len(own)
+
+    smooth = 0.1 / language.BUCKETS
+    weights = {g: [math.log(share(g, b, 1) + smooth) - math.log(share(g, b, -1) + smooth) for b in bits] for g in grams}
+
+    def margins(text):
+        found = plain_grams(text)
+        return [sum(n * weights[g][b] for g, n in found.items() if g in weights) / found.total() for b in bits]
+
+    measured = [(languages.index(name), margins(text)) for name, text, kept in sample if kept and plain_grams(text)]
+    scale = [2 / max(float(np.median([abs(m[b]) for _, m in measured])), 1e-6) for b in bits]
+    right = [min(0.999, max(0.5, sum(code[i][b] * m[b] > 0 for i, m in measured) / len(measured))) for b in bits]
+    reliability = [math.log(p / (1.001 - p)) + 0.01 for p in right]
+
+    def decoded(text):
+        if not plain_grams(text or ""):
+            return "und", 0.0
+        signed = [min(8.0, max(-8.0, m * s)) for m, s in zip(margins(text), scale)]
+        losses = [sum(reliability[b] * math.exp(-code[i][b] * signed[b]) for b in bits) for i in range(len(languages))]
+        least, second = sorted(losses)[:2]
+        return languages[losses.index(least)], 1 - least / second
+
+    return decoded
+
+
+def test_predictions_equal_a_plain_version(documents):
+    docs = documents.select("doc_id", "text", "lang")
+    sample = [(r.language, r.text, r.measure) for r in language.training_sample(docs, "text", "doc_id", "lang").collect()]
+    model = language.learned(docs)
+    decoded = plain_model(sample, model.code)
+    for row in language.predictions(docs, model, carried=("doc_id", "text")).collect():
+        name, score = decoded(row.text)
+        assert row.score == pytest.approx(score, abs=1e-3)
+        assert row.lang_pred == name or score < 1e-3
