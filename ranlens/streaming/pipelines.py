@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ranlens.functions.timing import utc_date
+from ranlens.operators.latest import latest_per_key
 from ranlens.operators.rollups import minute_rollup
 from ranlens.operators.silver import bronze_to_silver
 from ranlens.operators.violations import sla_violations
@@ -29,6 +30,8 @@ GOLD: dict[str, Callable[[DataFrame], DataFrame]] = {
     "sla_violations": sla_violations,
 }
 
+LATEST_CELLS = TableSpec(TABLES["cell_kpis"].schema, comment="The newest closed window of each cell")
+
 
 def as_timedelta(interval: str) -> timedelta:
     """A number and a unit, as in the settings of windows and delays."""
@@ -78,7 +81,7 @@ def start_append(
 
 
 def _start(
-    df: DataFrame, name: str, checkpoint: str, trigger: str | None, put: Callable[[DataFrame, str], None]
+    df: DataFrame, name: str, checkpoint: str, trigger: str | None, put: Callable[[DataFrame, str], None], mode: str = "append"
 ) -> StreamingQuery:
     """Start a stream whose batches are ``put`` under a name each, which is the same when a batch runs again."""
     identity: Future[str] = Future()
@@ -86,7 +89,7 @@ def _start(
     def write(batch: DataFrame, batch_id: int) -> None:
         put(batch, f"{name}-{identity.result()}-{batch_id}")
 
-    stream = df.writeStream.outputMode("append").queryName(name).option("checkpointLocation", checkpoint).foreachBatch(write)
+    stream = df.writeStream.outputMode(mode).queryName(name).option("checkpointLocation", checkpoint).foreachBatch(write)
     stream = stream.trigger(processingTime=trigger) if trigger else stream.trigger(availableNow=True)
     query = stream.start()
     identity.set_result(query.id)
@@ -168,6 +171,28 @@ class Medallion:
         """Silver to the minute roll-up."""
         return self.start("minute_rollup", minute_rollup(observed_rows(self.stream("silver"))), trigger)
 
+    def start_latest_cells(self, trigger: str | None = TRIGGER_INTERVAL) -> StreamingQuery:
+        """The gold cell table to ``latest_cells``: a cell's row again whenever a newer window of it closes.
+
+        The state is one row per cell and base station, and a batch writes the cells that changed.
+        """
+        spec = self.tables["cell_kpis"]
+        newest = F.max_by(F.struct(*spec.schema.names), "window_end").alias("row")
+        rows = self.stream("cell_kpis").groupBy("cell_id", "gnb_id").agg(newest).select("row.*")
+        checkpoint = f"{self.checkpoints}/latest_cells" if self.checkpoints else default_checkpoint(self.spark, "latest_cells", self.path("latest_cells"))
+
+        def put(batch: DataFrame, write: str) -> None:
+            write_batch(batch, self.path("latest_cells"), write, LATEST_CELLS, self.fmt)
+
+        return _start(rows, "latest_cells", checkpoint, trigger, put, "update")
+
+    def latest_cells(self) -> DataFrame:
+        """The rows of each cell's newest closed window, from what the stream kept of them."""
+        kept = read_table(self.spark, self.path("latest_cells"), LATEST_CELLS.scan_schema, self.fmt)
+        # A batch with an older window of a cell only gives the cell's row once more.
+        newest = latest_per_key(kept.select(*LATEST_CELLS.schema.names), ["cell_id"], "window_end")
+        return newest.dropDuplicates(["cell_id", "gnb_id", "window_end"])
+
     def hand_off(self) -> Position:
         """Where the back-fill ends and the streams begin: by the writes silver has, not by the time of their events.
 

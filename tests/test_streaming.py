@@ -233,6 +233,21 @@ def test_long_periods_are_told_from_sketches_alone(spark, layers):
     assert abs(rollup_reports.slice_overview(rolled).first().unique_ues - 50_000) < 0.02 * 50_000
 
 
+def test_the_newest_window_of_each_cell_is_kept_by_a_stream(spark, layers, tmp_path):
+    medallion = Medallion(spark, str(tmp_path / "tables"), str(tmp_path / "checkpoints"))
+    medallion.create_tables()
+    seconds = F.unix_seconds("window_end")
+    parts = [layers.cell_kpis.where(seconds % 180 == rest) for rest in (60, 0, 120)]  # the last is not the newest
+    for part in (*parts, layers.cell_kpis.where(seconds % 60 != 0)):
+        append(part, medallion.path("cell_kpis"), TABLES["cell_kpis"])
+        medallion.start_latest_cells(trigger=None).awaitTermination()  # goes on from its checkpoint
+        direct = network.latest_cell_kpis(Layers.from_tables(spark, medallion.base))
+        kept = network.latest_cell_kpis(Layers({"cell_kpis": medallion.latest_cells}))
+        assert rows(kept) == rows(direct) and direct.count() > 0
+    written_rows = spark.read.parquet(medallion.path("latest_cells")).count()
+    assert written_rows < layers.cell_kpis.count()
+
+
 def test_all_four_streams_run_together(spark, layers, tmp_path):
     medallion = Medallion(spark, str(tmp_path / "tables"), str(tmp_path / "checkpoints"))
     medallion.create_tables()
