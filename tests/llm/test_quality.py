@@ -1,7 +1,9 @@
+import math
 import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from ranlens.llm import quality
 from ranlens.llm.catalog import op4_quality_rules
@@ -72,3 +74,37 @@ def test_labels_may_be_null_repeated_or_of_unknown_ids(spark, odd_documents):
     schema = "doc_id long, quality int, text string"
     labels = spark.createDataFrame([(1, 1, "x"), (1, 0, "x"), (5, None, None), (None, 1, "y"), (99, 0, "z"), (6, 0, "")], schema)
     assert quality.quality_verdicts(odd_documents, labels).count() == odd_documents.count()
+
+
+def plain_score(text, trees):
+    """The probability of quality, by plain counts and by walking each tree from its root."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [line for line in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+    n, chars = len(words), sum(map(len, words))
+    capital = sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" or ("À" <= c <= "Þ" and c != "×") for c in text)
+    letter = capital + sum("a" <= c <= "z" or c >= "ß" for c in text)
+    _, _, symbols, duplicates, repeated = brute_counts(text)
+    features = [
+        math.log1p(n), chars / n, symbols / n, duplicates / len(lines), repeated / n, capital / max(letter, 1), text.count("!") / n,
+        len(set(words)) / n, letter / chars, sum("0" <= c <= "9" for c in text) / chars, math.log1p(n / len(lines)),
+        sum(line.rstrip()[-1:] in (".", "!", "?", '"', ":", ";") for line in lines) / len(lines), max(Counter(words).values()) / n,
+    ]
+    odds = trees.base
+    for node in trees.roots:
+        while trees.left[node] != node:
+            node = (trees.left if features[trees.feature[node]] <= trees.threshold[node] else trees.right)[node]
+        odds += trees.value[node]
+    return 1 / (1 + math.exp(-odds))
+
+
+def test_verdicts_equal_plain_walks_of_the_trees(spark, folder, documents):
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    x, y = quality.sample_features(documents, labels, "text", "doc_id", quality.SAMPLE_ROWS)
+    trees = quality.fit(x, y, [quality.FEATURES.index(name) for name in quality.FALLING])
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    judged = [r for r in quality.quality_verdicts(documents, labels).collect() if r.n_words]
+    assert len(judged) > 100
+    for row in judged:
+        score = plain_score(texts[row.doc_id], trees)
+        assert row.score == pytest.approx(score, abs=1e-9)
+        assert row.kept == (not row.base_failed and score >= quality.KEEP_FROM) or abs(score - quality.KEEP_FROM) < 1e-9
