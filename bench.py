@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, functions as F  # noqa: E402
 from ranlens.operators.silver import bronze_to_silver  # noqa: E402
 from ranlens.operators.violations import sla_violations  # noqa: E402
 from ranlens.operators.windows import cell_kpis, slice_kpis  # noqa: E402
-from ranlens.plans import dashboard, network, quality  # noqa: E402
-from ranlens.plans.layers import Layers  # noqa: E402
+from ranlens.plans import dashboard, network, quality, rollup_reports  # noqa: E402
+from ranlens.plans.layers import Layers, closed_minutes  # noqa: E402
 from ranlens.session import build_session  # noqa: E402
 from checks.event_log import bronze_from_log  # noqa: E402
 from ranlens.sources.tables import TABLES, append  # noqa: E402
@@ -47,12 +47,14 @@ LOOK_BACKS = (
     dashboard.throughput_recent, dashboard.cell_signal_quality, dashboard.top_violations,
     dashboard.anomaly_rate_recent, dashboard.rb_utilisation, dashboard.breach_leaderboard,
 )
+ROLLED_UP = (rollup_reports.sla_scorecard, rollup_reports.event_rate_recent, rollup_reports.breach_leaderboard)
 
 
 def jobs(layers: Layers) -> dict[str, Callable[[], DataFrame]]:
     newest = layers.silver.agg(F.max("event_timestamp")).first()[0]
     reports = {report.__name__: lambda report=report: report(layers) for report in NETWORK}
     recent = {report.__name__: lambda report=report: report(layers, newest) for report in LOOK_BACKS}
+    recent |= {f"rollup_{report.__name__}": lambda report=report: report(layers, newest) for report in ROLLED_UP}
     return {
         "silver_events": lambda: bronze_to_silver(layers.bronze),
         "cell_kpis": lambda: cell_kpis(layers.silver),
@@ -95,6 +97,7 @@ def main() -> None:
     append(bronze_to_silver(layers.bronze), source.path("silver"), TABLES["silver"])
     for table, derive in GOLD.items():
         append(derive(layers.silver), source.path(table), TABLES[table])
+    append(closed_minutes(layers.silver), source.path("minute_rollup"), TABLES["minute_rollup"])
     setup = time.perf_counter() - started
 
     layers = Layers.from_tables(spark, source.base)
@@ -119,7 +122,7 @@ def main() -> None:
             samples.append(time.perf_counter() - started)
         seconds[f"stream_{table}"] = round(statistics.median(samples), 3)
 
-    copies, at_scale = int(os.environ.get("BENCH_COPIES", "0")), {}
+    copies, at_scale = int(os.environ.get("BENCH_COPIES", "5")), {}
     if copies:
         append(skewed(layers.silver, copies), f"{base}/skewed/silver", TABLES["silver"])
         large = Layers.from_tables(spark, f"{base}/skewed")

@@ -14,6 +14,8 @@ from ranlens.operators.violations import sla_violations
 from ranlens.operators.windows import cell_kpis, slice_kpis
 from ranlens.settings import WATERMARK_DELAY
 from ranlens.sources.tables import TABLES, read_table, register_views
+from ranlens.sources.writes import exists
+from ranlens.streaming.late import KEYS, current, revisions_spec
 
 
 def closed_minutes(silver: DataFrame) -> DataFrame:
@@ -45,13 +47,16 @@ class Layers:
 
     @classmethod
     def from_tables(cls, spark: SparkSession, base: str, fmt: str = "parquet") -> Layers:
-        """Read the layers from the tables under ``base``."""
-        return cls(
-            {
-                name: lambda name=name, spec=spec: read_table(spark, f"{base}/{name}", spec.schema, fmt)
-                for name, spec in TABLES.items()
-            }
-        )
+        """Read the layers from the tables under ``base``; windows made anew for late events stand in place of their rows."""
+
+        def read(name: str) -> DataFrame:
+            stored, revised = read_table(spark, f"{base}/{name}", TABLES[name].schema, fmt), f"{base}/{name}_revisions"
+            if name not in KEYS or not exists(spark, revised):
+                return stored
+            gold, schema = stored.select(*TABLES[name].schema.names), revisions_spec(TABLES[name]).schema
+            return current(gold, read_table(spark, revised, schema, fmt).select(*schema.names), KEYS[name])
+
+        return cls({name: lambda name=name: read(name) for name in TABLES})
 
     @cached_property
     def bronze(self) -> DataFrame:

@@ -386,6 +386,8 @@ def test_old_events_that_come_after_the_back_fill_are_in_no_part_twice_and_in_no
     assert filled.gold("cell_kpis").agg(F.sum("event_count")).first()[0] < closed(cell_kpis(everything), everything).agg(F.sum("event_count")).first()[0]
     assert filled.merge_late() > 0
     gold_equals_the_batch(spark, filled, everything)
+    tables = Layers.from_tables(spark, filled.base)
+    assert rows(smooth(tables.cell_kpis)) == rows(smooth(filled.gold("cell_kpis")))
     files = set(os.listdir(filled.path("cell_kpis_revisions")))
     assert filled.merge_late() == 0
     assert set(os.listdir(filled.path("cell_kpis_revisions"))) == files
