@@ -24,7 +24,7 @@ def stages(spark, folder, documents):
 def test_every_query_is_registered():
     names = entry_module.queries().keys()
     assert {*catalog.queries(), "pipeline"} <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in catalog.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in catalog.queries()) == list(range(1, 14))
 
 
 def test_language_stage_drops_only_what_cannot_be_told(stages):
