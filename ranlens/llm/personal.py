@@ -10,7 +10,7 @@ the words that most often make up mail addresses of the corpus, GAZETTEER at mos
 estimates each labeler's reliability and each pattern's probability. These soft labels train the span classifier, a naive
 Bayes model over the features of spans, which decides what is added. Base findings vote too, and stay whatever it says.
 
-The texts are searched once, by column expressions where the rows are read: positions are sums of the lengths of the pieces
+The query searches the texts once, by column expressions where the rows are read: positions are sums of the lengths of the pieces
 between matches. What is found is written to the shared folder, and the rest works on that. Only words of addresses and counts of
 patterns are shuffled, combined before; the number of patterns is bounded by the product of the numbers of
 votes and features, whatever the table's size, and the arithmetic on that list is plain.
@@ -184,7 +184,7 @@ def voted(spans: Column, base: Column, text: Column) -> Column:
 
 
 def searched(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows with ``_voted``: base findings by kind and start, then the weak candidates, with votes; written once."""
+    """The rows with ``_voted``: base findings by kind and start, then the weak candidates, with votes."""
     whole = F.coalesce(F.col(text), F.lit(""))
     found = with_spans(docs, text)
     any_ = (F.size("_base") > 0) | (F.size("_candidates") > 0)
@@ -276,22 +276,29 @@ def learned(found: DataFrame) -> Classifier | None:
     return trained(spans.groupBy(*kept).agg(F.count("*").alias("n")).collect())
 
 
-def with_findings(docs: DataFrame, text: str = "text", carried: tuple[str, ...] = (), names: tuple[str, ...] = GIVEN_NAMES) -> DataFrame:
-    """The carried columns with ``_base`` and ``_spans``: the base findings, and these with the added ones, by kind and start.
-
-    ``names`` is the list of given names the gazetteer begins with.
-    """
-    found = written(searched(docs, text).select(*carried, "_voted"), "spans")
-    found = with_gazetteer(found, list(dict.fromkeys([*names, *gazetteer(found)])))
-    model = learned(found)
-    as_span = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-    is_base = lambda s: s["kind"] < len(BASE_KINDS)
-    is_kept = is_base if model is None else lambda s: is_base(s) | model.accepts(s)
-    return found.select(
-        *carried,
-        F.transform(F.filter("_voted", is_base), as_span).alias("_base"),
-        F.transform(F.filter("_voted", is_kept), as_span).alias("_spans"),
-    )
+@dataclass(frozen=True)
+class Judge:
+    """What decides on weak candidates: the gazetteer's names and the classifier (None if nothing was found)."""
+
+    names: list[str]
+    model: Classifier | None
+
+    @classmethod
+    def of(cls, found: DataFrame, names: tuple[str, ...] = GIVEN_NAMES) -> Judge:
+        """Made from all that was found; ``names`` is the list of given names the gazetteer begins with."""
+        known = list(dict.fromkeys([*names, *gazetteer(found)]))
+        return cls(known, learned(with_gazetteer(found, known)))
+
+    def findings(self, found: DataFrame, carried: tuple[str, ...]) -> DataFrame:
+        """The carried columns with ``_base`` and ``_spans``: the base findings, and these with the added ones, by kind and start."""
+        as_span = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+        is_base = lambda s: s["kind"] < len(BASE_KINDS)
+        is_kept = is_base if self.model is None else lambda s: is_base(s) | self.model.accepts(s)
+        return with_gazetteer(found, self.names).select(
+            *carried,
+            F.transform(F.filter("_voted", is_base), as_span).alias("_base"),
+            F.transform(F.filter("_voted", is_kept), as_span).alias("_spans"),
+        )
 
 
 def joined(spans: str) -> Column:
@@ -301,7 +308,8 @@ def joined(spans: str) -> Column:
 
 def personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: how many base findings of each kind, the digest of their places, and the places of all findings."""
-    found = with_findings(docs.select(key, text), text, (key,))
+    searches = written(searched(docs.select(key, text), text).select(key, "_voted"), "spans")
+    found = Judge.of(searches).findings(searches, (key,))
     kinds = F.transform("_base", lambda span: span["kind"])
     counts = [
         (F.size("_base") - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(BASE_KINDS)
@@ -310,8 +318,13 @@ def personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
 
 def masked(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows with every finding in the text replaced by its kind in angle brackets; findings that meet become one."""
-    found = with_findings(docs.select(F.struct("*").alias("_row"), text), text, ("_row", text))
+    """The rows with every finding in the text replaced by its kind in angle brackets; findings that meet become one.
+
+    The texts are searched twice: a table of all of them between the passes would take as much disk as they do.
+    """
+    whole = searched(docs.select(F.struct("*").alias("_row"), text), text)
+    judge = Judge.of(written(searched(docs.select(text), text).where(F.size("_voted") > 0).select("_voted"), "spans"))
+    found = judge.findings(whole, ("_row", text))
     names = F.array(*(F.lit(f"<{kind.upper()}>") for kind in KINDS))
     by_start = F.array_sort(
         F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
