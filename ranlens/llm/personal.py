@@ -323,7 +323,8 @@ def masked(docs: DataFrame, text: str = "text") -> DataFrame:
     The texts are searched twice: a table of all of them between the passes would take as much disk as they do.
     """
     whole = searched(docs.select(F.struct("*").alias("_row"), text), text)
-    judge = Judge.of(written(searched(docs.select(text), text).where(F.size("_voted") > 0).select("_voted"), "spans"))
+    # Rows without findings are kept, too: a test on what is found would be pushed into the search and repeat it.
+    judge = Judge.of(written(searched(docs.select(text), text).select("_voted"), "spans"))
     found = judge.findings(whole, ("_row", text))
     names = F.array(*(F.lit(f"<{kind.upper()}>") for kind in KINDS))
     by_start = F.array_sort(
